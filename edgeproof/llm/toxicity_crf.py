@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ._arrow import BYTE, chunks, prefix_hash, range_hash, text_buffer, word_bounds
 
 #: At most so many labelled rows of each class are learned from, those first by a hash of their id; and texts of at most so many bytes.
-SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_ROWS = 2500
+SAMPLE_BYTES = 1 << 15
 CHUNK = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -200,8 +200,15 @@ def fit(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray) -> Field:
     flat = Field(np.zeros(0, np.uint64), np.zeros(0), -4.0, np.zeros((2, 2)), np.array([np.log(prior / (1 - prior)), 0, 0, 0]))
 
     def toks(rows: np.ndarray) -> Tokens:
-        part = [texts[i] for i in rows]
-        return tokens(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64))
+        """Features of these texts, a few hundred texts at a time; offsets are left out."""
+        out, first = [], [np.zeros(1, np.int64)]
+        for k in range(0, len(rows), 256):
+            part = [texts[i] for i in rows[k : k + 256]]
+            t = tokens(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64))
+            out.append(t.features)
+            first.append(t.first[1:] + first[-1][-1])
+        none = np.zeros(0, np.int64)
+        return Tokens(none, none, np.concatenate(first), [np.concatenate(x) for x in zip(*out, strict=True)])
 
     own, other = np.flatnonzero(fold == 0), np.flatnonzero(fold == 1)
     if not toxic[own].any() or toxic[own].all() or not len(other):
@@ -215,10 +222,13 @@ def fit(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray) -> Field:
     chosen = []
     n1, n0 = bad.sum(), (~bad).sum()
     for h in t.features:
-        live = h != 0
-        pair = np.unique(np.stack([h[live], doc[live].astype(np.uint64)], 1), axis=0)
-        names, inv = np.unique(pair[:, 0], return_inverse=True)
-        c1 = np.bincount(inv, bad[pair[:, 1].astype(np.int64)], len(names))
+        live = np.flatnonzero(h != 0)
+        live = live[np.lexsort((doc[live], h[live]))]
+        hs, owner = h[live], doc[live]
+        new = np.append(True, hs[1:] != hs[:-1])
+        once = new | np.append(True, owner[1:] != owner[:-1])  # a text counts once for a feature
+        names, inv = hs[new], np.cumsum(new)[once] - 1
+        c1 = np.bincount(inv, bad[owner[once]], len(names))
         c0 = np.bincount(inv, minlength=len(names)) - c1
         odds = np.log((c1 + 0.05) / n1) - np.log((c0 + 0.5) / n0)
         # as many toxic texts by chance, over all features tried: less than once in a hundred samples, were a text of its kind half as often again toxic
