@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media_jpeg import op10_media_jpeg
 from .quality_qda import op6_quality_qda
+from .simhash_neardup import op9_simhash_neardup
 from .toxicity_crf import op5_toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity_crf": op5_toxicity_crf,
     "op6_quality_qda": op6_quality_qda,
+    "op9_simhash_neardup": op9_simhash_neardup,
     "op10_media_jpeg": op10_media_jpeg,
 }
 ORACLE_SQL: dict[str, str] = {}
