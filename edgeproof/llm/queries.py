@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fm_decontamination import OP4_SQL, op4_fm_decontamination
 from .media_jpeg import op10_media_jpeg
 from .quality_qda import op6_quality_qda
 from .simhash_neardup import op9_simhash_neardup
+from .source_mixing import op3_source_mixing
 from .toxicity_crf import op5_toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mixing": op3_source_mixing,
+    "op4_fm_decontamination": op4_fm_decontamination,
     "op5_toxicity_crf": op5_toxicity_crf,
     "op6_quality_qda": op6_quality_qda,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_media_jpeg": op10_media_jpeg,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_fm_decontamination": OP4_SQL}
