@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fm_decontamination import OP4_SQL, op4_fm_decontamination
+from .lm_bloom import op7_lm_bloom
 from .media_jpeg import op10_media_jpeg
 from .quality_qda import op6_quality_qda
 from .simhash_neardup import op9_simhash_neardup
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fm_decontamination": op4_fm_decontamination,
     "op5_toxicity_crf": op5_toxicity_crf,
     "op6_quality_qda": op6_quality_qda,
+    "op7_lm_bloom": op7_lm_bloom,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_media_jpeg": op10_media_jpeg,
 }

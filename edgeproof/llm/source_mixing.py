@@ -91,9 +91,10 @@ def _split(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the block at the border, the documents in the order of h that still fit, and one more if that comes nearer."""
+    """Of the block at the border, the documents that still fit in the order of h, the shortest quarter last, and one more if that comes nearer."""
     left, some, over = float(pdf["left"].iloc[0]), [], []
-    for h, size in sorted(zip(pdf["h"].tolist(), pdf["size"].tolist(), strict=True)):
+    short = pdf["size"].quantile(0.25)
+    for h, size in sorted(zip(pdf["h"].tolist(), pdf["size"].tolist(), strict=True), key=lambda x: (x[1] <= short, -x[1] if x[1] <= short else 0, x[0])):
         if 0 < size <= left:
             left -= size
             some.append(h)
