@@ -12,9 +12,11 @@ from .media_jpeg import op10_media_jpeg
 from .quality_qda import op6_quality_qda
 from .simhash_neardup import op9_simhash_neardup
 from .source_mixing import op3_source_mixing
+from .substring_countmin import OP2_SQL, op2_substring_countmin
 from .toxicity_crf import op5_toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_countmin": op2_substring_countmin,
     "op3_source_mixing": op3_source_mixing,
     "op4_fm_decontamination": op4_fm_decontamination,
     "op5_toxicity_crf": op5_toxicity_crf,
@@ -23,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_media_jpeg": op10_media_jpeg,
 }
-ORACLE_SQL: dict[str, str] = {"op4_fm_decontamination": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_countmin": OP2_SQL, "op4_fm_decontamination": OP4_SQL}
