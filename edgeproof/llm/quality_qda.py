@@ -201,6 +201,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(x, model).select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, as they are; learned from the labelled rows outside the held-out fold. Text stays in its partition."""
+    x = written(features(docs, id_col, text_col), "quality")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(moments(x, labels, id_col, label_col, lambda c: ~held_out(c))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in chunks(whole):
+                yield b.filter(pa.array(shared.value.score(np.round(statistics(*text_buffer(b.column("text"))), 9)) >= threshold)).select(["row"])
+
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+
+
 def op6_quality_qda(spark, sf_dir: str) -> DataFrame:
     """Quality of every whole text of documents, learned from labels.quality outside the held-out fifth."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

@@ -13,9 +13,11 @@ from .quality_qda import op6_quality_qda
 from .simhash_neardup import op9_simhash_neardup
 from .source_mixing import op3_source_mixing
 from .substring_countmin import OP2_SQL, op2_substring_countmin
+from .suffix_rindex import op1_suffix_rindex
 from .toxicity_crf import op5_toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_rindex": op1_suffix_rindex,
     "op2_substring_countmin": op2_substring_countmin,
     "op3_source_mixing": op3_source_mixing,
     "op4_fm_decontamination": op4_fm_decontamination,

@@ -127,6 +127,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``docs``, one of each component: the one of the smallest id (null ids last), of several those the first by a hash of the text."""
+    name = F.xxhash64(F.col(text_col))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), name.alias("h")).alias("key"), F.col(text_col).alias("text"))
+    groups = near_duplicates(rows, "key", "text", width, distance)
+    best = groups.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct(F.col("key.id").isNull().alias("n"), F.col("key.id").alias("id"), F.col("key.h").alias("h"))).alias("m"))
+    own = written(best.select(F.col("m.id").alias("own_id"), F.col("m.h").alias("own_h")), "kept")
+    keyed = docs.withColumns({"__id": F.col(id_col), "__h": name})
+    kept = keyed.join(own, F.col("__id").eqNullSafe(F.col("own_id")) & (F.col("__h") == F.col("own_h")), "left_semi")
+    return kept.dropDuplicates(["__id", "__h"]).drop("__id", "__h")
+
+
 def op9_simhash_neardup(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every whole text of documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
