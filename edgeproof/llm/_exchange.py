@@ -57,15 +57,15 @@ def cuts(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(range_of(sorted_keys, buckets), np.arange(buckets + 1))
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """chunk (a number of its own), ids, at (offsets of the texts) and text (UTF-8, compressed), of a few MB of text a row or one longer document; written to the shared folder, so chunks stay what they are."""
+def chunk_table(docs: DataFrame, id_col: str, text_col: str, name: str, most: int = 1 << 20) -> DataFrame:
+    """chunk (a number of its own), ids, at (offsets of the texts) and text (UTF-8, compressed), of about ``most`` bytes of text a row or one longer document; written to the shared folder, so chunks stay what they are."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         press = zstandard.ZstdCompressor(level=1)
         for whole in batches:
-            for b in chunks(whole):
+            for b in chunks(whole, most=most):
                 buf, at = text_buffer(b.column("text"))
                 ids = b.column("id")
                 rows = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
@@ -112,7 +112,8 @@ def answer(sent: DataFrame, reply: Callable[[int, list[tuple[int, bytes]]], list
             out += [(bucket, c, kind, r) for (c, _), r in zip(own, reply(kind, own), strict=True)]
         return pa.Table.from_batches([messages(out)])
 
-    return sent.groupBy("bucket").applyInArrow(run, MESSAGE)
+    # by number, so that ranges are not put together by their size: an answer may take long over few bytes
+    return sent.repartition(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
 def answered(table: DataFrame, answers: DataFrame, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from ._arrow import BYTE, mix, prefix_hash, range_hash
 #: Bytes of a string, and of an anchor.
 WIDTH, GRAM = 400, 200
 #: Anchors with more different segments than this (counted by chunk) are resolved by counting strings.
-CROWD = 1024
+CROWD = 256
 #: Bytes of segments that an index holds, whole anchors together.
 INDEX_BYTES = 1 << 20
 _ONE, _TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
