@@ -158,7 +158,8 @@ def segments(buf: np.ndarray, at: np.ndarray, width: int, gram: int) -> Segments
     end = whole & np.append(new[1:] | ~whole[1:], True)
     last = np.flatnonzero(end)
     prefix = prefix_hash(unit, _TWO)
-    return Segments(doc[first], first, last, grams[place[first]], range_hash(prefix, first, last + width, _TWO), prefix)
+    # least hashes crowd the low ranges: mixed again, they spread
+    return Segments(doc[first], first, last, mix(grams[place[first]]), range_hash(prefix, first, last + width, _TWO), prefix)
 
 
 def _mark(found: list[np.ndarray], keys: np.ndarray, width: int) -> list[np.ndarray]:
