@@ -1,14 +1,390 @@
-"""Registered queries of the edge-elimination operators."""
+"""Registered queries of the edge-elimination operators, and DuckDB SQL with the same rows.
+
+Graphs come from the driver's tables (plans/synth.py); SQL repeats the definitions over all pairs of points, which is fine for a check.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from edgeproof.functions import distance as D
+from edgeproof.functions import scalars as S
+from edgeproof.operators import catalogs, commit, epochs, ht, jv, kopt, lp, paths, tour, wavefront
+from edgeproof.operators.graph import Graph, nearest, number_edges, violations
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import synth
+from .cut import cut
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["jv_candidates"](spark, sf_dir)
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _dist(a: str, b: str) -> str:
+    return f"CAST(floor(sqrt(CAST(({a}.ix-{b}.ix)*({a}.ix-{b}.ix)+({a}.iy-{b}.iy)*({a}.iy-{b}.iy) AS DOUBLE))+0.5) AS BIGINT)"
+
+
+_POINTS = {
+    "emb": "SELECT CAST(vec_id AS INTEGER) AS id, CAST(floor(1e6*CAST(embedding[1] AS DOUBLE)) AS BIGINT) AS ix, CAST(floor(1e6*CAST(embedding[2] AS DOUBLE)) AS BIGINT) AS iy FROM embeddings",
+    "supp": "SELECT CAST(s_suppkey AS INTEGER) AS id, CAST(round(100*s_acctbal) AS BIGINT) AS ix, CAST((7919*s_suppkey)%100003*10 AS BIGINT) AS iy FROM supplier",
+}
+
+
+def _graph_sql(which: str) -> str:
+    return f"""p AS ({_POINTS[which]}),
+nn AS (SELECT a, b, w, row_number() OVER (PARTITION BY a ORDER BY w, b) AS r FROM (SELECT a.id AS a, b.id AS b, {_dist("a", "b")} AS w FROM p a, p b WHERE a.id <> b.id)),
+e0 AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v, w FROM nn WHERE r <= 8),
+e AS (SELECT CAST(row_number() OVER (ORDER BY u, v) - 1 AS INTEGER) AS edge_id, u, v, w FROM e0),
+adj AS (SELECT u AS n, v AS m, edge_id, w FROM e UNION ALL SELECT v, u, edge_id, w FROM e),
+deg AS (SELECT p.id, count(adj.m) AS degree FROM p LEFT JOIN adj ON adj.n = p.id GROUP BY p.id),
+gate AS (SELECT e.* FROM e JOIN deg a ON a.id = e.u AND a.degree > 2 JOIN deg b ON b.id = e.v AND b.degree > 2)"""
+
+
+def _jv_sql(which: str) -> str:
+    return f"""{_graph_sql(which)},
+c0 AS (SELECT DISTINCT g.edge_id, g.u, g.v, g.w, adj.m AS c FROM gate g JOIN adj ON adj.n = g.u AND adj.m <> g.v UNION SELECT g.edge_id, g.u, g.v, g.w, adj.m FROM gate g JOIN adj ON adj.n = g.v AND adj.m <> g.u),
+c1 AS (SELECT c0.*, {_dist("a", "q")} AS ac, {_dist("q", "b")} AS cb FROM c0 JOIN p a ON a.id = c0.u JOIN p b ON b.id = c0.v JOIN p q ON q.id = c0.c),
+top AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY ac + cb, c) AS rank FROM c1 QUALIFY rank <= 10),
+bad AS (SELECT DISTINCT t.edge_id, t.c FROM top t JOIN adj ON adj.n = t.c AND adj.m <> t.u AND adj.m <> t.v JOIN p d ON d.id = adj.m JOIN p a ON a.id = t.u JOIN p b ON b.id = t.v
+  WHERE t.w + adj.w <= t.ac + {_dist("d", "b")} OR t.w + adj.w <= {_dist("a", "d")} + t.cb),
+cand AS (SELECT edge_id, u, v, c AS witness FROM (SELECT t.*, row_number() OVER (PARTITION BY t.edge_id ORDER BY rank) AS k FROM top t ANTI JOIN bad ON bad.edge_id = t.edge_id AND bad.c = t.c) WHERE k = 1)"""
+
+
+# ---- distances and graphs ----
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's point with those of the next 20 keys."""
+    p = synth.points_of_suppliers(spark, sf_dir)
+    a = p.select(F.col("id").alias("a"), F.col("ix").alias("ax"), F.col("iy").alias("ay"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 20)).alias("b"))
+    return a.join(p.select(F.col("id").alias("b"), F.col("ix").alias("bx"), F.col("iy").alias("by")), "b")
+
+
+_S = "(a.ix-b.ix)*(a.ix-b.ix)+(a.iy-b.iy)*(a.iy-b.iy)"
+_PAIR_SQL = f"p AS ({_POINTS['supp']}), s AS (SELECT a.id AS a, b.id AS b, {_S} AS s, CAST(floor(sqrt(CAST({_S} AS DOUBLE))) AS BIGINT) AS r0 FROM p a JOIN p b ON b.id > a.id AND b.id <= a.id + 20), r AS (SELECT a, b, s, r0 - CAST(r0*r0 > s AS BIGINT) + CAST((r0+1)*(r0+1) <= s AS BIGINT) AS r FROM s)"
+
+
+def _distances(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    s = D.squared(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    return _pairs(spark, sf_dir).select("a", "b", D.rounded(s, kind, fast=False).alias("d"))
+
+
+@_query(f"WITH {_PAIR_SQL} SELECT a, b, r + CAST(s - r*r > r AS BIGINT) AS d FROM r")
+def exact_distance_euc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distances(spark, sf_dir, "EUC_2D")
+
+
+@_query(f"WITH {_PAIR_SQL} SELECT a, b, r + CAST(r*r <> s AS BIGINT) AS d FROM r")
+def exact_distance_ceil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distances(spark, sf_dir, "CEIL_2D")
+
+
+@_query(f"WITH {_graph_sql('emb')} SELECT edge_id, u, v, w AS weight FROM e")
+def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.embeddings_graph(spark, sf_dir).edges.select("edge_id", "u", "v", "weight")
+
+
+@_query(f"WITH {_graph_sql('supp')} SELECT a, b, w AS d, r AS rank FROM nn WHERE r <= 8")
+def knn_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(synth.points_of_suppliers(spark, sf_dir), 8).select("a", "b", "d", F.col("rank").cast("bigint").alias("rank"))
+
+
+@_query(f"WITH {_graph_sql('emb')} SELECT n, m, edge_id, w AS weight FROM adj")
+def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.embeddings_graph(spark, sf_dir).adjacency().drop("g")
+
+
+@_query(f"WITH {_graph_sql('emb')} SELECT id, degree FROM deg")
+def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.embeddings_graph(spark, sf_dir).degree().drop("g")
+
+
+@_query(f"WITH {_graph_sql('supp')} SELECT 'weight' AS what, count(*) AS n FROM e JOIN p a ON a.id = e.u JOIN p b ON b.id = e.v WHERE e.edge_id % 7 = 0")
+def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integrity constraints of a graph a seventh of whose weights is one too large."""
+    g = synth.suppliers_graph(spark, sf_dir)
+    g = g.with_edges(g.edges.withColumn("weight", F.col("weight") + (F.col("edge_id") % 7 == 0).cast("bigint")))
+    return violations(g).select("what", "n")
+
+
+# ---- quick elimination ----
+
+
+@_query(f"WITH {_jv_sql('emb')} SELECT edge_id, c, ac + cb AS score, rank FROM top")
+def jv_topk_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jv.ranked_witnesses(synth.embeddings_graph(spark, sf_dir)).select("edge_id", "c", "score", "rank")
+
+
+@_query(f"WITH {_jv_sql('emb')} SELECT u, v, witness FROM cand")
+def jv_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jv.candidates(synth.embeddings_graph(spark, sf_dir)).select("u", "v", "witness")
+
+
+@_query(f"""WITH {_jv_sql("emb")}, prop AS (SELECT edge_id, u, v, CASE WHEN edge_id % 3 = 0 THEN u ELSE witness END AS witness FROM cand UNION ALL SELECT edge_id, u, v, c FROM top WHERE rank = 1 AND edge_id NOT IN (SELECT edge_id FROM cand)),
+w AS (SELECT prop.*, {_dist("a", "q")} AS ac, {_dist("q", "b")} AS cb, {_dist("a", "b")} AS ab FROM prop JOIN p a ON a.id = prop.u JOIN p b ON b.id = prop.v JOIN p q ON q.id = prop.witness),
+no AS (SELECT DISTINCT w.edge_id FROM w JOIN adj ON adj.n = w.witness AND adj.m <> w.u AND adj.m <> w.v JOIN p d ON d.id = adj.m JOIN p a ON a.id = w.u JOIN p b ON b.id = w.v WHERE ab + adj.w <= ac + {_dist("d", "b")} OR ab + adj.w <= {_dist("a", "d")} + cb)
+SELECT u, v, witness, witness <> u AND witness <> v AND edge_id NOT IN (SELECT edge_id FROM no) AS ok FROM w""")
+def jv_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verifier over candidates, a third of them with an end for a witness, and over the first witness of all other edges."""
+    g = synth.embeddings_graph(spark, sf_dir)
+    c = jv.candidates(g).withColumn("witness", F.when(F.col("edge_id") % 3 == 0, F.col("u")).otherwise(F.col("witness")))
+    c = cut(c)
+    rest = jv.ranked_witnesses(g).where("rank = 1").select("g", "edge_id", "u", "v", F.col("c").alias("witness")).join(c, ["g", "edge_id"], "left_anti")
+    return jv.verify(g, c.unionByName(rest)).select("u", "v", "witness", "ok")
+
+
+@_query(f"""WITH RECURSIVE {_jv_sql("supp")}, ranked AS (SELECT c.*, row_number() OVER (ORDER BY u, v, witness, edge_id) AS k, a.degree AS du, b.degree AS dv FROM cand c JOIN deg a ON a.id = c.u JOIN deg b ON b.id = c.v),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS ends, CAST([] AS BIGINT[]) AS acc UNION ALL
+  SELECT r.k, CASE WHEN r.du - len(list_filter(w.ends, lambda x: x = r.u)) > 2 AND r.dv - len(list_filter(w.ends, lambda x: x = r.v)) > 2 THEN w.ends || [r.u, r.v] ELSE w.ends END,
+  CASE WHEN r.du - len(list_filter(w.ends, lambda x: x = r.u)) > 2 AND r.dv - len(list_filter(w.ends, lambda x: x = r.v)) > 2 THEN w.acc || [r.k] ELSE w.acc END FROM walk w JOIN ranked r ON r.k = w.k + 1),
+fin AS (SELECT acc FROM walk ORDER BY k DESC LIMIT 1)
+SELECT u, v, witness, row_number() OVER (ORDER BY k) - 1 AS place FROM ranked WHERE k IN (SELECT unnest(acc) FROM fin)""")
+def jv_commit_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.suppliers_graph(spark, sf_dir)
+    return commit.commit(g, cut(jv.candidates(g))).select("u", "v", "witness", "place")
+
+
+@_query()
+def jv_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of quick elimination to its fixed point."""
+    return epochs.jv_fixed_point(synth.suppliers_graph(spark, sf_dir)).records.drop("g")
+
+
+# ---- targets, tours ----
+
+
+@_query(f"WITH {_graph_sql('emb')} SELECT edge_id AS target, u, v, w AS weight, row_number() OVER (ORDER BY w DESC, u, v, edge_id) - 1 AS place FROM gate QUALIFY place >= 10 AND place < 60")
+def ht_targets_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ht.select_targets(synth.embeddings_graph(spark, sf_dir), "weight", 10, 50).drop("g")
+
+
+@_query(f"WITH {_graph_sql('emb')} SELECT edge_id AS target, u, v, w AS weight, row_number() OVER (ORDER BY u, v, edge_id) - 1 AS place FROM gate")
+def ht_targets_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ht.select_targets(synth.embeddings_graph(spark, sf_dir)).drop("g")
+
+
+@_query(f"""WITH {_graph_sql("emb")}, t AS (SELECT id, coalesce(lead(id) OVER (ORDER BY ix, iy, id), first_value(id) OVER (ORDER BY ix, iy, id)) AS nxt FROM p),
+s AS (SELECT least(t.id, nxt) AS u, greatest(t.id, nxt) AS v, {_dist("a", "b")} AS d FROM t JOIN p a ON a.id = t.id JOIN p b ON b.id = nxt)
+SELECT CAST(sum(d) AS BIGINT) AS cost, count(*) FILTER (WHERE e.u IS NULL) AS missing_edges FROM s LEFT JOIN e ON e.u = s.u AND e.v = s.v""")
+def tour_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tour from left to right against the graph."""
+    g = synth.embeddings_graph(spark, sf_dir)
+    t = g.points.select("g", (F.row_number().over(Window.partitionBy("g").orderBy("ix", "iy", "id")) - 1).alias("pos"), F.col("id").alias("node"))
+    return tour.check_tour(g, t).drop("g")
+
+
+# ---- Hamilton-Tutte ----
+
+_TARGETS = "t AS (SELECT edge_id AS target, u, v FROM (SELECT *, row_number() OVER (ORDER BY w DESC, u, v, edge_id) AS k FROM gate) WHERE k <= 6)"
+
+
+def _targets(g: Graph) -> DataFrame:
+    return cut(ht.select_targets(g, "weight", 0, 6).select("g", "target", "u", "v"))
+
+
+_HT_SQL = f"""{_graph_sql("emb")}, {_TARGETS},
+tp AS (SELECT t.*, a.ix AS ux, a.iy AS uy, b.ix AS vx, b.iy AS vy FROM t JOIN p a ON a.id = t.u JOIN p b ON b.id = t.v),
+near AS (SELECT target, p.id AS node, (2*p.ix-ux-vx)*(2*p.ix-ux-vx)+(2*p.iy-uy-vy)*(2*p.iy-uy-vy) AS score FROM tp, p WHERE p.id <> u AND p.id <> v),
+rk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score, node) AS rank FROM near),
+one AS (SELECT t.target, t.u, t.v, n.id AS center, m.id AS node, {_dist("a", "b")} AS t, adj.w AS o, {_dist("a", "n")} + {_dist("b", "n")} AS through FROM t JOIN p a ON a.id = t.u JOIN p b ON b.id = t.v JOIN rk ON rk.target = t.target AND rk.rank <= 25 JOIN p n ON n.id = rk.node JOIN adj ON adj.n = n.id JOIN p m ON m.id = adj.m
+  WHERE {_dist("a", "m")} + {_dist("b", "n")} >= {_dist("a", "b")} + adj.w OR {_dist("a", "n")} + {_dist("b", "m")} >= {_dist("a", "b")} + adj.w),
+rep AS (SELECT x.target, x.center, x.node AS first, y.node AS second, row_number() OVER (PARTITION BY x.target, x.center ORDER BY x.node, y.node) - 1 AS reply FROM one x JOIN one y ON x.target = y.target AND x.center = y.center AND x.node < y.node JOIN p f ON f.id = x.node JOIN p s ON s.id = y.node
+  WHERE NOT (x.node = least(x.u, x.v) AND y.node = greatest(x.u, x.v)) AND x.t + x.o + y.o <= {_dist("f", "s")} + x.through),
+cnt AS (SELECT target, center, count(*) AS n FROM rep GROUP BY target, center),
+pr AS (SELECT x.target, least(x.node, y.node) AS c, greatest(x.node, y.node) AS d FROM rk x JOIN rk y ON x.target = y.target AND x.node < y.node WHERE x.rank <= 25 AND y.rank <= 25),
+ps AS (SELECT pr.*, e.edge_id IS NOT NULL AS act, NOT ({_dist("a", "d")} + {_dist("b", "c")} >= {_dist("a", "b")} + {_dist("c", "d")} OR {_dist("a", "c")} + {_dist("b", "d")} >= {_dist("a", "b")} + {_dist("c", "d")}) AS inc FROM pr JOIN t ON t.target = pr.target JOIN p a ON a.id = t.u JOIN p b ON b.id = t.v JOIN p c ON c.id = pr.c JOIN p d ON d.id = pr.d LEFT JOIN e ON e.u = pr.c AND e.v = pr.d)"""
+
+
+def _cd_sql(where: str) -> str:
+    return f"""WITH {_HT_SQL} SELECT target, c, d, product, rank FROM (SELECT ps.target, c, d, coalesce(x.n, 0) * coalesce(y.n, 0) AS product, row_number() OVER (PARTITION BY ps.target ORDER BY coalesce(x.n, 0) * coalesce(y.n, 0), c, d) AS rank FROM ps LEFT JOIN cnt x ON x.target = ps.target AND x.center = ps.c LEFT JOIN cnt y ON y.target = ps.target AND y.center = ps.d WHERE {where}) WHERE rank <= 5"""
+
+
+@_query(f"WITH {_HT_SQL} SELECT target, node, score, rank FROM rk WHERE rank <= 25")
+def ht_midpoint_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.embeddings_graph(spark, sf_dir)
+    return ht.midpoint_rank(g, _targets(g)).where("rank <= 25").drop("g")
+
+
+@_query(_cd_sql("act AND inc"))
+def ht_cd_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.embeddings_graph(spark, sf_dir)
+    return ht.cd_candidates(g, _targets(g)).drop("g")
+
+
+@_query(_cd_sql("NOT act OR inc"))
+def ht_cd_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.embeddings_graph(spark, sf_dir)
+    return ht.cd_candidates(g, _targets(g), ht.RootOptions(mode=ht.MODES[1])).drop("g")
+
+
+@_query(f"WITH {_HT_SQL} SELECT target, center, first, second, reply FROM rep")
+def ht_hamilton_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.embeddings_graph(spark, sf_dir)
+    t = _targets(g)
+    near = ht.midpoint_rank(g, t).where("rank <= 25").select("g", "target", F.col("node").alias("center"))
+    return ht.hamilton_replies(g, near, t).drop("g")
+
+
+@_query(f"WITH {_HT_SQL} SELECT t.u AS endpoint, t.v AS internal, adj.m AS neighbor, row_number() OVER (PARTITION BY t.target ORDER BY adj.m) - 1 AS reply FROM t JOIN adj ON adj.n = t.u AND adj.m <> t.v")
+def ht_end_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.embeddings_graph(spark, sf_dir)
+    return ht.end_replies(g, _targets(g).select("g", F.col("u").alias("endpoint"), F.col("v").alias("internal"))).drop("g")
+
+
+@_query(f"""WITH {_HT_SQL}, cd AS ({_cd_sql("act AND inc").replace("WITH " + _HT_SQL, "")})
+SELECT cd.target, cd.rank, row_number() OVER (PARTITION BY cd.target, cd.rank ORDER BY x.reply, y.reply) - 1 AS reply, cd.c, x.first AS c_first, x.second AS c_second, cd.d, y.first AS d_first, y.second AS d_second FROM cd JOIN rep x ON x.target = cd.target AND x.center = cd.c JOIN rep y ON y.target = cd.target AND y.center = cd.d""")
+def ht_root_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.embeddings_graph(spark, sf_dir)
+    t = _targets(g)
+    return ht.root_replies(g, cut(ht.cd_candidates(g, t)), t).drop("g")
+
+
+@_query()
+def ht_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the search over the two longest targets of the derived graph."""
+    g = synth.embeddings_graph(spark, sf_dir)
+    t = cut(ht.select_targets(g, "weight", 0, 2).select("g", "target", "u", "v"))
+    wave = wavefront.search(g, t, wavefront.Options(leaf=kopt.Options(3, 200), depth=0))
+    return wavefront.outcomes(wave, cut(wavefront.propagate(wave))).drop("g")
+
+
+# ---- catalogs, leaves ----
+
+_INSIDE_SQL = """ins AS (SELECT m, list_transform(range(2 * m), lambda x: -1) AS mates FROM range(1, 5) r(m) UNION ALL
+  SELECT m, list_transform(range(2 * m), lambda x: CASE WHEN x = a THEN b WHEN x = b THEN a ELSE mates[x + 1] END) FROM (SELECT m, mates, list_position(mates, -1) - 1 AS a, unnest(range(2 * m)) AS b FROM ins WHERE list_contains(mates, -1)) WHERE b > a AND mates[b + 1] = -1),
+inside AS (SELECT m, mates, row_number() OVER (PARTITION BY m ORDER BY mates) - 1 AS id FROM ins WHERE NOT list_contains(mates, -1))"""
+
+
+@_query(f"WITH RECURSIVE {_INSIDE_SQL} SELECT CAST(m AS INTEGER) AS m, id AS matching_id, array_to_string(mates, ',') AS mates FROM inside")
+def inside_matchings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.matchings(spark, "inside", 4).select("m", "matching_id", F.concat_ws(",", F.col("mates").cast("array<string>")).alias("mates"))
+
+
+_OUTSIDE_SQL = """step AS (SELECT m, [0] AS ord, 0 AS bits, 1 AS n FROM range(1, 5) r(m) UNION ALL SELECT m, ord || [x], bits + CAST(f * (1 << (n - 1)) AS INTEGER), n + 1 FROM (SELECT *, unnest(range(1, m)) AS x FROM step WHERE n < m) s, range(2) t(f) WHERE NOT list_contains(ord, x)),
+outs AS (SELECT m, row_number() OVER (PARTITION BY m ORDER BY ord, bits) - 1 AS id, list_transform(range(m), lambda i: 2 * ord[i + 1] + CASE WHEN i > 0 THEN (bits >> (i - 1)) & 1 ELSE 0 END) AS enter FROM step WHERE n = m),
+outside AS (SELECT m, id, list_transform(range(2 * m), lambda e: CASE WHEN list_contains(enter, e) THEN xor(enter[(list_position(enter, e) + m - 2) % m + 1], 1) ELSE enter[list_position(enter, xor(e, 1)) % m + 1] END) AS mates FROM outs)"""
+
+
+@_query(f"WITH RECURSIVE {_OUTSIDE_SQL} SELECT CAST(m AS INTEGER) AS m, id AS matching_id, array_to_string(mates, ',') AS mates FROM outside")
+def outside_matchings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.matchings(spark, "outside", 4).select("m", "matching_id", F.concat_ws(",", F.col("mates").cast("array<string>")).alias("mates"))
+
+
+@_query(f"""WITH RECURSIVE {_OUTSIDE_SQL}, {_INSIDE_SQL}, walk AS (SELECT o.m, o.id AS outside_id, i.id AS inside_id, o.mates AS x, i.mates AS y, i.mates[o.mates[1] + 1] AS pos, 1 AS n FROM outside o JOIN inside i ON i.m = o.m
+  UNION ALL SELECT m, outside_id, inside_id, x, y, y[x[pos + 1] + 1], n + 1 FROM walk WHERE pos <> 0 AND n <= m)
+SELECT CAST(m AS INTEGER) AS m, outside_id, inside_id, n = m AS compatible FROM walk WHERE pos = 0""")
+def path_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.compatibility(spark, 4)
+
+
+@_query()
+def reconnect_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.templates_table(spark).select("k", "template_id", F.concat_ws(",", F.col("mates").cast("array<string>")).alias("mates"))
+
+
+@_query()
+def catalog_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the compatibility tables and the reconnection templates."""
+    rows = [("table", m, catalogs.table_hash(m)) for m in range(1, 6)] + [("templates", k, catalogs.templates_hash(k)) for k in (3, 4, 5)]
+    return spark.createDataFrame(rows, "what string, size int, hash string")
+
+
+def _tasks(g: Graph) -> DataFrame:
+    """A task of three deleted edges from each window of six points in id order."""
+    p = g.points.where("id % 6 = 0").select("g", F.col("id").cast("bigint").alias("task_id"), F.lit(3).alias("k"), F.sequence(F.col("id"), F.col("id") + 5).alias("ports"))
+    last = g.points.groupBy("g").agg(F.max("id").alias("last"))
+    return p.join(last, "g").where("task_id + 5 <= last").drop("last")
+
+
+@_query(f"""WITH p AS ({_POINTS["emb"]}), f(template_id, a, b) AS (VALUES (0,0,2),(0,1,4),(0,3,5),(1,0,3),(1,1,4),(1,2,5),(2,0,3),(2,1,5),(2,2,4),(3,0,4),(3,1,3),(3,2,5)),
+t AS (SELECT id AS task_id FROM p WHERE id % 6 = 0 AND id + 5 <= (SELECT max(id) FROM p))
+SELECT CAST(task_id AS BIGINT) AS task_id, 3 AS k, CAST(template_id AS BIGINT) AS template_id, CAST(sum({_dist("x", "y")}) AS BIGINT) AS added_cost FROM t, f JOIN p x ON x.id = task_id + f.a JOIN p y ON y.id = task_id + f.b GROUP BY ALL""")
+def kopt_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = synth.points_of_embeddings(spark, sf_dir)
+    g = Graph(pts, number_edges(pts.limit(0).select("g", F.lit(0).alias("u"), F.lit(0).alias("v"), F.lit(0).alias("weight"))))
+    return kopt.template_costs(_tasks(g), pts, catalogs.templates_table(spark)).drop("g")
+
+
+@_query()
+def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two short paths from each customer's key, merged where they meet."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("int").alias("k"))
+    x = lambda m: (F.col("k") * m % 7).cast("int")
+    both = c.withColumn("paths", F.array(F.array(x(1), x(2), x(3)), F.array(x(4), x(5))))
+    return both.select("k", paths.normalized(F.col("paths"), F.lit(7)).alias("n")).select("k", "n.valid", "n.reason", "n.edge_count", F.to_json("n.paths").alias("paths"))
+
+
+@_query("SELECT CAST(c_custkey AS INTEGER) AS key, c_custkey % 5 NOT IN (1) AND c_custkey % 5 NOT IN (2) AND NOT (c_custkey % 5 = 0 AND (c_custkey + 2) % 5 = 2) AS feasible FROM customer")
+def path_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an end move from the first node of 0 - 1 - 2 to node k mod 5 and back is sound, one task a customer."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("int").alias("key"))
+    parents = c.select("key", F.array(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("paths"))
+    tasks = c.select("key", F.col("key").alias("task_id"), F.lit("end").alias("kind"), F.lit(0).alias("first"), F.lit(-1).alias("center"), (F.col("key") % 5).alias("second"))
+    return paths.feasible_appends(parents, tasks).select("key", "feasible")
+
+
+def _six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two paths of three points each from every window of six."""
+    p = synth.points_of_embeddings(spark, sf_dir)
+    w = p.select(F.expr("id div 6").alias("k"), (F.col("id") % 6).alias("id"), F.col("ix").alias("x"), F.col("iy").alias("y"))
+    return w.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("places")).where("size(places) = 6").withColumn("paths", F.expr("array(array(0, 1, 2), array(3, 4, 5))"))
+
+
+@_query()
+def leaf_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _six(spark, sf_dir).withColumn("leaf", kopt.leaves(F.col("paths"), F.col("places"), F.lit(0), F.lit(1), kopt.Options(3, 0, 10)))
+    return got.select("k", "leaf.proven", "leaf.deletion_sets", "leaf.matchings", F.size("leaf.records").alias("records"))
+
+
+# ---- scalars, LP ----
+
+
+@_query("SELECT c_custkey AS k, lower(hex(CAST(c_name AS BLOB))) AS name_hex, c_name AS name_back, CAST(CASE WHEN c_custkey <= 1 THEN 0 ELSE floor(log2(c_custkey)) END AS INTEGER) AS bucket FROM customer")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select(F.col("c_custkey").alias("k"), S.hex_encode(F.col("c_name")).alias("name_hex"), S.hex_decode(S.hex_encode(F.col("c_name"))).alias("name_back"), S.log2_bucket(F.col("c_custkey")).alias("bucket"))
+
+
+def _model(spark: SparkSession, sf_dir: str) -> tuple[lp.Model, DataFrame, DataFrame]:
+    """A transport of each nation's customers: row = nation, column = customer, and a dual and a primal by rule."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    coef = c.select(F.col("c_nationkey").alias("row"), F.col("c_custkey").alias("col"), (F.col("c_custkey") % 3 + 1).cast("double").alias("val"))
+    row = c.select(F.col("c_nationkey").alias("row")).distinct().select("row", F.lit("G").alias("sense"), (F.col("row") % 4 + 1).cast("double").alias("rhs"))
+    col = c.select(F.col("c_custkey").alias("col"), (F.col("c_custkey") % 11 + 1).cast("double").alias("obj"), F.lit(0.0).alias("lb"), F.lit(1.0).alias("ub"))
+    dual = row.select("row", ((F.col("row") % 5 - 1) * 0.375).alias("y"))
+    primal = col.select("col", (F.col("col") % 2).cast("double").alias("x"))
+    return lp.Model(coef, row, col), dual, primal
+
+
+_LP = "q AS (SELECT DISTINCT c_nationkey AS r, greatest((c_nationkey % 5 - 1) * 0.375, 0) * 16777216 AS q, c_nationkey % 4 + 1 AS rhs FROM customer), red AS (SELECT c_custkey, CAST((c_custkey % 11 + 1) * 16777216 - (c_custkey % 3 + 1) * q.q AS HUGEINT) AS n FROM customer JOIN q ON q.r = c_nationkey)"
+
+
+@_query(f"WITH {_LP} SELECT true AS certified, CAST(CAST((SELECT sum(rhs * q) FROM q) + (SELECT sum(least(n, 0)) FROM red) AS HUGEINT) AS VARCHAR) AS numerator, CAST(16777216 AS BIGINT) AS denominator")
+def lp_exact_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, dual, _ = _model(spark, sf_dir)
+    return lp.exact_bound(m, dual)
+
+
+@_query("""WITH a AS (SELECT c_nationkey AS row, sum((c_custkey % 3 + 1) * (c_custkey % 2)) AS act FROM customer GROUP BY ALL)
+SELECT CAST(max(greatest(row % 4 + 1 - act, 0)) AS DOUBLE) AS max_primal_violation, (SELECT max(abs((c_custkey % 11 + 1) - (c_custkey % 3 + 1) * ((c_nationkey % 5 - 1) * 0.375) - (c_custkey % 11 + 1)))::DOUBLE FROM customer) AS max_reduced_cost_residual FROM a""")
+def lp_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, dual, primal = _model(spark, sf_dir)
+    return lp.residuals(m, primal, dual, m.col.select("col", F.col("obj").alias("rc")))
