@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import written
+from ._arrow import chunks, mix, prefix_hash, range_hash, text_buffer, word_bounds, word_hashes, written
 from .components import components
 
 SEED = 42
@@ -127,16 +127,149 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs``, one of each component: the one of the smallest id (null ids last), of several those the first by a hash of the text."""
-    name = F.xxhash64(F.col(text_col))
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), name.alias("h")).alias("key"), F.col(text_col).alias("text"))
-    groups = near_duplicates(rows, "key", "text", width, distance)
-    best = groups.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct(F.col("key.id").isNull().alias("n"), F.col("key.id").alias("id"), F.col("key.h").alias("h"))).alias("m"))
-    own = written(best.select(F.col("m.id").alias("own_id"), F.col("m.h").alias("own_h")), "kept")
-    keyed = docs.withColumns({"__id": F.col(id_col), "__h": name})
-    kept = keyed.join(own, F.col("__id").eqNullSafe(F.col("own_id")) & (F.col("__h") == F.col("own_h")), "left_semi")
-    return kept.dropDuplicates(["__id", "__h"]).drop("__id", "__h")
+# ---- close copies by similarity ----
+
+#: Words of a shingle and parts of a wide fingerprint that make blocks; shingles a part holds at most on average; the wide fingerprint's 64-bit words.
+CLOSE_WIDTH, PARTS, PART_SIZE, WIDE = 5, 24, 8, 8
+#: Similarity (Jaccard, of shingle sets) of close copies, and most differing bits: at 0.8 a mean of 77 of 512 differ, with a deviation of 8.
+SIMILAR, CLOSE_BITS = 0.8, 112
+#: Leaders that the members of a crowded block are compared with.
+LEADERS = 8
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _majority(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SimHash of each run of hashes."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def shingles(buf: np.ndarray, at: np.ndarray, width: int = CLOSE_WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different shingles of each text, in order, and the text of each; a shorter text is one shingle."""
+    low = _LOWER[buf]
+    start, end, first = word_bounds(low, at)
+    h = word_hashes(low, start, end)
+    texts, n = len(at) - 1, np.diff(first)
+    base = 0x27D4EB2F165667C5
+    prefix = prefix_hash(h, base)
+    count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    own = np.repeat(np.arange(texts), count)
+    s = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[:-1], count)
+    g = range_hash(prefix, s, np.minimum(s + width, np.repeat(first[1:], count)), base)
+    order = np.lexsort((g, own))
+    g, own = g[order], own[order]
+    once = np.append(True, (g[1:] != g[:-1]) | (own[1:] != own[:-1]))[: len(g)]
+    return g[once], own[once]
+
+
+def wide_fingerprints(buf: np.ndarray, at: np.ndarray, width: int = CLOSE_WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: WIDE words of SimHash over its different shingles; and blocks, as (text, key).
+
+    A block is the SimHash of the shingles of one hash class. Classes hold a few shingles, so an edit changes few of them, and copies that
+    share four fifths of their shingles share a block with near certainty. The number of classes doubles with a text's size, and a text near
+    such a border has the blocks of both sides. Texts without words share one block.
+    """
+    texts = len(at) - 1
+    g, own = shingles(buf, at, width)
+    size = np.bincount(own, minlength=texts)
+    wide = np.zeros((texts, WIDE), np.uint64)
+    some = np.flatnonzero(size)
+    head = (np.cumsum(size) - size)[some]
+    if len(some):
+        for r in range(WIDE):
+            wide[some, r] = _majority(mix(g + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), head, size[some])
+    level = np.maximum(4, np.ceil(np.log2(np.maximum(size, 1) / PART_SIZE))).astype(np.int64)
+    rows, keys = [np.flatnonzero(size == 0)], [np.full(int((size == 0).sum()), 1, np.uint64)]
+    for up in (0, 1):
+        near = size > 0 if not up else size * 1.25 > PART_SIZE * (1 << level)
+        pick = np.flatnonzero(near[own])
+        if not len(pick):
+            continue
+        k = level[own[pick]] + up
+        part = (mix(g[pick] ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(20)).astype(np.int64) & ((1 << k) - 1)
+        pick, k, part = pick[part < PARTS], k[part < PARTS], part[part < PARTS]
+        if not len(pick):
+            continue
+        by = np.lexsort((part, own[pick]))
+        pick, k, part = pick[by], k[by], part[by]
+        new = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (own[pick][1:] != own[pick][:-1])))
+        sim = _majority(np.ascontiguousarray(g[pick]), new, np.diff(np.append(new, len(pick))))
+        rows.append(own[pick][new])
+        keys.append(mix(sim ^ ((part[new] << 8) + k[new]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return wide, np.concatenate(rows), np.concatenate(keys)
+
+
+def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = CLOSE_WIDTH, similar: float = SIMILAR, bits: int = CLOSE_BITS, pairwise: int = PAIRWISE) -> tuple[DataFrame, DataFrame]:
+    """(id, h, node) of each row, h a hash of its text; and (node, root) of rows with a close copy, roots marking groups.
+
+    Texts whose shingle sets are similar by 0.8 or more differ in few bits of a wide fingerprint, and share a block. Blocks of up to
+    ``pairwise`` rows are compared pair by pair; those of a more crowded one with some leaders, chosen by hash. Pairs within ``bits`` whose shingle sets are ``similar`` are links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in chunks(whole, most=1 << 20):
+                wide, rows, keys = wide_fingerprints(*text_buffer(b.column("text")), width)
+                by = np.argsort(rows, kind="stable")
+                cut = np.searchsorted(rows[by], np.arange(b.num_rows + 1)).astype(np.int32)
+                lists = lambda v, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), lists(wide.ravel(), np.arange(0, wide.size + 1, WIDE)), lists(np.ascontiguousarray(keys[by]), cut)], names=["id", "h", "wide", "blocks"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    made = own.mapInArrow(run, f"id {kind}, h long, wide array<long>, blocks array<long>")
+    made = written(made.withColumn("node", F.xxhash64("id", "h")), "wide")
+    nodes = made.select("node", "wide").dropDuplicates(["node"])
+    rows = made.select("node", F.explode("blocks").alias("block")).distinct()
+    size = rows.groupBy("block").agg(F.count("*").alias("n"), *(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(LEADERS))).where("n > 1")
+    size = written(size, "blocks")
+    few = rows.join(size.where(F.col("n") <= pairwise).select("block"), "block", "left_semi")
+    a, b = few.select("block", F.col("node").alias("u")), few.select("block", F.col("node").alias("v"))
+    pairs = a.join(b, "block").where("u < v").select("u", "v")
+    lead = size.where(F.col("n") > pairwise).select("block", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS))))).alias("v"))
+    star = rows.withColumnRenamed("node", "u").join(lead, "block").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = written(pairs.unionAll(star).distinct(), "pairs")
+    both = pairs.join(nodes.select(F.col("node").alias("u"), F.col("wide").alias("x")), "u").join(nodes.select(F.col("node").alias("v"), F.col("wide").alias("y")), "v")
+    differ = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WIDE)), F.lit(0))
+    near = written(both.where(differ <= bits).select("u", "v"), "near")
+    used = near.select(F.col("u").alias("node")).unionAll(near.select(F.col("v").alias("node"))).distinct()
+    text = own.select(F.xxhash64("id", "h").alias("node"), "text").join(used, "node", "left_semi").dropDuplicates(["node"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in chunks(whole):
+                g, of = shingles(*text_buffer(b.column("text")), width)
+                cut = np.searchsorted(of, np.arange(b.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([g[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "set"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                same = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                good.append(x == y or same >= similar * (len(x) // 8 + len(y) // 8 - same))
+            yield b.filter(pa.array(good, pa.bool_())).select(["u", "v"])
+
+    of = written(text.mapInArrow(sets, "node long, set binary"), "sets")
+    pair = near.join(of.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(of.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+    return made.select("id", "h", "node"), components(pair.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = CLOSE_WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs``, one of each group of close copies: the one of the smallest id (null ids last), of several those the first by a hash of the text; of rows equal in both, one."""
+    rows, roots = close_copies(docs, id_col, text_col, width, similar)
+    rank = F.struct(F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("h").alias("h"))
+    roots = written(roots, "roots")
+    grouped = rows.join(roots, "node").select("root", rank.alias("rank"))
+    best = grouped.groupBy("root").agg(F.min("rank").alias("best"))
+    gone = grouped.join(best, "root").where(F.col("rank") != F.col("best")).select(F.col("rank.id").alias("_id"), F.col("rank.h").alias("_h")).distinct()
+    gone = written(gone, "gone")
+    h = F.xxhash64(F.col(text_col))
+    kept = docs.withColumn("__h", h).join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("__h") == F.col("_h")), "left_anti")
+    again = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return (kept if again else kept.dropDuplicates([id_col, "__h"])).drop("__h")
 
 
 def op9_simhash_neardup(spark, sf_dir: str) -> DataFrame:
