@@ -15,6 +15,7 @@ from .source_mixing import op3_source_mixing
 from .substring_countmin import OP2_SQL, op2_substring_countmin
 from .suffix_rindex import op1_suffix_rindex
 from .toxicity_crf import op5_toxicity_crf
+from .warc_merkle import OP8_SQL, op8_warc_merkle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_rindex": op1_suffix_rindex,
@@ -24,7 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity_crf": op5_toxicity_crf,
     "op6_quality_qda": op6_quality_qda,
     "op7_lm_bloom": op7_lm_bloom,
+    "op8_warc_merkle": op8_warc_merkle,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_media_jpeg": op10_media_jpeg,
 }
-ORACLE_SQL: dict[str, str] = {"op2_substring_countmin": OP2_SQL, "op4_fm_decontamination": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_countmin": OP2_SQL, "op4_fm_decontamination": OP4_SQL, "op8_warc_merkle": OP8_SQL}

@@ -264,10 +264,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     roots = written(roots, "roots")
     grouped = rows.join(roots, "node").select("root", rank.alias("rank"))
     best = grouped.groupBy("root").agg(F.min("rank").alias("best"))
-    gone = grouped.join(best, "root").where(F.col("rank") != F.col("best")).select(F.col("rank.id").alias("_id"), F.col("rank.h").alias("_h")).distinct()
+    gone = grouped.join(best, "root").where(F.col("rank") != F.col("best")).select(F.col("rank.id").alias("__gone_id"), F.col("rank.h").alias("__gone_h")).distinct()
     gone = written(gone, "gone")
     h = F.xxhash64(F.col(text_col))
-    kept = docs.withColumn("__h", h).join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("__h") == F.col("_h")), "left_anti")
+    kept = docs.withColumn("__h", h).join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")) & F.col("__h").eqNullSafe(F.col("__gone_h")), "left_anti")
     again = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     return (kept if again else kept.dropDuplicates([id_col, "__h"])).drop("__h")
 
