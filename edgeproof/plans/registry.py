@@ -266,6 +266,46 @@ def ht_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavefront.outcomes(wave, cut(wavefront.propagate(wave))).drop("g")
 
 
+@_query("""WITH t AS (SELECT c_custkey AS k, unnest(range(c_custkey % 3 + 1)) AS m FROM customer),
+r AS (SELECT k, m, unnest(range((k + m) % 4)) AS r FROM t),
+bad AS (SELECT DISTINCT k, m FROM r WHERE (k + m + r) % 5 <> 0 AND (k * 7 + m * 3 + r) % 3 = 0),
+win AS (SELECT k, min(m) AS ord FROM t ANTI JOIN bad ON bad.k = t.k AND bad.m = t.m GROUP BY k)
+SELECT c_custkey AS k, win.ord IS NOT NULL AS proven, CAST(win.ord AS INTEGER) AS ord FROM customer LEFT JOIN win ON win.k = c_custkey""")
+def andor_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of two levels from each customer's key: truth of its root by AND over replies and OR over moves, and the first move that succeeds."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("tree").alias("g"), F.col("c_custkey").cast("int").alias("target"))
+    leaf = lambda v: F.struct(v.alias("proven")).alias("leaf")
+    root = c.select("g", "target", F.array(F.lit(1)).alias("sid"))
+    moves = root.select("g", "target", "sid", F.explode(F.sequence(F.lit(0), F.col("target") % 3)).alias("ord"))
+    n = (F.col("target") + F.col("ord")) % 4
+    rows = moves.where(n > 0).withColumn("reply", F.explode(F.sequence(F.lit(0), n - 1)))
+    child = F.when((F.col("target") + F.col("ord") + F.col("reply")) % 5 != 0, F.concat("sid", F.array("ord", "reply")))
+    rows = rows.withColumn("child", child)
+    below = rows.where("child is not null").select("g", "target", F.col("child").alias("sid"), leaf((F.col("target").cast("bigint") * 7 + F.col("ord") * 3 + F.col("reply")) % 3 != 0))
+    wave = wavefront.Wave(None, c, wavefront.Options(), [root.withColumn("leaf", F.struct(F.lit(False).alias("proven"))), below], [moves], [rows])
+    got = wavefront.propagate(wave).where(F.size("sid") == 1)
+    return got.select(F.col("target").cast("bigint").alias("k"), "proven", "ord")
+
+
+#: Options of the fixture's golden proofs.
+GOLDEN = wavefront.Options(ht.RootOptions(0, 8, 0, 1000), kopt.Options(3, 1, 0), 1, 20000, 200000, 1000, 5, 5)
+
+
+@_query()
+def local_eliminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one round of quick elimination and search over the fixture."""
+    got = epochs.local_elimination(synth.fixture(spark), epochs.ScanOptions(GOLDEN, "weight", 1), 100, 1)
+    return got.result.records.select("epoch", "u", "v", "method", "witness", "certificate_index")
+
+
+@_query()
+def proof_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of the snapshot after quick elimination over the suppliers, from a checked replay of its records."""
+    g = synth.suppliers_graph(spark, sf_dir)
+    r = epochs.jv_fixed_point(g)
+    return epochs.snapshot_hashes(epochs.replay(g, r.records, r.initial_hash, r.final_hash)).select("hash")
+
+
 # ---- catalogs, leaves ----
 
 _INSIDE_SQL = """ins AS (SELECT m, list_transform(range(2 * m), lambda x: -1) AS mates FROM range(1, 5) r(m) UNION ALL
