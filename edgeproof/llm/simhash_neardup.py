@@ -134,7 +134,7 @@ CLOSE_WIDTH, PARTS, PART_SIZE, WIDE = 5, 24, 8, 8
 #: Similarity (Jaccard, of shingle sets) of close copies, and most differing bits: at 0.8 a mean of 77 of 512 differ, with a deviation of 8.
 SIMILAR, CLOSE_BITS = 0.8, 112
 #: Leaders that the members of a crowded block are compared with.
-LEADERS = 8
+LEADERS = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -202,7 +202,7 @@ def wide_fingerprints(buf: np.ndarray, at: np.ndarray, width: int = CLOSE_WIDTH)
 
 
 def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = CLOSE_WIDTH, similar: float = SIMILAR, bits: int = CLOSE_BITS, pairwise: int = PAIRWISE) -> tuple[DataFrame, DataFrame]:
-    """(id, h, node) of each row, h a hash of its text; and (node, root) of rows with a close copy, roots marking groups.
+    """(id, node) of each row, node a hash of its text, so exact copies are one node; and (node, root) of those with a close copy, roots marking groups.
 
     Texts whose shingle sets are similar by 0.8 or more differ in few bits of a wide fingerprint, and share a block. Blocks of up to
     ``pairwise`` rows are compared pair by pair; those of a more crowded one with some leaders, chosen by hash. Pairs within ``bits`` whose shingle sets are ``similar`` are links.
@@ -215,14 +215,14 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 by = np.argsort(rows, kind="stable")
                 cut = np.searchsorted(rows[by], np.arange(b.num_rows + 1)).astype(np.int32)
                 lists = lambda v, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), lists(wide.ravel(), np.arange(0, wide.size + 1, WIDE)), lists(np.ascontiguousarray(keys[by]), cut)], names=["id", "h", "wide", "blocks"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), lists(wide.ravel(), np.arange(0, wide.size + 1, WIDE)), lists(np.ascontiguousarray(keys[by]), cut)], names=["id", "node", "wide", "blocks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    made = own.mapInArrow(run, f"id {kind}, h long, wide array<long>, blocks array<long>")
-    made = written(made.withColumn("node", F.xxhash64("id", "h")), "wide")
-    nodes = made.select("node", "wide").dropDuplicates(["node"])
-    rows = made.select("node", F.explode("blocks").alias("block")).distinct()
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.col(text_col).alias("text"))
+    made = written(own.mapInArrow(run, f"id {kind}, node long, wide array<long>, blocks array<long>"), "wide")
+    nodes = made.select("node", "wide", "blocks").dropDuplicates(["node"])
+    nodes = written(nodes, "nodes")
+    rows = nodes.select("node", F.explode(F.array_distinct("blocks")).alias("block"))
     size = rows.groupBy("block").agg(F.count("*").alias("n"), *(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(LEADERS))).where("n > 1")
     size = written(size, "blocks")
     few = rows.join(size.where(F.col("n") <= pairwise).select("block"), "block", "left_semi")
@@ -235,41 +235,42 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     differ = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WIDE)), F.lit(0))
     near = written(both.where(differ <= bits).select("u", "v"), "near")
     used = near.select(F.col("u").alias("node")).unionAll(near.select(F.col("v").alias("node"))).distinct()
-    text = own.select(F.xxhash64("id", "h").alias("node"), "text").join(used, "node", "left_semi").dropDuplicates(["node"])
+    text = own.select("node", "text").join(used, "node", "left_semi").dropDuplicates(["node"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole):
                 g, of = shingles(*text_buffer(b.column("text")), width)
                 cut = np.searchsorted(of, np.arange(b.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([g[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([(g[s:e] >> np.uint64(32)).astype(np.uint32).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "set"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                same = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                good.append(x == y or same >= similar * (len(x) // 8 + len(y) // 8 - same))
+                same = len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
+                good.append(x == y or same >= similar * (len(x) // 4 + len(y) // 4 - same))
             yield b.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
     of = written(text.mapInArrow(sets, "node long, set binary"), "sets")
     pair = near.join(of.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(of.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
-    return made.select("id", "h", "node"), components(pair.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long"))
+    return made.select("id", "node"), components(pair.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = CLOSE_WIDTH, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs``, one of each group of close copies: the one of the smallest id (null ids last), of several those the first by a hash of the text; of rows equal in both, one."""
     rows, roots = close_copies(docs, id_col, text_col, width, similar)
-    rank = F.struct(F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("h").alias("h"))
-    roots = written(roots, "roots")
-    grouped = rows.join(roots, "node").select("root", rank.alias("rank"))
-    best = grouped.groupBy("root").agg(F.min("rank").alias("best"))
-    gone = grouped.join(best, "root").where(F.col("rank") != F.col("best")).select(F.col("rank.id").alias("__gone_id"), F.col("rank.h").alias("__gone_h")).distinct()
-    gone = written(gone, "gone")
-    h = F.xxhash64(F.col(text_col))
-    kept = docs.withColumn("__h", h).join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")) & F.col("__h").eqNullSafe(F.col("__gone_h")), "left_anti")
-    again = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    return (kept if again else kept.dropDuplicates([id_col, "__h"])).drop("__h")
+    rank = F.struct(F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("node").alias("node"))
+    ranked = rows.select("node", rank.alias("rank")).join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "rank")
+    # a text's own copies are summed up first, so that no group is gathered
+    best = ranked.groupBy("root").agg(F.min("rank").alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = written(best.select("root", "best"), "best")
+    gone = ranked.join(best, "root").where(F.col("rank") != F.col("best")).select(F.col("rank.id").alias("__gone_id"), F.col("rank.node").alias("__gone_node"))
+    gone = written(gone.distinct(), "gone")
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.withColumn("__node", node).join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.col("__node") == F.col("__gone_node")), "left_anti")
+    once = rows.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return (kept if once else kept.dropDuplicates([id_col, "__node"])).drop("__node")
 
 
 def op9_simhash_neardup(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ a distance is an expression.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,39 +71,50 @@ def number_edges(edges: DataFrame) -> DataFrame:
     return edges.select("g", ident.cast("int").alias("edge_id"), F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), F.col("weight").cast("bigint").alias("weight"), F.lit(True).alias("active"))
 
 
-def nearest(points: DataFrame, k: int, kind: str = "EUC_2D", fast: bool = True) -> DataFrame:
-    """(g, a, b, d, rank): the k nearest others of each point, by (distance, id).
+def _rings(asks: DataFrame, points: DataFrame, k: int, measure: Callable[[], Column], reached: Callable[[Column, Column], Column], apart: bool) -> DataFrame:
+    """(g, a, b, d, rank): of each ask (g, a, ax, ay) the k points (g, b, bx, by) of least (measure, b).
 
-    Points fall into square cells that hold a few of them on average; a point looks at the cells within r of its own, and is done when its k-th
-    neighbour is nearer than those cells reach; r doubles for the others, until the ring covers the whole graph. So no graph's points
-    are all paired, but where a graph is that small.
+    Points fall into square cells that hold a few of them on average; an ask looks at the cells within r of its own, and is done when its k-th
+    point is nearer than those cells reach (``reached`` of measure and reach); r doubles for the others, until the ring covers the whole
+    graph. So no graph's points are all paired, but where a graph is that small. ``apart``: an ask is not its own answer.
     """
     from edgeproof.plans.cut import cut
 
-    box = points.groupBy("g").agg(F.min("ix").alias("x0"), F.min("iy").alias("y0"), F.greatest(F.max("ix") - F.min("ix"), F.max("iy") - F.min("iy"), F.lit(1)).alias("span"), F.count("*").alias("n"))
+    box = points.groupBy("g").agg(F.min("bx").alias("x0"), F.min("by").alias("y0"), F.greatest(F.max("bx") - F.min("bx"), F.max("by") - F.min("by"), F.lit(1)).alias("span"), F.count("*").alias("n"))
     side = F.greatest(F.lit(1), F.ceil(F.col("span") / F.greatest(F.lit(1.0), F.sqrt(F.col("n") / 3.0)))).cast("bigint")
-    cells = points.join(box.select("g", "x0", "y0", "span", side.alias("side")), "g")
-    cells = cut(cells.select("g", "id", "ix", "iy", "side", "span", F.expr("(ix - x0) div side").alias("cx"), F.expr("(iy - y0) div side").alias("cy")))
-    b = cells.select("g", F.col("id").alias("b"), F.col("ix").alias("bx"), F.col("iy").alias("by"), F.col("cx").alias("kx"), F.col("cy").alias("ky"))
-    todo, done, r = cells, None, 2
+    box = cut(box.select("g", "x0", "y0", "span", side.alias("side")))
+    cell = lambda c, o: F.floor((F.col(c) - F.col(o)) / F.col("side")).cast("bigint")
+    b = cut(points.join(box, "g").select("g", "b", "bx", "by", cell("bx", "x0").alias("kx"), cell("by", "y0").alias("ky")))
+    todo = cut(asks.join(box, "g").select("g", "a", "ax", "ay", "side", "span", cell("ax", "x0").alias("cx"), cell("ay", "y0").alias("cy")))
+    done, r = None, 2
     by = Window.partitionBy("g", "a").orderBy("d", "b")
     while True:
         ring = F.sequence(F.lit(-r).cast("bigint"), F.lit(r).cast("bigint"))
-        a = todo.select("g", F.col("id").alias("a"), F.col("ix").alias("ax"), F.col("iy").alias("ay"), "side", "span", "cx", "cy")
-        a = a.withColumn("dx", F.explode(ring)).withColumn("dy", F.explode(ring)).withColumn("kx", F.col("cx") + F.col("dx")).withColumn("ky", F.col("cy") + F.col("dy"))
-        pair = a.join(b, ["g", "kx", "ky"]).where("a <> b")
-        pair = pair.select("g", "a", "b", "side", "span", D.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), kind, fast).alias("d"))
-        found = pair.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        a = todo.withColumn("dx", F.explode(ring)).withColumn("dy", F.explode(ring)).withColumn("kx", F.col("cx") + F.col("dx")).withColumn("ky", F.col("cy") + F.col("dy"))
+        pair = a.join(b, ["g", "kx", "ky"])
+        pair = (pair.where("a <> b") if apart else pair).select("g", "a", "b", "side", "span", measure().alias("d"))
+        found = cut(pair.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k))
         last = found.groupBy("g", "a").agg(F.count("*").alias("n"), F.max("d").alias("far"), F.first("side").alias("side"), F.first("span").alias("span"))
         whole = F.col("span") < r * F.col("side")
-        ready = last.where(((F.col("n") == k) & (F.col("far") + 1 < r * F.col("side"))) | whole).select("g", "a")
+        ready = cut(last.where(((F.col("n") == k) & reached(F.col("far"), r * F.col("side"))) | whole).select("g", "a"))
         new = found.join(ready, ["g", "a"], "left_semi").select("g", "a", "b", "d", "rank")
-        new = cut(new)
         done = new if done is None else done.unionAll(new)
-        todo = todo.join(new.select("g", F.col("a").alias("id")).distinct(), ["g", "id"], "left_anti").where((F.col("span") >= r * F.col("side")))
+        todo = cut(todo.join(ready, ["g", "a"], "left_anti").where(F.col("span") >= r * F.col("side")))
         if todo.isEmpty():
             return done
-        todo, r = cut(todo), r * 2
+        r *= 2
+
+
+def nearest(points: DataFrame, k: int, kind: str = "EUC_2D", fast: bool = True) -> DataFrame:
+    """(g, a, b, d, rank): the k nearest others of each point, by (distance, id)."""
+    at = lambda n: points.select("g", F.col("id").alias(n), F.col("ix").alias(f"{n}x"), F.col("iy").alias(f"{n}y"))
+    far = lambda: D.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), kind, fast)
+    return _rings(at("a"), at("b"), k, far, lambda d, reach: d + 1 < reach, apart=True)
+
+
+def nearest_to(asks: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(g, a, b, d, rank): the k points (g, b, bx, by) nearest to each place (g, a, ax, ay), by (squared distance, b). Places lie within the points' box."""
+    return _rings(asks, points, k, lambda: D.squared(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), lambda d, reach: d < reach * reach, apart=False)
 
 
 def nearest_graph(points: DataFrame, k: int = 8, kind: str = "EUC_2D", fast: bool = True) -> Graph:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from edgeproof.functions.scalars import midpoint_score, survives_two_opt
 
-from .graph import Graph
+from .graph import Graph, nearest_to
 
 MODES = ("active-incompatible", "missing-or-incompatible")
 
@@ -35,15 +35,27 @@ def placed(graph: Graph, targets: DataFrame) -> DataFrame:
     return out.withColumn("t", graph.distance("u", "v"))
 
 
-def midpoint_rank(graph: Graph, targets: DataFrame, degree_limit: int = 0) -> DataFrame:
-    """(g, target, node, score, rank): the other nodes of the graph by (squared distance to the midpoint, id), those of a high degree left out."""
+def midpoint_rank(graph: Graph, targets: DataFrame, degree_limit: int = 0, most: int = 0) -> DataFrame:
+    """(g, target, node, score, rank): the other nodes of the graph by (squared distance to the midpoint, id), those of a high degree left out.
+
+    With ``most`` only so many: these are found in rings of cells around the midpoint; without, every node is ranked for every target, which
+    is for small graphs.
+    """
     p = graph.points.select("g", F.col("id").alias("node"), "ix", "iy")
     if degree_limit:
         p = p.join(graph.degree().where(F.col("degree") <= degree_limit).select("g", F.col("id").alias("node")), ["g", "node"], "left_semi")
-    rows = placed(graph, targets).join(p, "g").where("node <> u and node <> v")
-    score = midpoint_score(F.col("ix"), F.col("iy"), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
-    rows = rows.select("g", "target", "node", score.alias("score"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("g", "target").orderBy("score", "node")).cast("bigint"))
+    own = placed(graph, targets)
+    if most:
+        asks = own.select("g", F.col("target").alias("a"), (F.col("ux") + F.col("vx")).alias("ax"), (F.col("uy") + F.col("vy")).alias("ay"))
+        near = nearest_to(asks, p.select("g", F.col("node").alias("b"), (2 * F.col("ix")).alias("bx"), (2 * F.col("iy")).alias("by")), most + 2)
+        rows = near.select("g", F.col("a").alias("target"), F.col("b").alias("node"), F.col("d").alias("score")).join(targets.select("g", "target", "u", "v"), ["g", "target"])
+        rows = rows.where("node <> u and node <> v").select("g", "target", "node", "score")
+    else:
+        rows = own.join(p, "g").where("node <> u and node <> v")
+        score = midpoint_score(F.col("ix"), F.col("iy"), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
+        rows = rows.select("g", "target", "node", score.alias("score"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("g", "target").orderBy("score", "node")).cast("bigint"))
+    return rows.where(F.col("rank") <= most) if most else rows
 
 
 def hamilton_replies(graph: Graph, centers: DataFrame, targets: DataFrame) -> DataFrame:
@@ -78,9 +90,7 @@ def cd_candidates(graph: Graph, targets: DataFrame, o: RootOptions = RootOptions
     """(g, target, c, d, product, rank): pairs of near nodes whose edge is active and incompatible with the target (or, in the other mode, missing or incompatible), by their number of joint replies."""
     if o.mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    near = midpoint_rank(graph, targets, o.candidate_degree)
-    if o.neighborhood:
-        near = near.where(F.col("rank") <= o.neighborhood)
+    near = midpoint_rank(graph, targets, o.candidate_degree, o.neighborhood)
     near = graph.at(near.select("g", "target", "node"), "node", "n")
     c = near.select("g", "target", F.col("node").alias("c"), F.col("nx").alias("cx"), F.col("ny").alias("cy"))
     d = near.select("g", "target", F.col("node").alias("d"), F.col("nx").alias("dx"), F.col("ny").alias("dy"))

@@ -90,7 +90,9 @@ def search(graph: Graph, targets: DataFrame, o: Options = Options()) -> Wave:
     pair = lambda n: F.struct(F.col(n).alias("center"), F.col(f"{n}_first").alias("first"), F.col(f"{n}_second").alias("second"))
     r = cut(r.select(*KEY, F.lit(0).alias("ord"), "reply", pair("c").alias("pair1"), pair("d").alias("pair2"), _none(_EDGE).alias("edge"), "child", "child_paths"))
     wave.replies.append(r.drop("child_paths"))
-    near = cut(ht.midpoint_rank(graph, targets, o.root.candidate_degree).select("g", "target", "node", "rank"))
+    # a state of depth d holds up to 8 + 3d nodes, which are passed over
+    most = o.root.neighborhood and o.root.neighborhood + 8 + 3 * o.depth
+    near = cut(ht.midpoint_rank(graph, targets, o.root.candidate_degree, most).select("g", "target", "node", "rank")) if o.depth else None
     for depth in range(o.depth + 1):
         level = r.where("child is not null").select("g", "target", F.col("child").alias("sid"), F.lit(depth).alias("depth"), F.col("child_paths").alias("paths"))
         level = cut(with_leaves(graph, level, targets, o.leaf).select(*KEY, "depth", "paths", "leaf"))

@@ -193,11 +193,11 @@ def tour_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- Hamilton-Tutte ----
 
-_TARGETS = "t AS (SELECT edge_id AS target, u, v FROM (SELECT *, row_number() OVER (ORDER BY w DESC, u, v, edge_id) AS k FROM gate) WHERE k <= 6)"
+_TARGETS = "t AS (SELECT edge_id AS target, u, v FROM gate)"
 
 
 def _targets(g: Graph) -> DataFrame:
-    return cut(ht.select_targets(g, "weight", 0, 6).select("g", "target", "u", "v"))
+    return cut(ht.select_targets(g).select("g", "target", "u", "v"))
 
 
 _HT_SQL = f"""{_graph_sql("emb")}, {_TARGETS},
@@ -220,7 +220,7 @@ def _cd_sql(where: str) -> str:
 @_query(f"WITH {_HT_SQL} SELECT target, node, score, rank FROM rk WHERE rank <= 25")
 def ht_midpoint_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = synth.embeddings_graph(spark, sf_dir)
-    return ht.midpoint_rank(g, _targets(g)).where("rank <= 25").drop("g")
+    return ht.midpoint_rank(g, _targets(g), most=25).drop("g")
 
 
 @_query(_cd_sql("act AND inc"))
@@ -239,7 +239,7 @@ def ht_cd_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ht_hamilton_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = synth.embeddings_graph(spark, sf_dir)
     t = _targets(g)
-    near = ht.midpoint_rank(g, t).where("rank <= 25").select("g", "target", F.col("node").alias("center"))
+    near = ht.midpoint_rank(g, t, most=25).select("g", "target", F.col("node").alias("center"))
     return ht.hamilton_replies(g, near, t).drop("g")
 
 
@@ -250,11 +250,12 @@ def ht_end_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_HT_SQL}, cd AS ({_cd_sql("act AND inc").replace("WITH " + _HT_SQL, "")})
-SELECT cd.target, cd.rank, row_number() OVER (PARTITION BY cd.target, cd.rank ORDER BY x.reply, y.reply) - 1 AS reply, cd.c, x.first AS c_first, x.second AS c_second, cd.d, y.first AS d_first, y.second AS d_second FROM cd JOIN rep x ON x.target = cd.target AND x.center = cd.c JOIN rep y ON y.target = cd.target AND y.center = cd.d""")
+SELECT cd.target, cd.rank, row_number() OVER (PARTITION BY cd.target, cd.rank ORDER BY x.reply, y.reply) - 1 AS reply, cd.c, x.first AS c_first, x.second AS c_second, cd.d, y.first AS d_first, y.second AS d_second FROM cd JOIN rep x ON x.target = cd.target AND x.center = cd.c JOIN rep y ON y.target = cd.target AND y.center = cd.d WHERE cd.product <= 100""")
 def ht_root_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint replies of all root candidates within a limit of 100 combinations each."""
     g = synth.embeddings_graph(spark, sf_dir)
     t = _targets(g)
-    return ht.root_replies(g, cut(ht.cd_candidates(g, t)), t).drop("g")
+    return ht.root_replies(g, cut(ht.cd_candidates(g, t)).where("product <= 100"), t).drop("g")
 
 
 @_query()
