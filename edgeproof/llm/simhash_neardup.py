@@ -235,7 +235,8 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     differ = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WIDE)), F.lit(0))
     near = written(both.where(differ <= bits).select("u", "v"), "near")
     used = near.select(F.col("u").alias("node")).unionAll(near.select(F.col("v").alias("node"))).distinct()
-    text = own.select("node", "text").join(used, "node", "left_semi").dropDuplicates(["node"])
+    # merged at every size: what is used, and below what goes, grows with the corpus and must not be broadcast
+    text = own.select("node", "text").join(used.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -268,7 +269,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     gone = ranked.join(best, "root").where(F.col("rank") != F.col("best")).select(F.col("rank.id").alias("__gone_id"), F.col("rank.node").alias("__gone_node"))
     gone = written(gone.distinct(), "gone")
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.withColumn("__node", node).join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.col("__node") == F.col("__gone_node")), "left_anti")
+    kept = docs.withColumn("__node", node).join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.col("__node") == F.col("__gone_node")), "left_anti")
     once = rows.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     return (kept if once else kept.dropDuplicates([id_col, "__node"])).drop("__node")
 
