@@ -30,13 +30,13 @@ def test_stages_take_effect(spark):
     assert not any(alike(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :])
     assert all(any(alike(a, b) for b in good if b < a) for a in set(good) - set(once))
     assert set(cut) == set(once)
-    count = collections.Counter(t[i : i + 400] for r in once.values() for t in [r["text"].encode()] for i in range(len(t) - 399))
+    count = collections.Counter(t[i : i + cp.PASSAGE] for r in once.values() for t in [r["text"].encode()] for i in range(len(t) - cp.PASSAGE + 1))
     for i, r in once.items():
         t = r["text"].encode()
         gone = bytearray(len(t))
-        for k in range(len(t) - 399):
-            if count[t[k : k + 400]] > 1:
-                gone[k : k + 400] = b"\1" * 400
+        for k in range(len(t) - cp.PASSAGE + 1):
+            if count[t[k : k + cp.PASSAGE]] > 1:
+                gone[k : k + cp.PASSAGE] = b"\1" * cp.PASSAGE
         if not any(gone):
             assert cut[i]["text"] == r["text"]
         else:
