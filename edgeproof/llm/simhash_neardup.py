@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._arrow import chunks, mix, prefix_hash, range_hash, text_buffer, word_bounds, word_hashes, written
 from .components import components
@@ -206,6 +207,7 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts whose shingle sets are similar by 0.8 or more differ in few bits of a wide fingerprint, and share a block. Blocks of up to
     ``pairwise`` rows are compared pair by pair; those of a more crowded one with some leaders, chosen by hash. Pairs within ``bits`` whose shingle sets are ``similar`` are links.
+    Of crowded blocks whose members are not all in one group by then, the members are compared exactly: see ``crowded_pairs``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +236,8 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = pairs.join(nodes.select(F.col("node").alias("u"), F.col("wide").alias("x")), "u").join(nodes.select(F.col("node").alias("v"), F.col("wide").alias("y")), "v")
     differ = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WIDE)), F.lit(0))
     near = written(both.where(differ <= bits).select("u", "v"), "near")
-    used = near.select(F.col("u").alias("node")).unionAll(near.select(F.col("v").alias("node"))).distinct()
+    hot = rows.join(size.where(F.col("n") > pairwise).select("block").hint("merge"), "block", "left_semi")
+    used = near.select(F.col("u").alias("node")).unionAll(near.select(F.col("v").alias("node"))).unionAll(hot.select("node")).distinct()
     # merged at every size: what is used, and below what goes, grows with the corpus and must not be broadcast
     text = own.select("node", "text").join(used.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -254,8 +257,47 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield b.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
     of = written(text.mapInArrow(sets, "node long, set binary"), "sets")
-    pair = near.join(of.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(of.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
-    return made.select("id", "node"), components(pair.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        pair = pairs.join(of.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(of.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+        return written(pair.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long"), "close")
+
+    found = close(near)
+    roots = written(components(found), "roots")
+    mixed = written(hot.join(roots.hint("merge"), "node", "left").select("block", "node", F.coalesce("root", "node").alias("root")), "hot")
+    torn = mixed.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("block")
+    crowd = mixed.join(torn, "block", "left_semi").select("node", "root").distinct()
+    left = close(crowded_pairs(of.join(crowd.hint("merge"), "node"), similar))
+    return made.select("id", "node"), roots if left.isEmpty() else components(found.unionAll(left))
+
+
+def crowded_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (u, v) of ``sets`` (node, root, set: 32-bit hashes) of different roots, among them all that are ``similar``.
+
+    Sets similar by s share one of the rarest (1 - s) of either's hashes, in one order of all hashes (the prefix filter, which is exact), and
+    their sizes differ by no more than s. Of those that share such a hash, all but the ones of its most frequent root are paired with all:
+    a pair of different roots has one of them.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b, text="set", most=1 << 20):
+                each = [np.unique(np.frombuffer(x, np.uint32)) for x in c.column("set").to_pylist()]
+                n = np.array([len(x) for x in each], np.int64)
+                node, root = (pa.array(np.repeat(np.asarray(c.column(x)), n)) for x in ("node", "root"))
+                yield pa.RecordBatch.from_arrays([node, root, pa.array(np.repeat(n, n)), pa.array(np.concatenate(each).astype(np.int64))], names=["node", "root", "n", "h"])
+
+    rows = written(sets.select("node", "root", "set").mapInArrow(flat, "node long, root long, n long, h long"), "hashes")
+    # a hash of one set alone makes no pair, but has its place in the order
+    often = rows.groupBy("h").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "h"))
+    first = rows.join(often.hint("merge"), "h").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1)
+    first = written(first.where("often > 1").select("h", "node", "root", "n"), "prefixes")
+    by_root = first.groupBy("h", "root").agg(F.count("*").alias("k"))
+    main = by_root.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
+    rest = first.join(main.hint("merge"), "h").where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    pair = rest.join(first.hint("merge"), "h").where((F.col("ra") != F.col("root")) & (F.least("na", "n") >= similar * F.greatest("na", "n") - 1e-9))
+    return written(pair.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).distinct(), "crowded")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = CLOSE_WIDTH, similar: float = SIMILAR) -> DataFrame:

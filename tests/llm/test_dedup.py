@@ -155,6 +155,22 @@ def test_close_copies_are_found_and_others_left_alone(spark):
     assert len(kept ^ want) <= 0.02 * len(want) and kept >= want - {i for i in want if i % 4}
 
 
+def test_large_group_of_close_copies_against_brute_force(spark):
+    """Copies similar to the base, less so to each other: every block is crowded, and leaders alone leave some apart."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        v = list(base)
+        for p in rng.sample(range(10, 290), rng.randint(5, 7)):
+            v[p] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(v)))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    root = groups(range(400), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = {r["doc_id"] for r in sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == {i for i in root if root[i] == i}
+
+
 def test_awkward_tables(spark, awkward, empty):
     for f in (lambda d: remove_matches(d), lambda d: remove_repeats(d), lambda d: sh.near_duplicates(d)):
         assert f(awkward).count() == awkward.count()
