@@ -134,6 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 CLOSE_WIDTH, PARTS, PART_SIZE, WIDE = 5, 24, 8, 8
 #: Similarity (Jaccard, of shingle sets) of close copies, and most differing bits: at 0.8 a mean of 77 of 512 differ, with a deviation of 8.
 SIMILAR, CLOSE_BITS = 0.8, 112
+#: Texts of fewer shingles differ in more bits; their pairs go to the exact check whatever the fingerprints.
+FEW_SHINGLES = 64
 #: Leaders that the members of a crowded block are compared with.
 LEADERS = 2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -165,8 +167,8 @@ def shingles(buf: np.ndarray, at: np.ndarray, width: int = CLOSE_WIDTH) -> tuple
     return g[once], own[once]
 
 
-def wide_fingerprints(buf: np.ndarray, at: np.ndarray, width: int = CLOSE_WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: WIDE words of SimHash over its different shingles; and blocks, as (text, key).
+def wide_fingerprints(buf: np.ndarray, at: np.ndarray, width: int = CLOSE_WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: WIDE words of SimHash over its different shingles, and their number; and blocks, as (text, key).
 
     A block is the SimHash of the shingles of one hash class. Classes hold a few shingles, so an edit changes few of them, and copies that
     share four fifths of their shingles share a block with near certainty. The number of classes doubles with a text's size, and a text near
@@ -199,30 +201,30 @@ def wide_fingerprints(buf: np.ndarray, at: np.ndarray, width: int = CLOSE_WIDTH)
         sim = _majority(np.ascontiguousarray(g[pick]), new, np.diff(np.append(new, len(pick))))
         rows.append(own[pick][new])
         keys.append(mix(sim ^ ((part[new] << 8) + k[new]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return wide, np.concatenate(rows), np.concatenate(keys)
+    return wide, size, np.concatenate(rows), np.concatenate(keys)
 
 
 def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = CLOSE_WIDTH, similar: float = SIMILAR, bits: int = CLOSE_BITS, pairwise: int = PAIRWISE) -> tuple[DataFrame, DataFrame]:
     """(id, node) of each row, node a hash of its text, so exact copies are one node; and (node, root) of those with a close copy, roots marking groups.
 
     Texts whose shingle sets are similar by 0.8 or more differ in few bits of a wide fingerprint, and share a block. Blocks of up to
-    ``pairwise`` rows are compared pair by pair; those of a more crowded one with some leaders, chosen by hash. Pairs within ``bits`` whose shingle sets are ``similar`` are links.
+    ``pairwise`` rows are compared pair by pair; those of a more crowded one with some leaders, chosen by hash. Pairs within ``bits``, or of few shingles, whose shingle sets are ``similar`` are links.
     Of crowded blocks whose members are not all in one group by then, the members are compared exactly: see ``crowded_pairs``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, most=1 << 20):
-                wide, rows, keys = wide_fingerprints(*text_buffer(b.column("text")), width)
+                wide, size, rows, keys = wide_fingerprints(*text_buffer(b.column("text")), width)
                 by = np.argsort(rows, kind="stable")
                 cut = np.searchsorted(rows[by], np.arange(b.num_rows + 1)).astype(np.int32)
                 lists = lambda v, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), lists(wide.ravel(), np.arange(0, wide.size + 1, WIDE)), lists(np.ascontiguousarray(keys[by]), cut)], names=["id", "node", "wide", "blocks"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), lists(wide.ravel(), np.arange(0, wide.size + 1, WIDE)), lists(np.ascontiguousarray(keys[by]), cut), pa.array(size.astype(np.int64))], names=["id", "node", "wide", "blocks", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.col(text_col).alias("text"))
-    made = written(own.mapInArrow(run, f"id {kind}, node long, wide array<long>, blocks array<long>"), "wide")
-    nodes = made.select("node", "wide", "blocks").dropDuplicates(["node"])
+    made = written(own.mapInArrow(run, f"id {kind}, node long, wide array<long>, blocks array<long>, n long"), "wide")
+    nodes = made.select("node", "wide", "blocks", "n").dropDuplicates(["node"])
     nodes = written(nodes, "nodes")
     rows = nodes.select("node", F.explode(F.array_distinct("blocks")).alias("block"))
     size = rows.groupBy("block").agg(F.count("*").alias("n"), *(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(LEADERS))).where("n > 1")
@@ -233,9 +235,11 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lead = size.where(F.col("n") > pairwise).select("block", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS))))).alias("v"))
     star = rows.withColumnRenamed("node", "u").join(lead, "block").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = written(pairs.unionAll(star).distinct(), "pairs")
-    both = pairs.join(nodes.select(F.col("node").alias("u"), F.col("wide").alias("x")), "u").join(nodes.select(F.col("node").alias("v"), F.col("wide").alias("y")), "v")
+    both = pairs.join(nodes.select(F.col("node").alias("u"), F.col("wide").alias("x"), F.col("n").alias("m")), "u").join(nodes.select(F.col("node").alias("v"), F.col("wide").alias("y"), "n"), "v")
     differ = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WIDE)), F.lit(0))
-    near = written(both.where(differ <= bits).select("u", "v"), "near")
+    # sizes that differ by more cannot be similar
+    sized = F.least("m", "n") >= similar * F.greatest("m", "n") - 1e-9
+    near = written(both.where(((differ <= bits) | (F.least("m", "n") < FEW_SHINGLES)) & sized).select("u", "v"), "near")
     hot = rows.join(size.where(F.col("n") > pairwise).select("block").hint("merge"), "block", "left_semi")
     used = near.select(F.col("u").alias("node")).unionAll(near.select(F.col("v").alias("node"))).unionAll(hot.select("node")).distinct()
     # merged at every size: what is used, and below what goes, grows with the corpus and must not be broadcast

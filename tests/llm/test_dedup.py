@@ -171,6 +171,17 @@ def test_large_group_of_close_copies_against_brute_force(spark):
     assert kept == {i for i in root if root[i] == i}
 
 
+def test_short_copies_are_found(spark):
+    """Eight words and the same with one added, four fifths similar: more differing bits than longer texts have, and every pair is found."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(1500):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(w[:8])), (2 * i + 1, " ".join(w))]
+    got = sorted(r["doc_id"] for r in sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id").collect())
+    assert got == [2 * i for i in range(1500)]
+
+
 def test_awkward_tables(spark, awkward, empty):
     for f in (lambda d: remove_matches(d), lambda d: remove_repeats(d), lambda d: sh.near_duplicates(d)):
         assert f(awkward).count() == awkward.count()
