@@ -1,12 +1,13 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, broadcast to the workers.
+"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, in parts by hash range.
 
 Words and word pairs of the training texts are counted exactly: tasks send sorted arrays of hashes and counts, dealt out by
-hash range, so no frequent word is a hot key. A pair (or a word too rare for the exact table below) with count c is stored at the
-levels 1..q of a Bloom filter, q = 1 + floor(log_b(c / least)); its quantised count is read back by probing level after level until one
-is missing. The text's probability interpolates pair and word estimates from these counts.
+hash range, so no frequent word is a hot key. A word or pair with count c is stored at the levels 1..q of its range's part of a Bloom
+filter, q = 1 + floor(log_b(c / least)); its quantised count is read back by probing level after level until one is missing. The
+text's probability interpolates pair and word estimates from these counts. The filter grows with its entries, so it is never
+gathered or broadcast: chunks of texts ask each range for their pairs and rarer words, and the range answers.
 
 The base score needs exact counts of every token. The most frequent ones fit a table of bounded size, which is broadcast; tokens
-beyond it are sent, as arrays, to the counts of their hash range, and their sums come back to their texts.
+beyond it are asked for with the pairs.
 """
 
 from __future__ import annotations
@@ -16,23 +17,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import chunks, mix, text_buffer, word_bounds, word_hashes, written
+from ._exchange import MESSAGE, answered, bodies, chunk_table, deltas, expand, messages, send, squeeze, unpacked
 
-#: Most words in the exact table; most bytes of the filter; bits an entry and level; and the base of the quantisation.
+#: Most words in the exact table; bits an entry and level of the filter; and the base of the quantisation.
 HEAD = 1 << 19
-FILTER_BYTES = 64 << 20
 BITS = 16
 BASE = 1.5
-#: Pairs seen less often are not stored; a larger count is the least where the filter would not fit.
+#: Words and pairs seen less often are not stored, at any size.
 LEAST = 2
 #: Weight of the pair estimate: TOP * c / (c + KAPPA) for a first word of count c.
 TOP, KAPPA = 0.2, 2.0
 #: Words gathered before they are sent.
 GATHER = 3 << 19
+#: Bytes of text that ask together.
+ASK = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -84,7 +86,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def count_ngrams(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """bucket, kind (1 words, 2 pairs from LEAST on), keys (sorted hashes), counts, and of words texts and tokens; one row a bucket and kind with anything."""
+    """bucket, keys (sorted hashes of words), counts, bits (of the filter of words and pairs), texts and tokens; one row a bucket with anything."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {1: [], 2: []}
@@ -119,25 +121,23 @@ def count_ngrams(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
             yield flush()
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = []
-        for kind in (0, 1, 2):
+        of = {1: _summed([]), 2: _summed([])}
+        for kind in of:
             own = table.filter(pa.compute.equal(table["kind"], kind))
-            if not own.num_rows:
-                continue
             parts = []
             for keys, small, large in zip(own["keys"].to_pylist(), own["small"].to_pylist(), own["large"].to_pylist(), strict=True):
                 n = np.frombuffer(small, np.uint8).astype(np.int64)
                 n[n == 255] = np.frombuffer(large, "<i8")
                 parts.append((np.frombuffer(keys, "<u8"), n))
-            keys, n = _summed(parts)
-            total = int(n.sum())
-            if kind == 2:
-                keys, n = keys[n >= LEAST], n[n >= LEAST]
-            rows.append((table["bucket"][0].as_py(), kind, _packed(keys), n.astype("<i8").tobytes(), int(pa.compute.sum(own["texts"]).as_py()), total))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["bucket", "kind", "keys", "counts", "texts", "tokens"])
+            of[kind] = _summed(parts)
+        keys, n = (np.concatenate(x) for x in zip(*of.values(), strict=True))
+        keys, n = keys[n >= LEAST], n[n >= LEAST]
+        bits = _filter_part(keys, n, LEAST, BASE, BITS).tobytes() if len(keys) else b""
+        row = (table["bucket"][0].as_py(), _packed(of[1][0]), of[1][1].astype("<i8").tobytes(), bits, int(pa.compute.sum(table["texts"]).as_py()), int(of[1][1].sum()))
+        return pa.table([pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["bucket", "keys", "counts", "bits", "texts", "tokens"])
 
     sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "bucket long, kind long, keys binary, small binary, large binary, texts long")
-    return sent.groupBy("bucket").applyInArrow(gather, "bucket long, kind long, keys binary, counts binary, texts long, tokens long")
+    return sent.groupBy("bucket").applyInArrow(gather, "bucket long, keys binary, counts binary, bits binary, texts long, tokens long")
 
 
 #: Counts 1..EXACT have a cell of their own in histograms; beyond, one cell each power of two.
@@ -148,22 +148,20 @@ def _cell(n: np.ndarray) -> np.ndarray:
     return np.where(n <= _EXACT, n, _EXACT + np.log2(np.maximum(n, 1)).astype(np.int64))
 
 
-def _histogram(counted: DataFrame) -> dict[int, np.ndarray]:
-    """Of words and pairs: how many have a count in each cell."""
+def _histogram(counted: DataFrame) -> np.ndarray:
+    """How many words have a count in each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros(_EXACT + 64, np.int64) for k in (1, 2)}
+        total = np.zeros(_EXACT + 64, np.int64)
         for b in batches:
-            for kind, counts in zip(b.column("kind").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                total[kind] += np.bincount(_cell(np.frombuffer(counts, "<i8")), minlength=_EXACT + 64)
-        for k, v in total.items():
-            i = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k)), pa.array(i), pa.array(v[i])], names=["kind", "cell", "n"])
-
-    got = counted.where("kind > 0").select("kind", "counts").mapInArrow(run, "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
-    out = {k: np.zeros(_EXACT + 64, np.int64) for k in (1, 2)}
-    for r in got:
-        out[r["kind"]][r["cell"]] = r["n"]
+            for counts in b.column("counts").to_pylist():
+                total += np.bincount(_cell(np.frombuffer(counts, "<i8")), minlength=_EXACT + 64)
+        i = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], names=["cell", "n"])
+
+    out = np.zeros(_EXACT + 64, np.int64)
+    for r in counted.select("counts").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
     return out
 
 
@@ -181,14 +179,14 @@ def _probe(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """N and V of the training tokens, ends counted; exact counts of the most frequent words; the filter, in parts by hash range."""
+    """N and V of the training tokens, ends counted; exact counts of the most frequent words; a filter, in parts by hash range."""
 
     total: int
     kinds: int
     ends: int
     head: np.ndarray
     head_n: np.ndarray
-    least: int = LEAST
+    least: int = 2
     base: float = BASE
     start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     size: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
@@ -230,50 +228,38 @@ def _filter_part(keys: np.ndarray, n: np.ndarray, least: int, base: float, bits:
     return words
 
 
-def train(docs: DataFrame, text_col: str, head: int = HEAD, filter_bytes: int = FILTER_BYTES, buckets: int | None = None) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs``, and the table of exact word counts by hash range."""
+def train(docs: DataFrame, text_col: str, head: int = HEAD, buckets: int | None = None) -> tuple[Model, DataFrame]:
+    """The model of all rows of ``docs`` without its filter, and the table of exact word counts and parts of the filter by hash range."""
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = written(count_ngrams(docs, text_col, buckets), "ngrams")
-    facts = counted.groupBy("kind").agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens"), F.sum(F.octet_length("counts") / 8).cast("long").alias("keys")).collect()
-    of = {r["kind"]: r for r in facts}
-    ends = of[0]["texts"] if 0 in of else 0
-    total, kinds = ends + (of[1]["tokens"] if 1 in of else 0), (1 if ends else 0) + (of[1]["keys"] if 1 in of else 0)
-    hist = _histogram(counted)
+    facts = counted.agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens"), F.sum(F.octet_length("counts") / 8).cast("long").alias("keys")).first()
+    ends = facts["texts"] or 0
+    total, kinds = ends + (facts["tokens"] or 0), (1 if ends else 0) + (facts["keys"] or 0)
     cells = np.arange(_EXACT + 64)
     low = np.where(cells <= _EXACT, cells, 2 ** np.clip(cells - _EXACT, 0, 62))
-    above = np.cumsum(hist[1][::-1])[::-1]
+    above = np.cumsum(_histogram(counted)[::-1])[::-1]
     floor = int(low[np.flatnonzero(above <= head)[0]]) if len(np.flatnonzero(above <= head)) else int(low[-1])
     floor = max(1, floor)
-    # the least count for which the filter keeps within its bytes
-    entries = lambda k: sum(float((h[cells >= k] * _levels(low[cells >= k], k, BASE)).sum()) for h in (hist[2], np.where(low < floor, hist[1], 0)))
-    least = next((k for k in range(LEAST, _EXACT) if entries(k) * BITS / 8 <= filter_bytes), _EXACT)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket, kind, keys, counts in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "keys", "counts")), strict=True):
+            for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 k, n = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8")
                 some = n >= floor
-                rows = [(bucket, kind, k[some].tobytes(), n[some].tobytes())] if kind == 1 else []
-                rest = (n >= least) & ~(some & (kind == 1))
-                rows.append((bucket, 2 + kind, k[rest].tobytes(), n[rest].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "keys", "counts"])
-
-    def build(table: pa.Table) -> pa.Table:
-        own = list(zip(*(table[c].to_pylist() for c in ("keys", "counts")), strict=True))
-        k = np.concatenate([np.frombuffer(x, "<u8") for x, _ in own])
-        n = np.concatenate([np.frombuffer(x, "<i8") for _, x in own])
-        return pa.table({"bucket": table["bucket"][:1], "bits": pa.array([_filter_part(k, n, least, BASE, BITS).tobytes() if len(k) else b""], pa.binary())})
-
-    split = counted.where("kind > 0").select("bucket", "kind", "keys", "counts").mapInArrow(part, "bucket long, kind long, keys binary, counts binary")
-    most = split.where("kind = 1").select("keys", "counts").collect()
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (k[some], n[some])], names=["keys", "counts"])
+
+    most = counted.select("keys", "counts").mapInArrow(part, "keys binary, counts binary").collect()
     keys, n = _summed([(np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")) for r in most])
-    model = Model(total, kinds, ends, keys, n, least)
-    got = {r["bucket"]: np.frombuffer(r["bits"], "<u8") for r in split.where("kind > 1").groupBy("bucket").applyInArrow(build, "bucket long, bits binary").collect()}
-    model.size = np.array([len(got.get(b, ())) for b in range(buckets)], np.int64)
-    model.start = np.cumsum(model.size) - model.size
-    model.words = np.concatenate([got[b] for b in sorted(got)]) if got else model.words
-    return model, counted.where("kind = 1").select("bucket", "keys", "counts")
+    return Model(total, kinds, ends, keys, n, LEAST), counted.select("bucket", "keys", "counts", "bits")
+
+
+def _asked(m: Model, buf: np.ndarray, at: np.ndarray) -> tuple:
+    """Of a chunk: tokens and the first of each text, different words, their place by token and counts (-1 not in the table), different pairs, their place by token."""
+    h, first = tokens(buf, at)
+    u, inv = np.unique(h, return_inverse=True)
+    pair, joint = np.unique(pairs(h, first)[2], return_inverse=True)
+    return h, first, u, inv, m.head_counts(u), pair, joint
 
 
 def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -286,54 +272,49 @@ def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType
-    names = ["bucket", "chunk", "keys", "rows", "ids", "n", "known", "head", "score"]
-    schema = f"bucket long, chunk long, keys binary, rows binary, ids array<{kind.simpleString()}>, n binary, known binary, head binary, score binary"
+    table = chunk_table(docs, id_col, text_col, "lm", ASK)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(buf: np.ndarray, at: np.ndarray, batch: pa.RecordBatch, row: int) -> Iterator[tuple[int, int, bytes]]:
+        _, _, u, _, c, pair, _ = _asked(shared.value, buf, at)
+        for kind, keys in ((1, u[c < 0]), (2, pair)):
+            cut = _dealt(keys, buckets)
+            for b in range(buckets):
+                if cut[b] < cut[b + 1]:
+                    yield b, kind, squeeze(deltas(keys[cut[b] : cut[b + 1]]))
+
+    def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Quantised counts of the keys of each message, and of words the exact ones."""
+        m = Model(0, 0, 0, *(np.concatenate([np.frombuffer(x, t) for x in right[c].to_pylist()] or [np.zeros(0, t)]) for c, t in (("keys", "<u8"), ("counts", "<i8"))), LEAST)
+        m.words = np.concatenate([np.frombuffer(x, "<u8") for x in right["bits"].to_pylist()] or [m.words])
+        m.size, m.start = np.array([len(m.words)]), np.zeros(1, np.int64)
+        rows = []
+        for bucket, chunk, kind, body in zip(*(left[c].to_pylist() for c in ("bucket", "chunk", "kind", "body")), strict=True):
+            keys = np.cumsum(expand(body)[0], dtype=np.uint64)
+            got = m.quantised(keys)
+            level = np.where(got > 0, 1 + np.rint(np.log(np.maximum(got, LEAST) / LEAST) / np.log(BASE)), 0).astype(np.uint8)
+            rows.append((bucket, chunk, kind, squeeze(level, np.maximum(m.head_counts(keys), 0)) if kind == 1 else squeeze(level)))
+        return pa.Table.from_batches([messages(rows)])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scale = np.log10(m.total + m.kinds + 1.0)
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            tag = xxhash.xxh64()
-            for x in held:
-                tag.update(x[-1])
-            chunk = tag.intdigest() - (1 << 63)
-            base = np.cumsum([0] + [len(x[1]) for x in held])
-            tails = np.concatenate([x[5] for x in held])
-            rows = np.concatenate([x[6] + s for x, s in zip(held, base[:-1], strict=True)])
-            order = np.argsort(tails, kind="stable")
-            tails, rows = tails[order], rows[order]
-            cut = _dealt(tails, buckets)
-            blob = lambda k, t: np.concatenate([x[k] for x in held]).astype(t).tobytes()
-            out = [(chunk % buckets, chunk, None, None, [i for x in held for i in x[0]], blob(1, "<i8"), blob(2, "<i8"), blob(3, "<f8"), blob(4, "<f8"))]
-            out += [(b, chunk, _packed(tails[cut[b] : cut[b + 1]]), rows[cut[b] : cut[b + 1]].astype("<i4").tobytes(), None, None, None, None, None) for b in range(buckets) if cut[b] < cut[b + 1]]
-            held.clear()
-            ids = pa.list_(id_type)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), ids, *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-        for whole in batches:
-            id_type = whole.schema.field("id").type
-            for b in chunks(whole):
-                buf, at = text_buffer(b.column("text"))
-                h, first = tokens(buf, at)
-                texts, n = b.num_rows, np.diff(first)
+        value = np.append(0.0, LEAST * BASE ** np.arange(255.0))
+        for b in batches:
+            for row in range(b.num_rows):
+                h, first, u, inv, c, pair, joint_at = _asked(m, *unpacked(b, row))
+                got = bodies(b, "got", row)
+                of = {k: [expand(got[key]) for key in sorted(got) if key[0] == k] for k in (1, 2)}
+                texts, n = len(first) - 1, np.diff(first)
                 doc = np.repeat(np.arange(texts), n)
-                u, inv = np.unique(h, return_inverse=True)
-                c = m.head_counts(u)
                 inside = c >= 0
-                head = np.bincount(doc, np.where(inside, np.log10(np.maximum(c, 0) + 1.0), 0.0)[inv], texts)
-                known = np.bincount(doc, inside[inv], texts)
-                head += np.log10(m.ends + 1.0)
-                known += bool(m.ends)
-                out = np.flatnonzero(~inside[inv])
-                # the model: counts of words from the table or the filter, of pairs from the filter
-                word = np.where(inside, c, 0).astype(float)
-                word[~inside] = m.quantised(u[~inside])
-                pair = pairs(h, first)[2]
-                joint = m.quantised(pair)
+                # counts of words from the table, or exact and quantised ones from the range
+                count, word = np.maximum(c, 0), np.where(inside, c, 0).astype(float)
+                if of[1]:
+                    count[~inside] = np.concatenate([x[1] for x in of[1]])
+                    word[~inside] = value[np.concatenate([x[0] for x in of[1]])]
+                joint = value[np.concatenate([x[0] for x in of[2]])][joint_at]
+                known = np.bincount(doc, (count > 0)[inv], texts) + bool(m.ends)
+                base = np.bincount(doc, np.log10(count + 1.0)[inv], texts) + np.log10(m.ends + 1.0) - scale * (n + 1)
                 end_at = first[1:] + np.arange(texts)
                 now_n = np.insert(word[inv], first[1:], m.ends)
                 # a quantised count is a lower bound: as a divisor its upper one is taken
@@ -345,51 +326,12 @@ def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id
                 weight = np.where(prev_n > 0, TOP * prev_n / (prev_n + KAPPA), 0.0)
                 p = weight * np.where(prev_n > 0, joint / np.maximum(prev_n, 1.0), 0.0) + (1 - weight) * (now_n + 1.0) / (m.total + m.kinds + 1.0)
                 owner = np.repeat(np.arange(texts), n + 1)
-                model_score = np.bincount(owner, np.log10(p), texts)
-                held.append((b.column("id").to_pylist(), n + 1, known, head - scale * (n + 1), model_score, h[out], doc[out], buf.tobytes() + str(b.column("id").to_pylist()).encode()))
-                size += len(h)
-                if size >= GATHER:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+                ids = b.column("ids").slice(row, 1).flatten()
+                cols = [ids, pa.array(n + 1), pa.array(np.round(known).astype(np.int64)), pa.array(np.round(base, 6)), pa.array(np.round(np.bincount(owner, np.log10(p), texts), 6))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "n_known", "base_score", "score"])
 
-    def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Sums over the sent tokens by text, in place of the tokens; what a chunk keeps of its texts passes."""
-        known = [(np.frombuffer(k, "<u8"), np.frombuffer(n, "<i8")) for k, n in zip(right["keys"].to_pylist(), right["counts"].to_pylist(), strict=True)]
-        keys, n = known[0] if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        out = left.to_pydict()
-        for i, (k, r) in enumerate(zip(out["keys"], out["rows"], strict=True)):
-            if k is None:
-                continue
-            k, r = np.frombuffer(k, "<u8"), np.frombuffer(r, "<i4")
-            at = np.searchsorted(keys, k)
-            at[at == len(keys)] = 0
-            c = np.where(keys[at] == k, n[at], 0) if len(keys) else np.zeros(len(k), np.int64)
-            rows, inv = np.unique(r, return_inverse=True)
-            out["keys"][i] = None
-            out["rows"][i] = rows.astype("<i4").tobytes()
-            out["known"][i] = np.bincount(inv, c > 0, len(rows)).astype("<i8").tobytes()
-            out["head"][i] = np.bincount(inv, np.log10(c + 1.0), len(rows)).astype("<f8").tobytes()
-        return pa.table([pa.array(out[c], left.schema.field(c).type) for c in names], names=names)
-
-    def finish(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        own = [r for r in rows if r["rows"] is None]
-        known = np.frombuffer(own[0]["known"], "<i8").astype(np.float64)
-        base = np.frombuffer(own[0]["head"], "<f8").copy()
-        for r in rows:
-            if r["rows"] is not None:  # equal chunks share a name, and each sent the same: their mean
-                at = np.frombuffer(r["rows"], "<i4")
-                known[at] += np.frombuffer(r["known"], "<i8") / len(own)
-                base[at] += np.frombuffer(r["head"], "<f8") / len(own)
-        ids = table["ids"].combine_chunks().drop_null().flatten()
-        tile = lambda x: np.tile(x, len(own))
-        return pa.table([ids, tile(np.frombuffer(own[0]["n"], "<i8")), tile(np.round(known).astype(np.int64)), tile(np.round(base, 6)), np.concatenate([np.round(np.frombuffer(r["score"], "<f8"), 6) for r in own])], names=["id", "n_tokens", "n_known", "base_score", "score"])
-
-    sent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(send, schema)
-    solved = sent.groupBy("bucket").cogroup(exact.groupBy("bucket")).applyInArrow(resolve, schema)
-    got = solved.groupBy("chunk").applyInArrow(finish, f"id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    solved = send(table, ask).groupBy("bucket").cogroup(exact.groupBy("bucket")).applyInArrow(resolve, MESSAGE)
+    got = answered(table, solved, "got").select("ids", "at", "text", "got").mapInArrow(finish, f"id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     return got.withColumnRenamed("id", id_col)
 
 

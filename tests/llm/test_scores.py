@@ -134,3 +134,27 @@ def test_awkward_tables(spark, awkward, empty):
         assert len(got) == d.count() and all(r["n_tokens"] >= 1 for r in got)
     model, exact = lm.train(empty, "text")
     assert lm.score(awkward, model, exact).count() == awkward.count()
+
+
+def test_filter_grows_with_its_entries(spark):
+    """No cap: every pair of the least count is scored as seen, and nothing of the filter is in the model that is broadcast."""
+    rng = random.Random(8)
+    words = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(300)]
+    df = spark.createDataFrame([(i, words[i // lm.LEAST]) for i in range(300 * lm.LEAST)], "doc_id long, text string").repartition(3)
+    model, exact = lm.train(df, "text")
+    assert model.least == lm.LEAST and not len(model.words)
+    bits = sum(len(r["bits"]) for r in exact.collect())
+    assert bits >= (len({tuple(p) for t in words for p in zip(["^", *t.split()], [*t.split(), "$"])}) * lm.BITS) // 8
+    c = Counter(w for t in words for w in t.split() for _ in range(lm.LEAST))
+    ends = 300 * lm.LEAST
+    total, kinds = sum(c.values()) + ends, len(c) + 1
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, model, exact).collect()}
+    close = 0
+    for i, s in got.items():
+        w, want = words[i // lm.LEAST].split(), 0.0
+        for a, b in zip([None, *w], [*w, None]):
+            prev, now = ends if a is None else c[a], ends if b is None else c[b]
+            weight = lm.TOP * prev / (prev + lm.KAPPA)
+            want += math.log10(weight * lm.LEAST / prev + (1 - weight) * (now + 1) / (total + kinds + 1))
+        close += abs(s - want) < 0.02 * abs(want)
+    assert close >= 0.95 * len(got)
