@@ -27,8 +27,8 @@ from ._exchange import MESSAGE, answered, bodies, chunk_table, deltas, expand, m
 HEAD = 1 << 19
 BITS = 16
 BASE = 1.5
-#: Words and pairs seen less often are not stored, at any size.
-LEAST = 2
+#: Words and pairs seen less often are not stored, at any size: from 1 on, level 1 means seen.
+LEAST = 1
 #: Weight of the pair estimate: TOP * c / (c + KAPPA) for a first word of count c.
 TOP, KAPPA = 0.2, 2.0
 #: Words gathered before they are sent.

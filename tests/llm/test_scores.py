@@ -158,3 +158,14 @@ def test_filter_grows_with_its_entries(spark):
             want += math.log10(weight * lm.LEAST / prev + (1 - weight) * (now + 1) / (total + kinds + 1))
         close += abs(s - want) < 0.02 * abs(want)
     assert close >= 0.95 * len(got)
+
+
+def test_pairs_seen_once_count(spark):
+    """A text learned once scores better than its words in another order."""
+    rng = random.Random(9)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(20)] for _ in range(200)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string").repartition(3)
+    model, exact = lm.train(df, "text")
+    mixed = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)] + [(200 + i, " ".join(w[::-1])) for i, w in enumerate(words)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(mixed, model, exact).collect()}
+    assert sum(got[i] > got[200 + i] + 10 for i in range(200)) >= 195
