@@ -258,6 +258,18 @@ def ht_root_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ht.root_replies(g, cut(ht.cd_candidates(g, t)).where("product <= 100"), t).drop("g")
 
 
+def _all_root_replies(g: Graph, o: ht.RootOptions = ht.RootOptions()) -> DataFrame:
+    t = _targets(g)
+    cds = cut(ht.cd_candidates(g, t, o))
+    return ht.root_replies(g, cds.where(F.col("product") <= o.reply_combinations) if o.reply_combinations else cds, t).drop("g")
+
+
+@_query()
+def ht_root_replies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint replies of all root candidates within the default limit of combinations; no SQL, a test holds it against brute force."""
+    return _all_root_replies(synth.embeddings_graph(spark, sf_dir))
+
+
 @_query()
 def ht_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of the search over the two longest targets of the derived graph."""

@@ -44,3 +44,32 @@ def test_feed_gives_new_candidates(spark, tmp_path):
     after = {r["edge_id"] for r in jv.candidates(feed.graph).collect()}
     assert feed.graph.active().count() == g.active().count() - 1
     assert after - before <= {r["edge_id"] for r in seen} <= after
+
+
+def test_all_root_replies_against_brute_force(spark):
+    """Every joint reply of every root candidate of a complete graph, most candidates of which have over 100."""
+    import math
+    import random
+    from itertools import combinations
+
+    from edgeproof.operators.graph import POINTS, complete_graph
+
+    rng = random.Random(3)
+    at = [(rng.randrange(1000), rng.randrange(1000)) for _ in range(16)]
+    g = complete_graph(spark.createDataFrame([("r", i, float(x), float(y), x, y) for i, (x, y) in enumerate(at)], POINTS))
+    d = lambda a, b: math.floor(math.dist(at[a], at[b]) + 0.5)
+    survives = lambda u, v, a, b: d(u, b) + d(v, a) >= d(u, v) + d(a, b) or d(u, a) + d(v, b) >= d(u, v) + d(a, b)
+
+    def replies(u, v, c):
+        one = [m for m in range(16) if m != c and survives(u, v, c, m)]
+        return [(x, y) for x, y in combinations(one, 2) if (x, y) != (u, v) and d(u, v) + d(c, x) + d(c, y) <= d(x, y) + d(u, c) + d(v, c)]
+
+    want, large = [], 0
+    for u, v in combinations(range(16), 2):
+        of = {c: replies(u, v, c) for c in range(16) if c not in (u, v)}
+        cds = sorted((len(of[c]) * len(of[e]), c, e) for c, e in combinations(of, 2) if not survives(u, v, c, e))
+        for rank, (n, c, e) in enumerate(cds[:5], 1):
+            large += n > 100
+            want += [(rank, k, c, *x, e, *y) for k, (x, y) in enumerate((x, y) for x in of[c] for y in of[e])]
+    got = registry._all_root_replies(g).collect()
+    assert large and sorted(tuple(r)[1:] for r in got) == sorted(want)
