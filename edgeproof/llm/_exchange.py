@@ -23,18 +23,34 @@ MESSAGE = "bucket long, chunk long, kind long, body binary"
 _MESSAGE = [("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int64()), ("body", pa.binary())]
 
 
+#: Bytes of text whose hashes make a range; a range is answered in one task.
+RANGE_BYTES = 32 << 20
+#: Arrays of fewer bytes are sent as they are: compressed, they would be longer.
+SMALL = 128
+_PRESS, _RELEASE = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def press(data: bytes | np.ndarray) -> bytes:
+    return _PRESS.compress(data)
+
+
+def release(data: bytes, most: int = 0) -> bytes:
+    return _RELEASE.decompress(data, max_output_size=most)
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length or several, by byte planes, compressed."""
+    """Arrays of one length or several, by byte planes, compressed unless they are small."""
     parts = []
     for a in arrays:
         a = np.ascontiguousarray(a)
         planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
         parts += [len(a).to_bytes(4, "little"), a.dtype.str.encode().ljust(4), planes]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    raw = b"".join(parts)
+    return b"\0" + raw if len(raw) < SMALL else b"\1" + press(raw)
 
 
 def expand(data: bytes) -> list[np.ndarray]:
-    raw, out, at = zstandard.ZstdDecompressor().decompress(data), [], 0
+    raw, out, at = (release(data[1:]) if data[0] else data[1:]), [], 0
     while at < len(raw):
         n, kind = int.from_bytes(raw[at : at + 4], "little"), np.dtype(raw[at + 4 : at + 8].decode().strip())
         at += 8
@@ -53,34 +69,59 @@ def range_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def cuts(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted(range_of(sorted_keys, buckets), np.arange(buckets + 1))
+def runs(sorted_ranges: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each range that occurs, with its first place and the one after its last."""
+    edge = np.flatnonzero(np.append(True, sorted_ranges[1:] != sorted_ranges[:-1])[: len(sorted_ranges)]).tolist()
+    yield from zip(sorted_ranges[edge].tolist(), edge, [*edge[1:], len(sorted_ranges)][: len(edge)], strict=True)
+
+
+def parts(sorted_keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """Each hash range that sorted hashes meet, with its first place and the one after its last; however many ranges there are, the others cost nothing."""
+    return runs(range_of(sorted_keys, buckets))
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of hashes: where each different one stands first, in order, and to which of them each belongs."""
+    by = np.lexsort((b, a))
+    new = np.append(True, (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1]))[: len(a)]
+    inv = np.empty(len(a), np.int64)
+    inv[by] = np.cumsum(new) - 1
+    return by[new], inv
 
 
 def chunk_table(docs: DataFrame, id_col: str, text_col: str, name: str, most: int = 1 << 20) -> DataFrame:
-    """chunk (a number of its own), ids, at (offsets of the texts) and text (UTF-8, compressed), of about ``most`` bytes of text a row or one longer document; written to the shared folder, so chunks stay what they are."""
+    """chunk (a number of its own), ids, at (offsets of the texts), text (UTF-8, compressed) and size (its bytes), of about ``most`` bytes of text a row or one longer document; written to the shared folder, so chunks stay what they are."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        press = zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for b in chunks(whole, most=most):
                 buf, at = text_buffer(b.column("text"))
                 ids = b.column("id")
                 rows = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-                cols = [pa.array([number]), rows, pa.array([at.astype("<i8").tobytes()]), pa.array([press.compress(np.ascontiguousarray(buf))])]
-                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "at", "text"])
+                cols = [pa.array([number]), rows, pa.array([at.astype("<i8").tobytes()]), pa.array([press(np.ascontiguousarray(buf))]), pa.array([len(buf)])]
+                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "at", "text", "size"])
                 number += 1
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return written(own.mapInArrow(run, f"chunk long, ids array<{kind}>, at binary, text binary"), name)
+    return written(own.mapInArrow(run, f"chunk long, ids array<{kind}>, at binary, text binary, size long"), name)
+
+
+def text_bytes(table: DataFrame) -> int:
+    """Bytes of text of all chunks."""
+    return table.agg(F.sum("size")).first()[0] or 0
+
+
+def ranges(table: DataFrame) -> int:
+    """Number of hash ranges for a table of chunks: the session's shuffle partitions, or more, so that a range stays as large as it is at any size of the corpus."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(table) // RANGE_BYTES))
 
 
 def unpacked(table: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a chunk."""
     at = np.frombuffer(table.column("at")[row].as_py(), "<i8")
-    raw = zstandard.ZstdDecompressor().decompress(table.column("text")[row].as_py(), max_output_size=max(1, int(at[-1])))
+    raw = release(table.column("text")[row].as_py(), max(1, int(at[-1])))
     return np.frombuffer(raw, np.uint8), at
 
 
@@ -101,7 +142,7 @@ def send(table: DataFrame, ask: Callable[[np.ndarray, np.ndarray, pa.RecordBatch
     return table.mapInArrow(run, MESSAGE)
 
 
-def answer(sent: DataFrame, reply: Callable[[int, list[tuple[int, bytes]]], list[bytes]]) -> DataFrame:
+def answer(sent: DataFrame, buckets: int, reply: Callable[[int, list[tuple[int, bytes]]], list[bytes]]) -> DataFrame:
     """An answer to each message: reply(kind, messages of a range, as (chunk, body) by chunk) gives one for each."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -113,7 +154,7 @@ def answer(sent: DataFrame, reply: Callable[[int, list[tuple[int, bytes]]], list
         return pa.Table.from_batches([messages(out)])
 
     # by number, so that ranges are not put together by their size: an answer may take long over few bytes
-    return sent.repartition(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").groupBy("bucket").applyInArrow(run, MESSAGE)
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
 def answered(table: DataFrame, answers: DataFrame, name: str) -> DataFrame:
@@ -137,12 +178,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
 
 
+#: Low bits of a hash that give way to its place; the same everywhere, so that equal strings choose alike.
+PLACE = 24
+
+
 def anchors(gram: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least hash (by its high bits; the first of ties) among each ``width`` consecutive ones."""
-    n = len(gram)
-    bits = np.uint64(max(1, (n - 1).bit_length() if n < 1 << 24 else 24))
-    mask = (np.uint64(1) << bits) - np.uint64(1)
-    place = np.arange(n, dtype=np.uint64)
-    least = sliding_min((gram & ~mask) | (place & mask), width) & mask
-    at = np.arange(len(least), dtype=np.uint64)
-    return (at + ((least - at) & mask)).astype(np.int64)
+    """Place of the least hash among each ``width`` consecutive ones: by its high bits, and the first of those equal in them. It hangs on these hashes alone, wherever they stand."""
+    step = (1 << PLACE) - width
+    if len(gram) > 1 << PLACE:
+        return np.concatenate([anchors(gram[k : k + step + width - 1], width) + k for k in range(0, len(gram) - width + 1, step)])
+    mask = np.uint64((1 << PLACE) - 1)
+    place = np.arange(len(gram), dtype=np.uint64)
+    return (sliding_min((gram & ~mask) | place, width) & mask).astype(np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import chunks, mix, text_buffer, word_bounds, word_hashes, written
-from ._exchange import MESSAGE, answered, bodies, chunk_table, deltas, expand, messages, send, squeeze, unpacked
+from ._exchange import MESSAGE, answered, bodies, chunk_table, deltas, expand, messages, parts, ranges, send, squeeze, unpacked
 
 #: Most words in the exact table; bits an entry and level of the filter; and the base of the quantisation.
 HEAD = 1 << 19
@@ -277,10 +277,8 @@ def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id
     def ask(buf: np.ndarray, at: np.ndarray, batch: pa.RecordBatch, row: int) -> Iterator[tuple[int, int, bytes]]:
         _, _, u, _, c, pair, _ = _asked(shared.value, buf, at)
         for kind, keys in ((1, u[c < 0]), (2, pair)):
-            cut = _dealt(keys, buckets)
-            for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    yield b, kind, squeeze(deltas(keys[cut[b] : cut[b + 1]]))
+            for b, x, y in parts(keys, buckets):
+                yield b, kind, squeeze(deltas(keys[x:y]))
 
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
         """Quantised counts of the keys of each message, and of words the exact ones."""

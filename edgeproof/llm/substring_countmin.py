@@ -1,10 +1,10 @@
 """Substring dedup: count-min prefilter.
 
-A window is so many consecutive words. Equal windows have the same anchor, the least of their shorter word runs by hash, so no window
-occurs more often than its anchor. Partitions count anchors in a count-min sketch (two rows, counters that stop at two), kept sparse;
-the sketches are merged by range of cells, and only the bits "two or more" are broadcast: a bounded size. The second pass sends
-the windows whose anchor is estimated to be repeated to an exact grouping, which tells each chunk whether its first occurrence of a window
-is the first of all. A window that occurs twice is always estimated so; one that is estimated so in vain is found single there.
+A window is so many consecutive words. First all windows are counted in a count-min sketch of two rows: each chunk makes a sparse sketch
+of its own windows, the sketches are merged by range of cells (counters that stop at two), and each range answers a chunk which of its
+cells hold two or more. A window's estimate is the lesser of its two cells, so never too low. The second pass sends only windows
+estimated to be repeated to an exact grouping, which tells each chunk whether its first occurrence of a window is the first of all; one
+estimated so in vain is found single there. The sketch has so many cells for a word of the corpus, in parts by range, and is never gathered.
 """
 
 from __future__ import annotations
@@ -16,112 +16,98 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import _exchange as ex
 from ._arrow import mix, prefix_hash, range_hash, word_bounds, word_hashes
 
-#: Words of a window and of an anchor.
-WINDOW, GRAM = 20, 12
-#: Cells of the sketch: so many for a word, this number at most (both rows; a bit each is broadcast).
-CELLS_A_WORD, CELLS = 4, 1 << 28
-_BASE = 0xC2B2AE3D27D4EB4F
+#: Words of a window.
+WINDOW = 20
+#: Cells of the sketch for each word of the corpus (both rows), and bytes a word is taken to have.
+CELLS_A_WORD, WORD_BYTES = 8, 6
+#: Bytes of text that ask together.
+ASK = 4 << 20
+_BASE, _CHECK = 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15
 
 
 @dataclass
 class Windows:
-    """Words of a chunk, and of each window its first word, text, anchor place and hash of the anchor."""
+    """Words of a chunk; of each window its first word and text."""
 
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    prefix: np.ndarray
+    words: np.ndarray
     at: np.ndarray
     doc: np.ndarray
-    anchor: np.ndarray
-    gram: np.ndarray
 
-    def hashes(self, pick: np.ndarray, width: int) -> np.ndarray:
-        return range_hash(self.prefix, self.at[pick], self.at[pick] + width, _BASE)
+    def hashes(self, width: int) -> np.ndarray:
+        return range_hash(prefix_hash(self.words, _BASE), self.at, self.at + width, _BASE)
 
+    def checks(self, pick: np.ndarray, width: int) -> np.ndarray:
+        """A second hash of some windows, of 32 bits."""
+        return (range_hash(prefix_hash(mix(self.words), _CHECK), self.at[pick], self.at[pick] + width, _CHECK) >> np.uint64(32)).astype(np.uint32)
 
-def windows(buf: np.ndarray, at: np.ndarray, width: int, gram: int) -> Windows:
+
+def windows(buf: np.ndarray, at: np.ndarray, width: int) -> Windows:
     start, end, first = word_bounds(buf, at)
-    h = word_hashes(buf, start, end)
-    prefix = prefix_hash(h, _BASE)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    n = len(h) - width + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return Windows(start, end, first, prefix, none, none, none, np.zeros(0, np.uint64))
-    grams = range_hash(prefix, np.arange(len(h) - gram + 1), np.arange(gram, len(h) + 1), _BASE)
-    place = ex.anchors(grams, width - gram + 1)
-    whole = np.flatnonzero(doc[:n] == doc[width - 1 :])
-    return Windows(start, end, first, prefix, whole, doc[whole], place[whole], grams[place[whole]])
-
-
-def _cells(anchor: np.ndarray, cells: int) -> np.ndarray:
-    """Cells of an anchor in the two rows, side by side."""
+    n = max(0, len(start) - width + 1)
+    whole = np.flatnonzero(doc[:n] == doc[width - 1 :][:n])
+    return Windows(start, end, first, word_hashes(buf, start, end), whole, doc[whole])
+
+
+def cells_of(h: np.ndarray, cells: int) -> np.ndarray:
+    """Cells of a window in the two rows, side by side."""
     half = np.uint64(cells // 2)
-    return np.stack([mix(anchor) % half, mix(anchor ^ np.uint64(0x9E3779B97F4A7C15)) % half + half])
-
-
-def sketch(table: DataFrame, width: int, gram: int, cells: int, buckets: int) -> np.ndarray:
-    """The merged sketch: of each cell the bit "counted twice or more"."""
-    span = -(-cells // (8 * buckets)) * 8
-
-    def ask(buf: np.ndarray, at: np.ndarray, *_) -> Iterator[tuple[int, int, bytes]]:
-        w = windows(buf, at, width, gram)
-        new = np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (w.doc[1:] != w.doc[:-1]))[: len(w.at)]
-        got = np.sort(_cells(w.gram[new], cells).ravel())
-        one = np.append(True, got[1:] != got[:-1])[: len(got)]
-        cell, times = got[one], np.diff(np.append(np.flatnonzero(one), len(got)))
-        cut = np.searchsorted(cell, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(span))
-        for b in range(buckets):
-            s, e = cut[b], cut[b + 1]
-            if s < e:
-                yield b, 0, ex.squeeze(ex.deltas(cell[s:e] - np.uint64(b * span)).astype(np.uint32), np.packbits(times[s:e] > 1))
-
-    def merge(table_: pa.Table) -> pa.Table:
-        count = np.zeros(span, np.uint8)
-        for body in table_["body"].to_pylist():
-            step, more = ex.expand(body)
-            cell = np.cumsum(step.astype(np.int64))
-            count[cell] = np.minimum(count[cell] + 1 + np.unpackbits(more, count=len(cell)), 2)
-        return pa.table({"bucket": table_["bucket"][:1], "bits": pa.array([np.packbits(count == 2).tobytes()], pa.binary())})
-
-    got = ex.send(table, ask).groupBy("bucket").applyInArrow(merge, "bucket long, bits binary").collect()
-    out = np.zeros(span * buckets // 8, np.uint8)
-    for r in got:
-        out[r["bucket"] * span // 8 :][: span // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _repeated(w: Windows, bits: np.ndarray, cells: int) -> np.ndarray:
-    """Windows whose anchor is estimated to occur twice."""
-    if not len(w.at):
-        return w.at
-    new = np.append(True, w.anchor[1:] != w.anchor[:-1])
-    cell = _cells(w.gram[new], cells).astype(np.int64)
-    hit = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
-    return np.flatnonzero((hit[0] & hit[1]).astype(bool)[np.cumsum(new) - 1])
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, gram: int = GRAM, cells: int | None = None, buckets: int | None = None, kept: bool = False) -> DataFrame:
+    return np.stack([mix(h) % half, mix(h ^ np.uint64(0x9E3779B97F4A7C15)) % half + half])
+
+
+def merged(got: list[tuple[int, bytes]], span: int) -> list[bytes]:
+    """The sketches of a range of ``span`` cells merged; of each message's cells, which hold two or more."""
+    count, each = np.zeros(span, np.uint8), []
+    for _, body in got:
+        step, more = ex.expand(body)
+        cell = np.cumsum(step.astype(np.int64))
+        count[cell] = np.minimum(count[cell] + 1 + np.unpackbits(more, count=len(cell)), 2)
+        each.append(cell)
+    return [np.packbits(count[cell] == 2).tobytes() for cell in each]
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, cells: int | None = None, buckets: int | None = None, kept: bool = False) -> DataFrame:
     """id_col, n_words, n_removed, kept_sha256 of each row, and with ``kept`` the kept words as text, joined by one space.
 
     A word goes if a window covers it whose words also start earlier: in a text of a smaller id, or in the same text. Null ids come
     first, and ids that are no integers in the order of their hash; rows of one id are ordered by the window's place alone, and where that
     is the same neither is earlier, so a repeated row has the result of its first one. Null, empty and short texts have no windows and stay.
     """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = ex.chunk_table(docs, id_col, text_col, "chunks")
+    table = ex.chunk_table(docs, id_col, text_col, "chunks", ASK)
+    buckets = buckets or ex.ranges(table)
     if cells is None:
-        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        cells = int(min(CELLS, max(1 << 12, CELLS_A_WORD * size // 6)))
-    cells = -(-cells // 16) * 16
-    shared = spark.sparkContext.broadcast(sketch(table, width, gram, cells, buckets))
+        cells = max(1 << 12, CELLS_A_WORD * ex.text_bytes(table) // WORD_BYTES)
+    cells += cells % 2
+    span = -(-cells // buckets)
+
+    def counted(buf: np.ndarray, at: np.ndarray) -> tuple[Windows, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows and their hashes; the different cells of all in order, and to which each window's two belong."""
+        w = windows(buf, at, width)
+        h = w.hashes(width)
+        cell, inv = np.unique(cells_of(h, cells).ravel(), return_inverse=True)
+        return w, h, cell, inv
+
+    def count(buf: np.ndarray, at: np.ndarray, *_) -> Iterator[tuple[int, int, bytes]]:
+        _, _, cell, inv = counted(buf, at)
+        more = np.bincount(inv, minlength=len(cell)) > 1
+        for k, s, e in ex.runs(cell // np.uint64(span)):
+            yield k, 0, ex.squeeze(ex.deltas(cell[s:e] - np.uint64(k * span)).astype(np.uint32), np.packbits(more[s:e]))
+
+    def estimate(buf: np.ndarray, at: np.ndarray, b: pa.RecordBatch, row: int) -> tuple[Windows, np.ndarray, np.ndarray]:
+        """Windows, those estimated to be repeated, and their hashes."""
+        w, h, cell, inv = counted(buf, at)
+        got, twice = ex.bodies(b, "estimates", row), np.zeros(len(cell), bool)
+        for k, s, e in ex.runs(cell // np.uint64(span)):
+            twice[s:e] = np.unpackbits(np.frombuffer(got[(0, k)], np.uint8), count=e - s)
+        pick = np.flatnonzero(twice[inv].reshape(2, -1).all(axis=0))
+        return w, pick, h[pick]
 
     def order(b: pa.RecordBatch, row: int) -> np.ndarray:
         ids = b.column("ids")[row].values
@@ -130,50 +116,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return np.array([np.iinfo(np.int64).min if x is None else int.from_bytes(hashlib.sha256(str(x).encode()).digest()[:7], "big") for x in ids.to_pylist()], np.int64)
 
     def entries(buf: np.ndarray, at: np.ndarray, b: pa.RecordBatch, row: int) -> tuple:
-        """Windows estimated to be repeated; their different hashes; to which of these each belongs; rank and id of each window; and the first one of each hash."""
-        w = windows(buf, at, width, gram)
-        pick = _repeated(w, shared.value, cells)
-        h = w.hashes(pick, width)
-        u, inv = np.unique(h, return_inverse=True)
+        """Windows; those estimated to be repeated; the two hashes of the different ones; to which each belongs; rank and place of each; the first of each different one; and the ids by rank."""
+        w, pick, h = estimate(buf, at, b, row)
+        check = w.checks(pick, width)
+        one, inv = ex.distinct(h, check)
         ids = order(b, row)
-        _, rank = np.unique(ids, return_inverse=True)
+        by_rank, rank = np.unique(ids, return_inverse=True)
         pos = w.at[pick] - w.first[w.doc[pick]]
         key = (rank[w.doc[pick]] << 40) + pos
-        least = np.full(len(u), np.iinfo(np.int64).max)
+        least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(least, inv, key)
-        return w, pick, u, inv, key, least, np.unique(ids)
+        return w, pick, h[one], check[one], inv, key, least, by_rank
 
     def ask(buf: np.ndarray, at: np.ndarray, b: pa.RecordBatch, row: int) -> Iterator[tuple[int, int, bytes]]:
-        _, _, u, _, _, least, ids = entries(buf, at, b, row)
-        cut = ex.cuts(u, buckets)
-        for k in range(buckets):
-            s, e = cut[k], cut[k + 1]
-            if s < e:
-                yield k, 1, ex.squeeze(ex.deltas(u[s:e]), ids[least[s:e] >> 40], (least[s:e] & ((1 << 40) - 1)).astype(np.uint32))
+        _, _, u, check, _, _, least, ids = entries(buf, at, b, row)
+        for k, s, e in ex.parts(u, buckets):
+            yield k, 1, ex.squeeze(ex.deltas(u[s:e]), check[s:e], ids[least[s:e] >> 40], (least[s:e] & ((1 << 40) - 1)).astype(np.uint32))
 
     def reply(_: int, got: list[tuple[int, bytes]]) -> list[bytes]:
-        parts = [ex.expand(body) for _, body in got]
-        h = np.concatenate([np.cumsum(p[0]) for p in parts])
-        ids, pos = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-        by = np.lexsort((pos, ids, h))
-        new = np.append(True, h[by][1:] != h[by][:-1])
+        each = [ex.expand(body) for _, body in got]
+        h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in each])
+        check, ids, pos = (np.concatenate([p[i] for p in each]) for i in (1, 2, 3))
+        by = np.lexsort((pos, ids, check, h))
+        new = np.append(True, (h[by][1:] != h[by][:-1]) | (check[by][1:] != check[by][:-1]))
         head = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
         own = np.empty(len(h), bool)
         own[by] = (ids[by] == ids[head]) & (pos[by] == pos[head])
-        cut = np.cumsum([0] + [len(p[0]) for p in parts])
+        cut = np.cumsum([0] + [len(p[0]) for p in each])
         return [np.packbits(own[s:e]).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
                 buf, at = ex.unpacked(b, row)
-                w, pick, u, inv, key, least, _ = entries(buf, at, b, row)
-                got, cut = ex.bodies(b, "answers", row), ex.cuts(u, buckets)
-                own = np.zeros(len(u), bool)
-                for k in range(buckets):
-                    s, e = cut[k], cut[k + 1]
-                    if s < e:
-                        own[s:e] = np.unpackbits(np.frombuffer(got[(1, k)], np.uint8), count=e - s)
+                w, pick, u, _, inv, key, least, _ = entries(buf, at, b, row)
+                got, own = ex.bodies(b, "answers", row), np.zeros(len(u), bool)
+                for k, s, e in ex.parts(u, buckets):
+                    own[s:e] = np.unpackbits(np.frombuffer(got[(1, k)], np.uint8), count=e - s)
                 again = pick[~(own[inv] & (key == least[inv]))]
                 edge = np.zeros(len(w.start) + 1, np.int64)
                 np.add.at(edge, w.at[again], 1)
@@ -195,7 +174,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = ex.answered(table, ex.answer(ex.send(table, ask), reply), "answers")
+    estimated = ex.answered(table, ex.answer(ex.send(table, count), buckets, lambda _, got: merged(got, span)), "estimates")
+    whole = ex.answered(estimated, ex.answer(ex.send(estimated, ask), buckets, reply), "answers")
     got = whole.mapInArrow(finish, f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept)
     return got.withColumnRenamed("id", id_col)
 

@@ -2,8 +2,8 @@
 
 A byte is removed if a string of ``width`` bytes covers it that also starts anywhere else. Equal strings have the same anchor, the
 least of their shorter grams by hash, at the same place; strings in a row with one anchor occurrence form a segment. First the
-chunks ask whether a segment occurs again as a whole (then all its strings do) and whether its anchor occurs in another
-segment. Only where different segments share an anchor are their bytes sent, each different segment once: there a suffix array gives
+chunks ask whether a segment occurs again as a whole (then all its strings do; two 64-bit hashes must agree) and how many different
+segments have its anchor. Only where different segments share an anchor are their bytes sent, each different segment once: there a suffix array gives
 a run-compressed Burrows-Wheeler transform with suffix positions sampled at both ends of its runs. Longest common prefixes are
 compared at these samples alone; streamed along the text they give every position's matching statistic, the length of its longest
 match elsewhere, and mark the long matches. Anchors with very many different segments go another exact way, so that no group grows with
@@ -25,7 +25,7 @@ from ._arrow import BYTE, mix, prefix_hash, range_hash
 
 #: Bytes of a string, and of an anchor.
 WIDTH, GRAM = 400, 200
-#: Anchors with more different segments than this (counted by chunk) are resolved by counting strings.
+#: Anchors with more different segments than this are resolved by counting strings.
 CROWD = 256
 #: Bytes of segments that an index holds, whole anchors together.
 INDEX_BYTES = 1 << 20
@@ -132,24 +132,28 @@ class RunLengthIndex:
 
 @dataclass
 class Segments:
-    """Of each segment: text, first and last string, anchor key and hash of its bytes; prefix gives hashes of strings."""
+    """Of each segment: text, first and last string, anchor key and two hashes of its bytes; prefixes give the two hashes of any string."""
 
     doc: np.ndarray
     first: np.ndarray
     last: np.ndarray
     key: np.ndarray
     content: np.ndarray
-    prefix: np.ndarray
+    check: np.ndarray
+    prefix: tuple[np.ndarray, np.ndarray]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return range_hash(self.prefix[0], start, end, _TWO), range_hash(self.prefix[1], start, end, _ONE)
 
 
 def segments(buf: np.ndarray, at: np.ndarray, width: int, gram: int) -> Segments:
     none, zero = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     n = len(buf) - width + 1
     if n <= 0 or (np.diff(at) < width).all():
-        return Segments(none, none, none, zero, zero, zero)
+        return Segments(none, none, none, zero, zero, zero, (zero, zero))
     unit = BYTE[buf]
-    prefix = prefix_hash(unit, _ONE)
-    grams = range_hash(prefix, np.arange(len(buf) - gram + 1), np.arange(gram, len(buf) + 1), _ONE)
+    prefix = (prefix_hash(unit, _TWO), prefix_hash(unit, _ONE))
+    grams = range_hash(prefix[1], np.arange(len(buf) - gram + 1), np.arange(gram, len(buf) + 1), _ONE)
     place = ex.anchors(grams, width - gram + 1)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     whole = doc[:n] == doc[width - 1 :]
@@ -157,9 +161,10 @@ def segments(buf: np.ndarray, at: np.ndarray, width: int, gram: int) -> Segments
     first = np.flatnonzero(new)
     end = whole & np.append(new[1:] | ~whole[1:], True)
     last = np.flatnonzero(end)
-    prefix = prefix_hash(unit, _TWO)
     # least hashes crowd the low ranges: mixed again, they spread
-    return Segments(doc[first], first, last, mix(grams[place[first]]), range_hash(prefix, first, last + width, _TWO), prefix)
+    out = Segments(doc[first], first, last, mix(grams[place[first]]), none, none, prefix)
+    out.content, out.check = out.hashes(first, last + width)
+    return out
 
 
 def _mark(found: list[np.ndarray], keys: np.ndarray, width: int) -> list[np.ndarray]:
@@ -185,66 +190,60 @@ def remove_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     strings repeat. Null texts are empty; texts shorter than ``width`` bytes stay. Ids are only passed on.
     """
     gram = gram or max(1, width // 2)
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = ex.chunk_table(docs, id_col, text_col, "chunks")
+    buckets = buckets or ex.ranges(table)
 
     def local(buf: np.ndarray, at: np.ndarray) -> tuple:
         """Segments; the different ones (name, an example, and to which each belongs); the different anchors, and to which each different segment belongs."""
         s = segments(buf, at, width, gram)
-        name, example, inv, count = np.unique(mix(s.key * np.uint64(3) ^ s.content), return_index=True, return_inverse=True, return_counts=True)
+        names = mix(s.key * np.uint64(3) ^ s.content)
+        example, inv = ex.distinct(names, s.check)
         anchor, of = np.unique(s.key[example], return_inverse=True)
-        return s, name, example, inv, count, anchor, of
+        return s, names[example], example, inv, anchor, of
 
     def ask(buf: np.ndarray, at: np.ndarray, *_) -> Iterator[tuple[int, int, bytes]]:
-        s, name, example, _, count, anchor, of = local(buf, at)
-        cut = ex.cuts(name, buckets)
-        for b in range(buckets):
-            x, y = cut[b], cut[b + 1]
-            if x < y:
-                yield b, 1, ex.squeeze(ex.deltas(name[x:y]), np.packbits(count[x:y] > 1))
-        low, high = np.full(len(anchor), ~np.uint64(0)), np.zeros(len(anchor), np.uint64)
-        np.minimum.at(low, of, s.content[example])
-        np.maximum.at(high, of, s.content[example])
-        kinds = np.minimum(np.bincount(of, minlength=len(anchor)), 1 << 30).astype(np.uint32)
-        cut = ex.cuts(anchor, buckets)
-        for b in range(buckets):
-            x, y = cut[b], cut[b + 1]
-            if x < y:
-                yield b, 2, ex.squeeze(ex.deltas(anchor[x:y]), low[x:y], np.where(high[x:y] == low[x:y], 0, high[x:y]).astype(np.uint64), kinds[x:y])
+        s, name, example, inv, anchor, of = local(buf, at)
+        more = np.bincount(inv, minlength=len(name)) > 1
+        for b, x, y in ex.parts(name, buckets):
+            yield b, 1, ex.squeeze(ex.deltas(name[x:y]), s.check[example[x:y]], np.packbits(more[x:y]))
+        # of each anchor the least hashes of its different segments, as many as tell whether it is crowded
+        by = np.lexsort((s.content[example], of))
+        head = np.searchsorted(of[by], np.arange(len(anchor) + 1))
+        by = by[np.arange(len(by)) - head[of[by]] <= crowd]
+        content, cut = s.content[example[by]], np.searchsorted(of[by], np.arange(len(anchor) + 1))
+        for b, x, y in ex.parts(anchor, buckets):
+            yield b, 2, ex.squeeze(ex.deltas(anchor[x:y]), np.diff(cut[x : y + 1]).astype(np.uint32), content[cut[x] : cut[y]])
 
     def reply(kind: int, got: list[tuple[int, bytes]]) -> list[bytes]:
-        parts = [ex.expand(body) for _, body in got]
-        cut = np.cumsum([0] + [len(p[0]) for p in parts])
-        u, inv = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        each = [ex.expand(body) for _, body in got]
+        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in each])
         if kind in (1, 4):
-            more = np.concatenate([np.unpackbits(p[1], count=len(p[0])) for p in parts]).astype(np.int64) + 1
+            u, inv = ex.distinct(keys, np.concatenate([p[1] for p in each]))
+            more = np.concatenate([np.unpackbits(p[2], count=len(p[0])) for p in each]).astype(np.int64) + 1
             again = (np.bincount(inv, more, len(u)) > 1)[inv]
             first = np.zeros(len(inv), bool)
-            first[np.unique(inv, return_index=True)[1]] = True  # the first chunk that has it
+            first[u] = True  # one chunk that has it
             bits = (again, first) if kind == 1 else (again,)
         else:
-            low, high, kinds = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-            high = np.where(high == 0, low, high)
-            least, most = np.full(len(u), ~np.uint64(0)), np.zeros(len(u), np.uint64)
-            np.minimum.at(least, inv, low)
-            np.maximum.at(most, inv, high)
-            bits = ((least != most)[inv], (np.bincount(inv, kinds, len(u)) > crowd)[inv])
+            u, inv = np.unique(keys, return_inverse=True)
+            of = np.repeat(inv, np.concatenate([p[1] for p in each]).astype(np.int64))
+            kinds = np.bincount(of[ex.distinct(of, np.concatenate([p[2] for p in each]))[0]], minlength=len(u))
+            bits = ((kinds > 1)[inv], (kinds > crowd)[inv])
+        cut = np.cumsum([0] + [len(p[0]) for p in each])
         return [b"".join(np.packbits(x[s:e]).tobytes() for x in bits) for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
     def read(got: dict, kind: int, sorted_keys: np.ndarray, n: int) -> list[np.ndarray]:
         """The answers' bits for each key."""
-        cut, out = ex.cuts(sorted_keys, buckets), [np.zeros(len(sorted_keys), bool) for _ in range(n)]
-        for b in range(buckets):
-            x, y = cut[b], cut[b + 1]
-            if x < y:
-                raw = np.frombuffer(got[(kind, b)], np.uint8).reshape(n, -1)
-                for o, r in zip(out, raw, strict=True):
-                    o[x:y] = np.unpackbits(r, count=y - x)
+        out = [np.zeros(len(sorted_keys), bool) for _ in range(n)]
+        for b, x, y in ex.parts(sorted_keys, buckets):
+            raw = np.frombuffer(got[(kind, b)], np.uint8).reshape(n, -1)
+            for o, r in zip(out, raw, strict=True):
+                o[x:y] = np.unpackbits(r, count=y - x)
         return out
 
     def state(buf: np.ndarray, at: np.ndarray, b: pa.RecordBatch, row: int) -> tuple:
         """What a chunk knows after the first answers: segments, inverse, examples, which different segments repeat as a whole, and which to compare by index or by strings (in the order of keys)."""
-        s, name, example, inv, _, anchor, of = local(buf, at)
+        s, name, example, inv, anchor, of = local(buf, at)
         got = ex.bodies(b, "first_answers", row)
         again, own = read(got, 1, name, 2)
         mixed, crowded = read(got, 2, anchor, 2)
@@ -258,22 +257,23 @@ def remove_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         n = s.last[pick] - s.first[pick] + 1
         return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s.first[pick], n), np.repeat(np.arange(len(pick)), n)
 
+    def crowds(s: Segments, pick: np.ndarray) -> tuple:
+        """First bytes of the strings of crowded segments, their two hashes, an example of each different string in order, and to which each belongs."""
+        first, _ = strings(s, pick)
+        h, check = s.hashes(first, first + width)
+        return first, h, check, *ex.distinct(h, check)
+
     def compare(buf: np.ndarray, at: np.ndarray, b: pa.RecordBatch, row: int) -> Iterator[tuple[int, int, bytes]]:
         s, _, example, again, index, crowded = state(buf, at, b, row)
         key = s.key[example[index]]
-        cut = ex.cuts(key, buckets)
-        for k in range(buckets):
-            own = example[index[cut[k] : cut[k + 1]]]
-            if len(own):
-                text = np.concatenate([buf[x : y + width] for x, y in zip(s.first[own].tolist(), s.last[own].tolist(), strict=True)])
-                yield k, 3, ex.squeeze(ex.deltas(s.key[own]), (s.last[own] - s.first[own] + width).astype(np.uint32), again[index[cut[k] : cut[k + 1]]], text)
-        first, _ = strings(s, example[crowded])
-        u, n = np.unique(range_hash(s.prefix, first, first + width, _TWO), return_counts=True)
-        cut = ex.cuts(u, buckets)
-        for k in range(buckets):
-            x, y = cut[k], cut[k + 1]
-            if x < y:
-                yield k, 4, ex.squeeze(ex.deltas(u[x:y]), np.packbits(n[x:y] > 1))
+        for k, x, y in ex.parts(key, buckets):
+            own = example[index[x:y]]
+            text = np.concatenate([buf[i : j + width] for i, j in zip(s.first[own].tolist(), s.last[own].tolist(), strict=True)])
+            yield k, 3, ex.squeeze(ex.deltas(s.key[own]), (s.last[own] - s.first[own] + width).astype(np.uint32), again[index[x:y]], text)
+        h, check, one, inv = crowds(s, example[crowded])[1:]
+        more = np.bincount(inv, minlength=len(one)) > 1
+        for k, x, y in ex.parts(h[one], buckets):
+            yield k, 4, ex.squeeze(ex.deltas(h[one[x:y]]), check[one[x:y]], np.packbits(more[x:y]))
 
     def judge(kind: int, got: list[tuple[int, bytes]]) -> list[bytes]:
         if kind == 4:
@@ -305,19 +305,16 @@ def remove_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 whole = np.flatnonzero(again[inv])
                 np.add.at(edge, s.first[whole], 1)
                 np.add.at(edge, s.last[whole] + width, -1)
-                cut = ex.cuts(s.key[example[index]], buckets)
-                for k in range(buckets):
-                    own = index[cut[k] : cut[k + 1]]
-                    own = example[own[~again[own]]]
+                for k, x, y in ex.parts(s.key[example[index]], buckets):
+                    own = example[index[x:y][~again[index[x:y]]]]
                     if len(own):
                         first, _ = strings(s, own)
                         hit = first[np.unpackbits(np.frombuffer(got[(3, k)], np.uint8), count=len(first)).astype(bool)]
                         np.add.at(edge, hit, 1)
                         np.add.at(edge, hit + width, -1)
                 if len(crowded):
-                    first, _ = strings(s, example[crowded])
-                    u, inv2 = np.unique(range_hash(s.prefix, first, first + width, _TWO), return_inverse=True)
-                    hit = first[read(got, 4, u, 1)[0][inv2]]
+                    first, h, _, one, of = crowds(s, example[crowded])
+                    hit = first[read(got, 4, h[one], 1)[0][of]]
                     np.add.at(edge, hit, 1)
                     np.add.at(edge, hit + width, -1)
                 gone = np.cumsum(edge)[:-1] > 0
@@ -345,8 +342,8 @@ def remove_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    one = ex.answered(table, ex.answer(ex.send(table, ask), reply), "first_answers")
-    two = ex.answered(one, ex.answer(ex.send(one, compare), judge), "answers")
+    one = ex.answered(table, ex.answer(ex.send(table, ask), buckets, reply), "first_answers")
+    two = ex.answered(one, ex.answer(ex.send(one, compare), buckets, judge), "answers")
     kind = docs.schema[id_col].dataType.simpleString()
     got = two.mapInArrow(finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>" + ", kept string" * kept)
     return got.withColumnRenamed("id", id_col)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from edgeproof.llm import _exchange as ex
 from edgeproof.llm import simhash_neardup as sh
 from edgeproof.llm.components import components
 from edgeproof.llm.substring_countmin import remove_repeats
@@ -43,6 +44,21 @@ def test_matching_statistics_are_longest_other_matches():
         assert len(index.head) <= n
 
 
+def test_anchors_hang_on_the_window_alone(monkeypatch):
+    """Equal runs choose alike wherever they stand, also across the pieces of a long array."""
+    monkeypatch.setattr(ex, "PLACE", 8)
+    rng = np.random.default_rng(4)
+    gram = np.concatenate([rng.integers(0, 1 << 63, 700).astype(np.uint64), np.repeat(rng.integers(0, 1 << 63, 40).astype(np.uint64), 9)])
+    got = ex.anchors(gram, 20)
+    low = gram >> np.uint64(8)
+    assert got.tolist() == [i + int(np.argmin(low[i : i + 20])) for i in range(len(gram) - 19)]
+
+
+def test_equal_first_hashes_are_told_apart_by_the_second():
+    one, inv = ex.distinct(np.array([5, 5, 3, 5], np.uint64), np.array([1, 2, 1, 1], np.uint64))
+    assert one.tolist() == [2, 0, 1] and inv.tolist() == [1, 2, 0, 1]
+
+
 @pytest.mark.parametrize("crowd", [1000, 2])
 def test_rindex_against_brute_force(spark, crowd):
     width, texts = 40, [t.encode() for t in corpus(3)] + [b""]
@@ -77,7 +93,7 @@ def test_countmin_against_brute_force(spark, cells):
             seen.add(key)
         want[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: tuple(r)[1:] for r in remove_repeats(df, width=width, gram=3, cells=cells).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in remove_repeats(df, width=width, cells=cells).collect()}
     assert got == want
 
 
