@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import chunks, mix, text_buffer, word_bounds, word_hashes, written
-from ._exchange import MESSAGE, answered, bodies, chunk_table, deltas, expand, messages, parts, ranges, send, squeeze, unpacked
+from ._exchange import MESSAGE, RANGE_BYTES, answered, bodies, chunk_table, deltas, expand, messages, parts, range_of, send, squeeze, unpacked
 
 #: Most words in the exact table; bits an entry and level of the filter; and the base of the quantisation.
 HEAD = 1 << 19
@@ -60,25 +60,15 @@ def pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return before, now, mix(before * np.uint64(3) + now)
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Range of hashes, in the order of the hashes."""
-    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-
-
-def _dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts in sorted keys, and the end."""
-    return np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-
-
 def _packed(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").tobytes()
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _summed(each: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
-    if not parts:
+    if not each:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, n = (np.concatenate(x) for x in zip(*each, strict=True))
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
@@ -94,16 +84,13 @@ def count_ngrams(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             rows = []
-            for kind, parts in held.items():
-                keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                cut = _dealt(keys, buckets)
+            for kind, own in held.items():
+                keys, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 small = np.minimum(n, 255).astype(np.uint8)
-                for b in range(buckets):
-                    s, e = cut[b], cut[b + 1]
-                    if s < e:
-                        large = np.flatnonzero(n[s:e] >= 255)
-                        rows.append((b, kind, _packed(keys[s:e]), small[s:e].tobytes(), n[s:e][large].astype("<i8").tobytes(), 0))
-                parts.clear()
+                for b, s, e in parts(keys, buckets):
+                    large = np.flatnonzero(n[s:e] >= 255)
+                    rows.append((b, kind, _packed(keys[s:e]), small[s:e].tobytes(), n[s:e][large].astype("<i8").tobytes(), 0))
+                own.clear()
             rows.append((0, 0, b"", b"", b"", texts))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["bucket", "kind", "keys", "small", "large", "texts"])
 
@@ -124,12 +111,12 @@ def count_ngrams(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
         of = {1: _summed([]), 2: _summed([])}
         for kind in of:
             own = table.filter(pa.compute.equal(table["kind"], kind))
-            parts = []
+            each = []
             for keys, small, large in zip(own["keys"].to_pylist(), own["small"].to_pylist(), own["large"].to_pylist(), strict=True):
                 n = np.frombuffer(small, np.uint8).astype(np.int64)
                 n[n == 255] = np.frombuffer(large, "<i8")
-                parts.append((np.frombuffer(keys, "<u8"), n))
-            of[kind] = _summed(parts)
+                each.append((np.frombuffer(keys, "<u8"), n))
+            of[kind] = _summed(each)
         keys, n = (np.concatenate(x) for x in zip(*of.values(), strict=True))
         keys, n = keys[n >= LEAST], n[n >= LEAST]
         bits = _filter_part(keys, n, LEAST, BASE, BITS).tobytes() if len(keys) else b""
@@ -191,6 +178,7 @@ class Model:
     start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     size: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    buckets: int = 1
 
     def head_counts(self, h: np.ndarray) -> np.ndarray:
         """Exact counts; -1 for words that are not in the table."""
@@ -205,7 +193,7 @@ class Model:
         out = np.zeros(len(h))
         if not len(self.words):
             return out
-        part = bucket_of(h, len(self.size))
+        part = range_of(h, len(self.size))
         live, level, value = np.flatnonzero(self.size[part] > 0), 1, float(self.least)
         while len(live):
             own = part[live]
@@ -230,8 +218,9 @@ def _filter_part(keys: np.ndarray, n: np.ndarray, least: int, base: float, bits:
 
 def train(docs: DataFrame, text_col: str, head: int = HEAD, buckets: int | None = None) -> tuple[Model, DataFrame]:
     """The model of all rows of ``docs`` without its filter, and the table of exact word counts and parts of the filter by hash range."""
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     counted = written(count_ngrams(docs, text_col, buckets), "ngrams")
     facts = counted.agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens"), F.sum(F.octet_length("counts") / 8).cast("long").alias("keys")).first()
     ends = facts["texts"] or 0
@@ -251,7 +240,7 @@ def train(docs: DataFrame, text_col: str, head: int = HEAD, buckets: int | None
 
     most = counted.select("keys", "counts").mapInArrow(part, "keys binary, counts binary").collect()
     keys, n = _summed([(np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")) for r in most])
-    return Model(total, kinds, ends, keys, n, LEAST), counted.select("bucket", "keys", "counts", "bits")
+    return Model(total, kinds, ends, keys, n, LEAST, buckets=buckets), counted.select("bucket", "keys", "counts", "bits")
 
 
 def _asked(m: Model, buf: np.ndarray, at: np.ndarray) -> tuple:
@@ -262,15 +251,14 @@ def _asked(m: Model, buf: np.ndarray, at: np.ndarray) -> tuple:
     return h, first, u, inv, m.head_counts(u), pair, joint
 
 
-def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, exact: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, base_score and score of each row.
 
     A null text is empty and has its end alone; null ids and repeated rows each give a row; without training rows every token has
     probability 1 for the base, and 1 for the model.
     """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(model)
+    buckets = model.buckets
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType
     table = chunk_table(docs, id_col, text_col, "lm", ASK)
 

@@ -136,7 +136,7 @@ CLOSE_WIDTH, PARTS, PART_SIZE, WIDE = 5, 24, 8, 8
 SIMILAR, CLOSE_BITS = 0.8, 112
 #: Texts of fewer shingles differ in more bits; their pairs go to the exact check whatever the fingerprints.
 FEW_SHINGLES = 64
-#: Leaders that the members of a crowded block are compared with.
+#: Leaders that the members of a crowded block are compared with at first.
 LEADERS = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -204,9 +204,21 @@ def wide_fingerprints(buf: np.ndarray, at: np.ndarray, width: int = CLOSE_WIDTH)
     return wide, size, np.concatenate(rows), np.concatenate(keys)
 
 
+def node_of(text_col: str) -> F.Column:
+    """A hash of the text (null: empty)."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def second_of(text_col: str) -> F.Column:
+    """Another one."""
+    return F.xxhash64(F.lit(SEED), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = CLOSE_WIDTH, similar: float = SIMILAR, bits: int = CLOSE_BITS, pairwise: int = PAIRWISE) -> tuple[DataFrame, DataFrame]:
     """(id, node) of each row, node a hash of its text, so exact copies are one node; and (node, root) of those with a close copy, roots marking groups.
 
+    Texts of one node must agree in a second 64-bit hash; of those that do not, the rows of all but one are left out, and so in no group.
+
     Texts whose shingle sets are similar by 0.8 or more differ in few bits of a wide fingerprint, and share a block. Blocks of up to
     ``pairwise`` rows are compared pair by pair; those of a more crowded one with some leaders, chosen by hash. Pairs within ``bits``, or of few shingles, whose shingle sets are ``similar`` are links.
     Of crowded blocks whose members are not all in one group by then, the members are compared exactly: see ``crowded_pairs``.
@@ -219,11 +231,15 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 by = np.argsort(rows, kind="stable")
                 cut = np.searchsorted(rows[by], np.arange(b.num_rows + 1)).astype(np.int32)
                 lists = lambda v, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), lists(wide.ravel(), np.arange(0, wide.size + 1, WIDE)), lists(np.ascontiguousarray(keys[by]), cut), pa.array(size.astype(np.int64))], names=["id", "node", "wide", "blocks", "n"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), b.column("second"), lists(wide.ravel(), np.arange(0, wide.size + 1, WIDE)), lists(np.ascontiguousarray(keys[by]), cut), pa.array(size.astype(np.int64))], names=["id", "node", "second", "wide", "blocks", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.col(text_col).alias("text"))
-    made = written(own.mapInArrow(run, f"id {kind}, node long, wide array<long>, blocks array<long>, n long"), "wide")
+    own = docs.select(F.col(id_col).alias("id"), node_of(text_col).alias("node"), second_of(text_col).alias("second"), F.col(text_col).alias("text"))
+    made = written(own.mapInArrow(run, f"id {kind}, node long, second long, wide array<long>, blocks array<long>, n long"), "wide")
+    clash = made.groupBy("node").agg(F.min("second").alias("second"), F.max("second").alias("most")).where("second <> most").drop("most")
+    if not clash.isEmpty():
+        keep = F.col("kept").isNull() | (F.col("kept") == F.col("second"))
+        made, own = (df.join(clash.withColumnRenamed("second", "kept"), "node", "left").where(keep).drop("kept") for df in (made, own))
     nodes = made.select("node", "wide", "blocks", "n").dropDuplicates(["node"])
     nodes = written(nodes, "nodes")
     rows = nodes.select("node", F.explode(F.array_distinct("blocks")).alias("block"))
@@ -243,21 +259,22 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = rows.join(size.where(F.col("n") > pairwise).select("block").hint("merge"), "block", "left_semi")
     used = near.select(F.col("u").alias("node")).unionAll(near.select(F.col("v").alias("node"))).unionAll(hot.select("node")).distinct()
     # merged at every size: what is used, and below what goes, grows with the corpus and must not be broadcast
-    text = own.select("node", "text").join(used.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    # copies of a text are reduced before they are dealt out by node
+    text = own.select("node", "text").dropDuplicates(["node"]).join(used.hint("merge"), "node", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole):
                 g, of = shingles(*text_buffer(b.column("text")), width)
                 cut = np.searchsorted(of, np.arange(b.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([(g[s:e] >> np.uint64(32)).astype(np.uint32).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([g[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "set"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                same = len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
-                good.append(x == y or same >= similar * (len(x) // 4 + len(y) // 4 - same))
+                same = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                good.append(x == y or same >= similar * (len(x) // 8 + len(y) // 8 - same))
             yield b.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
     of = written(text.mapInArrow(sets, "node long, set binary"), "sets")
@@ -276,7 +293,7 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def crowded_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (u, v) of ``sets`` (node, root, set: 32-bit hashes) of different roots, among them all that are ``similar``.
+    """Pairs (u, v) of ``sets`` (node, root, set: 64-bit hashes) of different roots, among them all that are ``similar``.
 
     Sets similar by s share one of the rarest (1 - s) of either's hashes, in one order of all hashes (the prefix filter, which is exact), and
     their sizes differ by no more than s. Of those that share such a hash, all but the ones of its most frequent root are paired with all:
@@ -286,10 +303,10 @@ def crowded_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b, text="set", most=1 << 20):
-                each = [np.unique(np.frombuffer(x, np.uint32)) for x in c.column("set").to_pylist()]
+                each = [np.frombuffer(x, np.int64) for x in c.column("set").to_pylist()]
                 n = np.array([len(x) for x in each], np.int64)
                 node, root = (pa.array(np.repeat(np.asarray(c.column(x)), n)) for x in ("node", "root"))
-                yield pa.RecordBatch.from_arrays([node, root, pa.array(np.repeat(n, n)), pa.array(np.concatenate(each).astype(np.int64))], names=["node", "root", "n", "h"])
+                yield pa.RecordBatch.from_arrays([node, root, pa.array(np.repeat(n, n)), pa.array(np.concatenate(each))], names=["node", "root", "n", "h"])
 
     rows = written(sets.select("node", "root", "set").mapInArrow(flat, "node long, root long, n long, h long"), "hashes")
     # a hash of one set alone makes no pair, but has its place in the order
@@ -314,8 +331,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     best = written(best.select("root", "best"), "best")
     gone = ranked.join(best, "root").where(F.col("rank") != F.col("best")).select(F.col("rank.id").alias("__gone_id"), F.col("rank.node").alias("__gone_node"))
     gone = written(gone.distinct(), "gone")
-    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.withColumn("__node", node).join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.col("__node") == F.col("__gone_node")), "left_anti")
+    kept = docs.withColumn("__node", node_of(text_col)).join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.col("__node") == F.col("__gone_node")), "left_anti")
     once = rows.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     return (kept if once else kept.dropDuplicates([id_col, "__node"])).drop("__node")
 

@@ -27,6 +27,8 @@ MOST = 2.0
 SEED = 7
 #: An output shard holds about so many documents.
 SHARD_ROWS = 1 << 14
+#: A shard is written in so many pieces, by hash, so that tasks are even however shards are dealt out.
+PIECES = 64
 #: A block holds about so many documents at least.
 BLOCK = 128
 
@@ -166,7 +168,7 @@ def quotas_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int | None = None) -> DataFrame:
-    """The mix itself: the columns of ``docs``, once for each time a row is taken, with mix_pass and mix_shard; shards are shuffled locally by a hash.
+    """The mix itself: the columns of ``docs``, once for each time a row is taken, with mix_pass and mix_shard; shards are shuffled locally by a hash, each in PIECES pieces.
 
     The rules are those of ``quotas_taken``. Columns of ``docs`` with the added names are replaced. Text is shuffled once, to its shard.
     """
@@ -177,7 +179,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.join(plan.select("src", "blocks"), "src").withColumn("block", F.pmod("h", "blocks"))
     rows = rows.join(drawn.select("src", "block", "takes"), ["src", "block"]).select("row", "h", F.explode("takes").alias("take"))
     rows = rows.where(F.col("take.some").isNull() | F.array_contains("take.some", F.col("h")))
-    rows = rows.repartition("take.shard").sortWithinPartitions("take.shard", F.xxhash64("h", "take.pass"))
+    rows = rows.withColumn("draw", F.xxhash64("h", "take.pass")).withColumn("piece", F.pmod("draw", F.lit(PIECES)))
+    rows = rows.repartition("take.shard", "piece").sortWithinPartitions("take.shard", "piece", "draw")
     return rows.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)), F.col("take.pass").alias("mix_pass"), F.col("take.shard").alias("mix_shard"))
 
 

@@ -187,6 +187,14 @@ def test_large_group_of_close_copies_against_brute_force(spark):
     assert kept == {i for i in root if root[i] == i}
 
 
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    """Texts that share the first hash are no copies, and none of them goes."""
+    monkeypatch.setattr(sh, "node_of", lambda c: sh.F.lit(3).cast("long"))
+    rows = [(0, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n o"), (3, "p q r s t u v"), (4, "a b c d e f g")]
+    kept = {r["doc_id"] for r in sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= {0, 1, 2, 3}
+
+
 def test_short_copies_are_found(spark):
     """Eight words and the same with one added, four fifths similar: more differing bits than longer texts have, and every pair is found."""
     rng = random.Random(11)
