@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from edgeproof.functions.scalars import midpoint_score, survives_two_opt
+from edgeproof.plans.cut import cut
 
 from .graph import Graph, nearest_to
 
@@ -88,6 +89,22 @@ def end_replies(graph: Graph, tasks: DataFrame) -> DataFrame:
 
 def cd_candidates(graph: Graph, targets: DataFrame, o: RootOptions = RootOptions()) -> DataFrame:
     """(g, target, c, d, product, rank): pairs of near nodes whose edge is active and incompatible with the target (or, in the other mode, missing or incompatible), by their number of joint replies."""
+    pair = _pairs(graph, targets, o)
+    return _ranked(pair, hamilton_replies(graph, _centers(pair), targets), o)
+
+
+def candidates_and_replies(graph: Graph, targets: DataFrame, o: RootOptions = RootOptions()) -> tuple[DataFrame, DataFrame]:
+    """The candidates, and the replies at their nodes: these are found once, to be counted and to be joined."""
+    pair = cut(_pairs(graph, targets, o))
+    replies = cut(hamilton_replies(graph, _centers(pair), targets))
+    return cut(_ranked(pair, replies, o)), replies
+
+
+def _centers(pair: DataFrame) -> DataFrame:
+    return pair.select("g", "target", F.explode(F.array("c", "d")).alias("center"))
+
+
+def _pairs(graph: Graph, targets: DataFrame, o: RootOptions) -> DataFrame:
     if o.mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     near = midpoint_rank(graph, targets, o.candidate_degree, o.neighborhood)
@@ -98,9 +115,11 @@ def cd_candidates(graph: Graph, targets: DataFrame, o: RootOptions = RootOptions
     edge = graph.active().select("g", F.col("u").alias("c"), F.col("v").alias("d"), F.lit(True).alias("active"))
     pair = pair.join(edge, ["g", "c", "d"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
     survives = survives_two_opt(F.col("t"), graph.distance("c", "d"), graph.distance("u", "d"), graph.distance("v", "c"), graph.distance("u", "c"), graph.distance("v", "d"))
-    pair = pair.where((F.col("active") & ~survives) if o.mode == MODES[0] else (~F.col("active") | ~survives)).select("g", "target", "c", "d")
-    both = pair.select("g", "target", F.col("c").alias("center")).unionAll(pair.select("g", "target", F.col("d").alias("center")))
-    count = hamilton_replies(graph, both, targets).groupBy("g", "target", "center").agg(F.count("*").alias("n"))
+    return pair.where((F.col("active") & ~survives) if o.mode == MODES[0] else (~F.col("active") | ~survives)).select("g", "target", "c", "d")
+
+
+def _ranked(pair: DataFrame, replies: DataFrame, o: RootOptions) -> DataFrame:
+    count = replies.groupBy("g", "target", "center").agg(F.count("*").alias("n"))
     for end in ("c", "d"):
         pair = pair.join(count.select("g", "target", F.col("center").alias(end), F.col("n").alias(f"n_{end}")), ["g", "target", end], "left")
     product = F.coalesce(F.try_multiply(F.coalesce("n_c", F.lit(0).cast("bigint")), F.coalesce("n_d", F.lit(0).cast("bigint"))), F.lit((1 << 63) - 1))
@@ -109,10 +128,9 @@ def cd_candidates(graph: Graph, targets: DataFrame, o: RootOptions = RootOptions
     return out.where(F.col("rank") <= o.cd_candidates) if o.cd_candidates else out
 
 
-def root_replies(graph: Graph, cds: DataFrame, targets: DataFrame) -> DataFrame:
-    """(g, target, rank, reply, c, c_first, c_second, d, d_first, d_second): the joint replies of each root candidate, in order; a product bounded by reply_product."""
-    both = cds.select("g", "target", F.col("c").alias("center")).unionAll(cds.select("g", "target", F.col("d").alias("center")))
-    r = hamilton_replies(graph, both, targets)
+def root_replies(graph: Graph, cds: DataFrame, targets: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """(g, target, rank, reply, c, c_first, c_second, d, d_first, d_second): the joint replies of each root candidate, in order; a product bounded by reply_product. ``replies`` at the candidates' nodes, if they are known."""
+    r = hamilton_replies(graph, _centers(cds), targets) if replies is None else replies
     at = lambda end: r.select("g", "target", F.col("center").alias(end), F.col("first").alias(f"{end}_first"), F.col("second").alias(f"{end}_second"), F.col("reply").alias(f"{end}_reply"))
     rows = cds.select("g", "target", "rank", "c", "d").join(at("c"), ["g", "target", "c"]).join(at("d"), ["g", "target", "d"])
     order = Window.partitionBy("g", "target", "rank").orderBy("c_reply", "d_reply")

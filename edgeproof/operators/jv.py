@@ -30,7 +30,12 @@ def ranked_witnesses(graph: Graph, tried: int = TRIED) -> DataFrame:
 
 def candidates(graph: Graph, tried: int = TRIED) -> DataFrame:
     """(g, edge_id, u, v, witness): of each edge the first witness c all of whose active neighbours d, but the ends, make both exchanges of edge and cd longer."""
-    c = ranked_witnesses(graph, tried)
+    return first_sound(graph, ranked_witnesses(graph, tried))
+
+
+def first_sound(graph: Graph, ranked: DataFrame) -> DataFrame:
+    """The candidates among ranked witnesses."""
+    c = ranked
     d = graph.at(graph.adjacency().select(F.col("g"), F.col("n"), F.col("m").alias("d"), F.col("weight").alias("cd")), "d", "d").withColumnRenamed("g", "_g")
     kept = F.col("weight") + F.col("cd")
     bad = (kept <= F.col("ac") + graph.distance("d", "b")) | (kept <= graph.distance("a", "d") + F.col("cb"))

@@ -5,6 +5,7 @@ Graphs come from the driver's tables (plans/synth.py); SQL repeats the definitio
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from edgeproof.functions import distance as D
+from edgeproof.functions import fnv
 from edgeproof.functions import scalars as S
 from edgeproof.operators import catalogs, commit, epochs, ht, jv, kopt, lp, paths, tour, wavefront
 from edgeproof.operators.graph import Graph, nearest, number_edges, violations
@@ -58,6 +60,11 @@ deg AS (SELECT p.id, count(adj.m) AS degree FROM p LEFT JOIN adj ON adj.n = p.id
 gate AS (SELECT e.* FROM e JOIN deg a ON a.id = e.u AND a.degree > 2 JOIN deg b ON b.id = e.v AND b.degree > 2)"""
 
 
+def _held_sql(ctes: str) -> str:
+    """The same CTEs, each computed once."""
+    return re.sub(r"(^|, |,\n)(\w+) AS \((?=SELECT|WITH|VALUES)", r"\1\2 AS MATERIALIZED (", ctes)
+
+
 def _jv_sql(which: str) -> str:
     return f"""{_graph_sql(which)},
 c0 AS (SELECT DISTINCT g.edge_id, g.u, g.v, g.w, adj.m AS c FROM gate g JOIN adj ON adj.n = g.u AND adj.m <> g.v UNION SELECT g.edge_id, g.u, g.v, g.w, adj.m FROM gate g JOIN adj ON adj.n = g.v AND adj.m <> g.u),
@@ -145,9 +152,10 @@ SELECT u, v, witness, witness <> u AND witness <> v AND edge_id NOT IN (SELECT e
 def jv_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verifier over candidates, a third of them with an end for a witness, and over the first witness of all other edges."""
     g = synth.embeddings_graph(spark, sf_dir)
-    c = jv.candidates(g).withColumn("witness", F.when(F.col("edge_id") % 3 == 0, F.col("u")).otherwise(F.col("witness")))
+    ranked = cut(jv.ranked_witnesses(g))
+    c = jv.first_sound(g, ranked).withColumn("witness", F.when(F.col("edge_id") % 3 == 0, F.col("u")).otherwise(F.col("witness")))
     c = cut(c)
-    rest = jv.ranked_witnesses(g).where("rank = 1").select("g", "edge_id", "u", "v", F.col("c").alias("witness")).join(c, ["g", "edge_id"], "left_anti")
+    rest = ranked.where("rank = 1").select("g", "edge_id", "u", "v", F.col("c").alias("witness")).join(c, ["g", "edge_id"], "left_anti")
     return jv.verify(g, c.unionByName(rest)).select("u", "v", "witness", "ok")
 
 
@@ -162,12 +170,73 @@ def jv_commit_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commit.commit(g, cut(jv.candidates(g))).select("u", "v", "witness", "place")
 
 
-@_query()
+def _bytes(x: str, width: int) -> str:
+    """A number's little-endian bytes as a list."""
+    return "[" + ", ".join(f"({x} >> {8 * i}) & 255" for i in range(width)) + "]"
+
+
+def _fnv_sql(data: str, basis: int = fnv.BASIS) -> str:
+    """Sixteen digits of the hash of a list of bytes."""
+    return f"lower(lpad(to_hex(CAST(list_reduce([CAST({basis} AS UHUGEINT)] || list_transform({data}, lambda x: CAST(x AS UHUGEINT)), lambda h, b: (xor(h, b) * {fnv.PRIME}) % 18446744073709551616) AS UBIGINT)), 16, '0'))"
+
+
+def _snapshot_sql(active: str) -> str:
+    """Hash of the snapshot whose active edges the CTE ``active`` holds."""
+    p = f"(SELECT list({_bytes('ix', 8)} || {_bytes('iy', 8)} ORDER BY id) FROM p)"
+    e = f"(SELECT list({_bytes('CAST(e.u AS BIGINT)', 4)} || {_bytes('CAST(e.v AS BIGINT)', 4)} || {_bytes('e.w', 8)} || [CAST(x.edge_id IS NOT NULL AS BIGINT)] ORDER BY e.edge_id) FROM e LEFT JOIN {active} x ON x.edge_id = e.edge_id)"
+    return f"(SELECT {_fnv_sql(f'{_bytes("(SELECT count(*) FROM p)", 4)} || [0, 1] || flatten({p}) || flatten({e})')})"
+
+
+#: Rounds of quick elimination that SQL unrolls; the last ones commit nothing.
+_ROUNDS = 5
+_WALK = """ranked AS (SELECT c.*, row_number() OVER (ORDER BY u, v, witness, edge_id) AS k, a.degree AS du, b.degree AS dv FROM cand c JOIN deg a ON a.id = c.u JOIN deg b ON b.id = c.v),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS ends, CAST([] AS BIGINT[]) AS acc UNION ALL
+  SELECT r.k, CASE WHEN r.du - len(list_filter(w.ends, lambda x: x = r.u)) > 2 AND r.dv - len(list_filter(w.ends, lambda x: x = r.v)) > 2 THEN w.ends || [r.u, r.v] ELSE w.ends END,
+  CASE WHEN r.du - len(list_filter(w.ends, lambda x: x = r.u)) > 2 AND r.dv - len(list_filter(w.ends, lambda x: x = r.v)) > 2 THEN w.acc || [r.k] ELSE w.acc END FROM walk w JOIN ranked r ON r.k = w.k + 1),
+took AS (SELECT edge_id, u, v, witness, row_number() OVER (ORDER BY k) - 1 AS place FROM ranked WHERE k IN (SELECT unnest(acc) FROM (SELECT acc FROM walk ORDER BY k DESC LIMIT 1)))"""
+
+
+def _fixed_sql(base: str) -> str:
+    """Rounds over the points p and edges e of ``base``: cand0, took0 (the committed), e1 (what is left), and so on."""
+    whole = _jv_sql("supp")
+    one = whole[whole.index("adj AS (") :] + ",\n" + _WALK
+    out = [base, "e0_ AS (SELECT * FROM e)"]
+    for r in range(_ROUNDS):
+        names = "adj|deg|gate|c0|c1|top|bad|cand|ranked|walk|took"
+        mine = re.sub(rf"\b({names})\b", rf"\g<1>{r}_", one)
+        mine = re.sub(r"\be\b", f"e{r}_", mine)
+        out += [mine, f"e{r + 1}_ AS (SELECT e{r}_.* FROM e{r}_ ANTI JOIN took{r}_ t ON t.edge_id = e{r}_.edge_id)"]
+    return re.sub(r"(walk\d_) AS MATERIALIZED", r"\1 AS", _held_sql(",\n".join(out)))
+
+
+def _base_sql(which: str) -> str:
+    whole = _graph_sql(which)
+    return whole[: whole.index(",\nadj AS (")].replace("e0 AS", "first_e AS").replace("FROM e0", "FROM first_e")
+
+
+_FIXED = "WITH RECURSIVE " + _fixed_sql(_base_sql("supp"))
+_RECORDS = " UNION ALL ".join(f"SELECT CAST({r} AS INTEGER) AS epoch, {_snapshot_sql(f'e{r}_')} AS snapshot_hash, edge_id, u, v, 'jv' AS method, witness, CAST(NULL AS BIGINT) AS certificate_index, place FROM took{r}_" for r in range(_ROUNDS))
+
+
+@_query(f"{_FIXED} {_RECORDS}")
 def jv_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of quick elimination to its fixed point."""
     return epochs.jv_fixed_point(synth.suppliers_graph(spark, sf_dir)).records.drop("g")
 
 
+@_query(f"{_FIXED}, m AS ({' UNION ALL '.join(f'SELECT {r} AS epoch, (SELECT count(*) FROM e{r}_) AS edges_before, (SELECT count(*) FROM cand{r}_) AS proposed, (SELECT count(*) FROM took{r}_) AS committed' for r in range(_ROUNDS))}) SELECT CAST(epoch AS BIGINT) AS epoch, edges_before, proposed, proposed AS verified, committed FROM m WHERE epoch <= (SELECT min(epoch) FROM m WHERE committed = 0)")
+def jv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each round saw, proposed, verified and committed."""
+    r = epochs.jv_fixed_point(synth.suppliers_graph(spark, sf_dir))
+    names = ("epoch", "edges_before", "proposed", "verified", "committed")
+    return spark.createDataFrame([tuple(m[n] for n in names) for m in r.metrics], ", ".join(f"{n} bigint" for n in names))
+
+
+@_query(f"WITH RECURSIVE {_held_sql(_graph_sql('emb'))} SELECT {_snapshot_sql('e')} AS hash")
+def snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epochs.snapshot_hashes(synth.embeddings_graph(spark, sf_dir)).select("hash")
+
+
 # ---- targets, tours ----
 
 
@@ -249,25 +318,22 @@ def ht_end_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ht.end_replies(g, _targets(g).select("g", F.col("u").alias("endpoint"), F.col("v").alias("internal"))).drop("g")
 
 
-@_query(f"""WITH {_HT_SQL}, cd AS ({_cd_sql("act AND inc").replace("WITH " + _HT_SQL, "")})
-SELECT cd.target, cd.rank, row_number() OVER (PARTITION BY cd.target, cd.rank ORDER BY x.reply, y.reply) - 1 AS reply, cd.c, x.first AS c_first, x.second AS c_second, cd.d, y.first AS d_first, y.second AS d_second FROM cd JOIN rep x ON x.target = cd.target AND x.center = cd.c JOIN rep y ON y.target = cd.target AND y.center = cd.d WHERE cd.product <= 100""")
-def ht_root_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joint replies of all root candidates within a limit of 100 combinations each."""
-    g = synth.embeddings_graph(spark, sf_dir)
-    t = _targets(g)
-    return ht.root_replies(g, cut(ht.cd_candidates(g, t)).where("product <= 100"), t).drop("g")
+_CD = _cd_sql("act AND inc").replace("WITH " + _HT_SQL, "")
 
 
-def _all_root_replies(g: Graph, o: ht.RootOptions = ht.RootOptions()) -> DataFrame:
-    t = _targets(g)
-    cds = cut(ht.cd_candidates(g, t, o))
-    return ht.root_replies(g, cds.where(F.col("product") <= o.reply_combinations) if o.reply_combinations else cds, t).drop("g")
+@_query(f"""WITH {_held_sql(_HT_SQL)}, cd AS MATERIALIZED ({_CD}),
+r AS MATERIALIZED (SELECT CAST(target AS BIGINT) * 1000000 + center AS k, first, second, reply FROM rep),
+half AS MATERIALIZED (SELECT cd.*, r.first AS c_first, r.second AS c_second, r.reply AS c_reply, CAST(cd.target AS BIGINT) * 1000000 + cd.d AS dk FROM cd JOIN r ON r.k = CAST(cd.target AS BIGINT) * 1000000 + cd.c WHERE cd.product <= 1000000)
+SELECT target, rank, row_number() OVER (PARTITION BY target, rank ORDER BY c_reply, r.reply) - 1 AS reply, c, c_first, c_second, d, r.first AS d_first, r.second AS d_second FROM half JOIN r ON r.k = half.dk""")
+def ht_root_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint replies of all root candidates within the default limit of combinations."""
+    return _root_replies(synth.embeddings_graph(spark, sf_dir))
 
 
-@_query()
-def ht_root_replies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joint replies of all root candidates within the default limit of combinations; no SQL, a test holds it against brute force."""
-    return _all_root_replies(synth.embeddings_graph(spark, sf_dir))
+def _root_replies(g: Graph, o: ht.RootOptions = ht.RootOptions()) -> DataFrame:
+    t = _targets(g)
+    cds, replies = ht.candidates_and_replies(g, t, o)
+    return ht.root_replies(g, cds.where(F.col("product") <= o.reply_combinations) if o.reply_combinations else cds, t, replies).drop("g")
 
 
 @_query()
@@ -304,14 +370,17 @@ def andor_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
 GOLDEN = wavefront.Options(ht.RootOptions(0, 8, 0, 1000), kopt.Options(3, 1, 0), 1, 20000, 200000, 1000, 5, 5)
 
 
-@_query()
+_FIX = f"p AS (SELECT CAST(id AS INTEGER) AS id, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy FROM (VALUES {', '.join(str((i, *xy)) for i, xy in enumerate(synth.FIXTURE))}) t(id, ix, iy)), e AS (SELECT CAST(row_number() OVER (ORDER BY a.id, b.id) - 1 AS INTEGER) AS edge_id, a.id AS u, b.id AS v, {_dist('a', 'b')} AS w FROM p a JOIN p b ON a.id < b.id)"
+
+
+@_query(f"WITH RECURSIVE {_fixed_sql(_FIX)}, jv AS ({_RECORDS}) SELECT epoch, u, v, method, witness, certificate_index FROM jv UNION ALL SELECT max(epoch) + 1, 2, 4, 'hamilton-tutte', -1, CAST(0 AS BIGINT) FROM jv")
 def local_eliminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of one round of quick elimination and search over the fixture."""
     got = epochs.local_elimination(synth.fixture(spark), epochs.ScanOptions(GOLDEN, "weight", 1), 100, 1)
     return got.result.records.select("epoch", "u", "v", "method", "witness", "certificate_index")
 
 
-@_query()
+@_query(f"{_FIXED} SELECT {_snapshot_sql(f'e{_ROUNDS}_')} AS hash")
 def proof_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of the snapshot after quick elimination over the suppliers, from a checked replay of its records."""
     g = synth.suppliers_graph(spark, sf_dir)
@@ -321,59 +390,92 @@ def proof_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- catalogs, leaves ----
 
-_INSIDE_SQL = """ins AS (SELECT m, list_transform(range(2 * m), lambda x: -1) AS mates FROM range(1, 5) r(m) UNION ALL
+def _upto(sql: str, most: int) -> str:
+    return sql.replace("MOST", str(most + 1))
+
+
+_INSIDE_SQL = """ins AS (SELECT m, list_transform(range(2 * m), lambda x: -1) AS mates FROM range(1, MOST) r(m) UNION ALL
   SELECT m, list_transform(range(2 * m), lambda x: CASE WHEN x = a THEN b WHEN x = b THEN a ELSE mates[x + 1] END) FROM (SELECT m, mates, list_position(mates, -1) - 1 AS a, unnest(range(2 * m)) AS b FROM ins WHERE list_contains(mates, -1)) WHERE b > a AND mates[b + 1] = -1),
 inside AS (SELECT m, mates, row_number() OVER (PARTITION BY m ORDER BY mates) - 1 AS id FROM ins WHERE NOT list_contains(mates, -1))"""
 
 
-@_query(f"WITH RECURSIVE {_INSIDE_SQL} SELECT CAST(m AS INTEGER) AS m, id AS matching_id, array_to_string(mates, ',') AS mates FROM inside")
+@_query(f"WITH RECURSIVE {_upto(_INSIDE_SQL, 7)} SELECT CAST(m AS INTEGER) AS m, id AS matching_id, array_to_string(mates, ',') AS mates FROM inside")
 def inside_matchings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogs.matchings(spark, "inside", 4).select("m", "matching_id", F.concat_ws(",", F.col("mates").cast("array<string>")).alias("mates"))
+    return catalogs.matchings(spark, "inside", 7).select("m", "matching_id", F.concat_ws(",", F.col("mates").cast("array<string>")).alias("mates"))
 
 
-_OUTSIDE_SQL = """step AS (SELECT m, [0] AS ord, 0 AS bits, 1 AS n FROM range(1, 5) r(m) UNION ALL SELECT m, ord || [x], bits + CAST(f * (1 << (n - 1)) AS INTEGER), n + 1 FROM (SELECT *, unnest(range(1, m)) AS x FROM step WHERE n < m) s, range(2) t(f) WHERE NOT list_contains(ord, x)),
+_OUTSIDE_SQL = """step AS (SELECT m, [0] AS ord, 0 AS bits, 1 AS n FROM range(1, MOST) r(m) UNION ALL SELECT m, ord || [x], bits + CAST(f * (1 << (n - 1)) AS INTEGER), n + 1 FROM (SELECT *, unnest(range(1, m)) AS x FROM step WHERE n < m) s, range(2) t(f) WHERE NOT list_contains(ord, x)),
 outs AS (SELECT m, row_number() OVER (PARTITION BY m ORDER BY ord, bits) - 1 AS id, list_transform(range(m), lambda i: 2 * ord[i + 1] + CASE WHEN i > 0 THEN (bits >> (i - 1)) & 1 ELSE 0 END) AS enter FROM step WHERE n = m),
 outside AS (SELECT m, id, list_transform(range(2 * m), lambda e: CASE WHEN list_contains(enter, e) THEN xor(enter[(list_position(enter, e) + m - 2) % m + 1], 1) ELSE enter[list_position(enter, xor(e, 1)) % m + 1] END) AS mates FROM outs)"""
 
 
-@_query(f"WITH RECURSIVE {_OUTSIDE_SQL} SELECT CAST(m AS INTEGER) AS m, id AS matching_id, array_to_string(mates, ',') AS mates FROM outside")
+@_query(f"WITH RECURSIVE {_upto(_OUTSIDE_SQL, 7)} SELECT CAST(m AS INTEGER) AS m, id AS matching_id, array_to_string(mates, ',') AS mates FROM outside")
 def outside_matchings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogs.matchings(spark, "outside", 4).select("m", "matching_id", F.concat_ws(",", F.col("mates").cast("array<string>")).alias("mates"))
+    return catalogs.matchings(spark, "outside", 7).select("m", "matching_id", F.concat_ws(",", F.col("mates").cast("array<string>")).alias("mates"))
+
+
+_COMPAT = """way AS (SELECT o.m, o.id AS outside_id, i.id AS inside_id, o.mates AS x, i.mates AS y, i.mates[o.mates[1] + 1] AS pos, 1 AS n FROM outside o JOIN inside i ON i.m = o.m
+  UNION ALL SELECT m, outside_id, inside_id, x, y, y[x[pos + 1] + 1], n + 1 FROM way WHERE pos <> 0 AND n <= m),
+compat AS MATERIALIZED (SELECT CAST(m AS INTEGER) AS m, outside_id, inside_id, n = m AS compatible FROM way WHERE pos = 0)"""
+_FORMS = """way3 AS (SELECT m, id, mates, mates[2 * m] AS pos, 1 AS n FROM inside WHERE m >= 3 AND NOT list_contains(list_transform(range(m), lambda i: mates[2 * i + 1] = 2 * i + 1), true)
+  UNION ALL SELECT m, id, mates, mates[CASE WHEN pos % 2 = 1 THEN (pos + 1) % (2 * m) ELSE (pos + 2 * m - 1) % (2 * m) END + 1], n + 1 FROM way3 WHERE pos <> 0 AND n <= m),
+forms AS MATERIALIZED (SELECT CAST(m AS INTEGER) AS k, row_number() OVER (PARTITION BY m ORDER BY id) - 1 AS template_id, mates FROM way3 WHERE pos = 0 AND n = m)"""
 
 
-@_query(f"""WITH RECURSIVE {_OUTSIDE_SQL}, {_INSIDE_SQL}, walk AS (SELECT o.m, o.id AS outside_id, i.id AS inside_id, o.mates AS x, i.mates AS y, i.mates[o.mates[1] + 1] AS pos, 1 AS n FROM outside o JOIN inside i ON i.m = o.m
-  UNION ALL SELECT m, outside_id, inside_id, x, y, y[x[pos + 1] + 1], n + 1 FROM walk WHERE pos <> 0 AND n <= m)
-SELECT CAST(m AS INTEGER) AS m, outside_id, inside_id, n = m AS compatible FROM walk WHERE pos = 0""")
+@_query(f"WITH RECURSIVE {_upto(_OUTSIDE_SQL, 5)}, {_upto(_INSIDE_SQL, 5)}, {_COMPAT} SELECT * FROM compat")
 def path_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogs.compatibility(spark, 4)
+    return catalogs.compatibility(spark, 5)
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_upto(_INSIDE_SQL, 5)}, {_FORMS} SELECT k, template_id, array_to_string(mates, ',') AS mates FROM forms")
 def reconnect_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogs.templates_table(spark).select("k", "template_id", F.concat_ws(",", F.col("mates").cast("array<string>")).alias("mates"))
 
 
-@_query()
+_HASHED = f"""cover AS MATERIALIZED (SELECT m, inside_id, outside_id // 8 AS j, sum(CAST(compatible AS INTEGER) << (outside_id % 8)) AS v FROM compat GROUP BY ALL),
+place AS (SELECT m, inside_id, unnest(range((max(outside_id) + 64) // 64 * 8)) AS j FROM compat GROUP BY m, inside_id),
+filled AS (SELECT m, list(CAST(coalesce(v, 0) AS BIGINT) ORDER BY inside_id, j) AS b FROM place LEFT JOIN cover USING (m, inside_id, j) GROUP BY m),
+sized AS (SELECT CAST(m AS BIGINT) AS m, max(outside_id) + 1 AS o, max(inside_id) + 1 AS i, (max(outside_id) + 64) // 64 AS w FROM compat GROUP BY m)
+SELECT 'table' AS what, CAST(m AS INTEGER) AS size, {_fnv_sql(f"{list(fnv.COMPATIBILITY_NAME)} || {_bytes('m', 4)} || {_bytes('o', 4)} || {_bytes('i', 4)} || {_bytes('w', 4)} || b")} AS hash FROM filled JOIN sized USING (m)
+UNION ALL SELECT 'templates', k, {_fnv_sql(f"{list(fnv.TEMPLATES_NAME)} || {_bytes('CAST(k AS BIGINT)', 4)} || {_bytes('n', 4)} || b")} FROM (SELECT k, count(*) AS n, flatten(list(mates ORDER BY template_id)) AS b FROM forms GROUP BY k)"""
+
+
+@_query(f"WITH RECURSIVE {_upto(_OUTSIDE_SQL, 5)}, {_upto(_INSIDE_SQL, 5)}, {_COMPAT}, {_FORMS}, {_HASHED}")
 def catalog_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes of the compatibility tables and the reconnection templates."""
     rows = [("table", m, catalogs.table_hash(m)) for m in range(1, 6)] + [("templates", k, catalogs.templates_hash(k)) for k in (3, 4, 5)]
     return spark.createDataFrame(rows, "what string, size int, hash string")
 
 
-def _tasks(g: Graph) -> DataFrame:
-    """A task of three deleted edges from each window of six points in id order."""
-    p = g.points.where("id % 6 = 0").select("g", F.col("id").cast("bigint").alias("task_id"), F.lit(3).alias("k"), F.sequence(F.col("id"), F.col("id") + 5).alias("ports"))
-    last = g.points.groupBy("g").agg(F.max("id").alias("last"))
-    return p.join(last, "g").where("task_id + 5 <= last").drop("last")
+def _tasks(points: DataFrame) -> DataFrame:
+    """From each window of ten points in id order a task of three, four and five deleted edges: steps from one point to the next."""
+    p = points.where("id % 10 = 0").select("g", "id", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5))).alias("k"))
+    last = points.groupBy("g").agg(F.max("id").alias("last"))
+    p = p.join(F.broadcast(last), "g").where("id + 9 <= last")
+    return p.select("g", (F.col("id").cast("bigint") * 10 + F.col("k")).alias("task_id"), "k", F.expr("sequence(id, id + 2 * k - 1)").alias("ports"))
+
+
+_COSTS = f"""{_upto(_INSIDE_SQL, 5)}, {_FORMS}, p AS ({_POINTS["emb"]}), f AS (SELECT k, template_id, a, mates[a + 1] AS b FROM (SELECT *, unnest(range(2 * k)) AS a FROM forms) WHERE a < mates[a + 1]),
+t AS (SELECT id, CAST(id AS BIGINT) * 10 + k AS task_id, k FROM p, (VALUES (3), (4), (5)) v(k) WHERE id % 10 = 0 AND id + 9 <= (SELECT max(id) FROM p)),
+cost AS (SELECT task_id, t.k, template_id, CAST(sum({_dist("x", "y")}) AS BIGINT) AS added_cost FROM t JOIN f ON f.k = t.k JOIN p x ON x.id = t.id + f.a JOIN p y ON y.id = t.id + f.b GROUP BY ALL)"""
 
 
-@_query(f"""WITH p AS ({_POINTS["emb"]}), f(template_id, a, b) AS (VALUES (0,0,2),(0,1,4),(0,3,5),(1,0,3),(1,1,4),(1,2,5),(2,0,3),(2,1,5),(2,2,4),(3,0,4),(3,1,3),(3,2,5)),
-t AS (SELECT id AS task_id FROM p WHERE id % 6 = 0 AND id + 5 <= (SELECT max(id) FROM p))
-SELECT CAST(task_id AS BIGINT) AS task_id, 3 AS k, CAST(template_id AS BIGINT) AS template_id, CAST(sum({_dist("x", "y")}) AS BIGINT) AS added_cost FROM t, f JOIN p x ON x.id = task_id + f.a JOIN p y ON y.id = task_id + f.b GROUP BY ALL""")
+@_query(f"WITH RECURSIVE {_COSTS} SELECT * FROM cost")
 def kopt_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = synth.points_of_embeddings(spark, sf_dir)
-    g = Graph(pts, number_edges(pts.limit(0).select("g", F.lit(0).alias("u"), F.lit(0).alias("v"), F.lit(0).alias("weight"))))
-    return kopt.template_costs(_tasks(g), pts, catalogs.templates_table(spark)).drop("g")
+    return kopt.template_costs(_tasks(pts), pts, catalogs.templates_table(spark)).drop("g")
+
+
+@_query(f"""WITH RECURSIVE {_COSTS}, paid AS (SELECT task_id, CAST(sum({_dist("x", "y")}) AS BIGINT) AS deleted_cost FROM (SELECT *, unnest(range(k)) AS i FROM t) t JOIN p x ON x.id = t.id + 2 * i JOIN p y ON y.id = t.id + 2 * i + 1 GROUP BY task_id)
+SELECT task_id, min(template_id) FILTER (WHERE added_cost < deleted_cost) AS template_id FROM paid JOIN cost USING (task_id) GROUP BY task_id""")
+def kopt_first_improving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each task the first template that costs less than the edges it deletes."""
+    pts = synth.points_of_embeddings(spark, sf_dir)
+    t = _tasks(pts)
+    gone = t.select("g", "task_id", F.explode(F.expr("transform(sequence(0, k - 1), i -> struct(ports[2 * i] as a, ports[2 * i + 1] as b))")).alias("e")).select("g", "task_id", "e.a", "e.b")
+    at = lambda n: pts.select("g", F.col("id").alias(n), F.col("ix").alias(f"{n}x"), F.col("iy").alias(f"{n}y"))
+    paid = gone.join(at("a"), ["g", "a"]).join(at("b"), ["g", "b"]).groupBy("g", "task_id").agg(F.sum(D.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).alias("deleted_cost"))
+    return kopt.first_improving(kopt.template_costs(t, pts, catalogs.templates_table(spark)), paid).drop("g")
 
 
 @_query()

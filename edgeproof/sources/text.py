@@ -38,7 +38,7 @@ def _header(rows: DataFrame, section: str) -> tuple[dict[str, str], int]:
     """The KEY : value lines before a section line, and that line's number."""
     at = rows.where(F.col("line") == section).agg(F.min("n").alias("n"), F.count("*").alias("k")).first()
     _must(at["k"] == 1, f"{section} must stand once")
-    head = rows.where(F.col("n") < at["n"]).orderBy("n").limit(1000).collect()
+    head = rows.where(F.col("n") < at["n"]).orderBy("n").collect()
     out: dict[str, str] = {}
     for r in head:
         key, colon, value = r["line"].partition(":")
