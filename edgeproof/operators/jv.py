@@ -12,13 +12,13 @@ from .graph import Graph
 TRIED = 10
 
 
-def ranked_witnesses(graph: Graph, tried: int = TRIED) -> DataFrame:
-    """(g, edge_id, u, v, weight, c, score, rank, and coordinates): the nearest nodes next to either end, for edges that pass the degree gate.
+def ranked_witnesses(graph: Graph, tried: int = TRIED, edges: DataFrame | None = None) -> DataFrame:
+    """(g, edge_id, u, v, weight, c, score, rank, and coordinates): the nearest nodes next to either end, for edges that pass the degree gate, or some of them.
 
     The two ends are two equi-joins in a union, never a join on either; the node that is next to both is met once. Ranking is a
     window of at most deg(u) + deg(v) rows that keeps the first few.
     """
-    e = graph.at(graph.at(graph.gated(), "u", "a"), "v", "b")
+    e = graph.at(graph.at(graph.gated() if edges is None else edges, "u", "a"), "v", "b")
     adj = graph.at(graph.adjacency().select("g", "n", F.col("m").alias("c")), "c", "c")
     sides = [e.join(adj.withColumnRenamed("n", end), ["g", end]).where(F.col("c") != F.col(other)) for end, other in (("u", "v"), ("v", "u"))]
     names = ["g", "edge_id", "u", "v", "weight", "ax", "ay", "bx", "by", "c", "cx", "cy"]

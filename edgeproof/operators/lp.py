@@ -51,6 +51,14 @@ def reduced_costs(m: Model, dual: DataFrame) -> DataFrame:
     return m.col.join(paid, "col", "left").select("col", (F.col("obj") - F.coalesce("paid", F.lit(0.0))).alias("reduced"))
 
 
+def dual_objective(m: Model, dual: DataFrame) -> DataFrame:
+    """One row: objective, what a dual (signs as its rows have them) proves in floating point: right sides and offset, and each column at the bound that its reduced cost makes worse; minus infinity where that bound is none."""
+    side = F.when(F.col("reduced") >= 0, F.col("lb")).otherwise(F.col("ub"))
+    columns = m.col.join(reduced_costs(m, dual), "col").agg(F.coalesce(F.sum(F.when(F.col("reduced") != 0, F.col("reduced") * side).otherwise(0.0)), F.lit(0.0)).alias("c"))
+    rows = m.row.join(dual, "row").agg(F.coalesce(F.sum(F.col("rhs") * F.col("y")), F.lit(0.0)).alias("r"))
+    return columns.join(F.broadcast(rows)).select((F.col("c") + F.col("r") + m.offset).alias("objective"))
+
+
 def residuals(m: Model, primal: DataFrame, dual: DataFrame, given: DataFrame) -> DataFrame:
     """One row: max_primal_violation (rows and bounds), and max_reduced_cost_residual against the reduced costs given (col, rc)."""
     rows = row_activity(m, primal).agg(F.max("violation").alias("a"))

@@ -1,8 +1,14 @@
-"""Cutting lineage in iterative plans."""
+"""Cutting lineage in iterative plans, and the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _root(spark: SparkSession, beside: str) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + beside
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -10,5 +16,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        sc.setCheckpointDir(_root(spark, "/_checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one, for files that executors write and read."""
+    return f"{_root(spark, '/_shared').rstrip('/')}/edgeproof/{name}-{uuid.uuid4().hex}"

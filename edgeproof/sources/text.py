@@ -117,6 +117,28 @@ def read_tour(spark: SparkSession, path: str, g: str, dimension: int) -> DataFra
     return spark.createDataFrame([(g, i, int(t) - 1) for i, t in enumerate(values[:end])], "g string, pos int, node int")
 
 
+def _one_file(head: list[str], body: DataFrame, tail: list[str], path: str, codec: str | None = None) -> None:
+    """Header lines, the rows (at, value) in order and last lines as one text file (of a folder)."""
+    spark = body.sparkSession
+    ends = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(2, i, x) for i, x in enumerate(tail)], "part int, at bigint, value string")
+    rows = ends.unionByName(body.select(F.lit(1).alias("part"), F.col("at").cast("bigint").alias("at"), "value"))
+    writer = rows.coalesce(1).sortWithinPartitions("part", "at").select("value").write.mode("errorifexists")
+    (writer.option("compression", codec) if codec else writer).text(path)
+
+
+def write_points(points: DataFrame, kind: str, path: str, codec: str | None = None) -> None:
+    """One graph's points as a point file: ids from 1, integers as such."""
+    number = lambda c: F.coalesce(F.col(f"i{c}").cast("string"), F.col(c).cast("string"))
+    body = points.select(F.col("id").alias("at"), F.concat_ws(" ", F.col("id") + 1, number("x"), number("y")).alias("value"))
+    _one_file([f"DIMENSION : {points.count()}", f"EDGE_WEIGHT_TYPE : {kind}", "NODE_COORD_SECTION"], body, ["EOF"], path, codec)
+
+
+def write_tour(tour: DataFrame, path: str) -> None:
+    """One graph's tour (pos, node) as a tour file."""
+    body = tour.select(F.col("pos").alias("at"), (F.col("node") + 1).cast("string").alias("value"))
+    _one_file(["TYPE : TOUR", f"DIMENSION : {tour.count()}", "TOUR_SECTION"], body, ["-1", "EOF"], path)
+
+
 def write_active_edges(graph: Graph, path: str) -> None:
     """The active edges of one graph as an edge list in (u, v) order, in one text file (of a folder), by Spark's writer."""
     n, e = graph.points.count(), graph.active()

@@ -16,7 +16,7 @@ from edgeproof.plans.cut import cut
 class Feed:
     """Holds the current snapshot; apply() takes a batch (g, edge_id) out of it and gives the candidates that this makes.
 
-    Only edges with an end at a touched point, or next to one, can change their verdict; the others are left alone. Edge ids that are
+    Only edges with an end at a touched point, or next to one, can change their verdict; the others are left alone, and not searched. Edge ids that are
     unknown or inactive, and repeated ones, do nothing.
     """
 
@@ -29,9 +29,10 @@ class Feed:
         self.graph = self.graph.with_edges(cut(commit.without(self.graph, gone).edges))
         touched = gone.select("g", F.col("u").alias("n")).unionAll(gone.select("g", F.col("v").alias("n"))).distinct()
         near = touched.unionAll(before.join(touched, ["g", "n"]).select("g", F.col("m").alias("n"))).distinct()
-        c = jv.candidates(self.graph)
-        sides = [c.join(near.select("g", F.col("n").alias(end)), ["g", end], "left_semi").select("g", "edge_id", "u", "v", "witness") for end in ("u", "v")]
-        return sides[0].unionAll(sides[1]).distinct()
+        near = cut(near)
+        gated = self.graph.gated()
+        sides = [gated.join(near.select("g", F.col("n").alias(end)), ["g", end], "left_semi").select(*gated.columns) for end in ("u", "v")]
+        return jv.first_sound(self.graph, jv.ranked_witnesses(self.graph, edges=sides[0].unionAll(sides[1]).distinct()))
 
     def start(self, stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
         """Follow a stream of (g, edge_id); sink gets each batch's candidates and number."""
