@@ -138,6 +138,10 @@ SIMILAR, CLOSE_BITS = 0.8, 112
 FEW_SHINGLES = 64
 #: Leaders that the members of a crowded block are compared with at first.
 LEADERS = 2
+#: Times that members of crowded blocks of several groups meet the most central member, before what is left is compared exactly.
+CENTRAL = 2
+#: Hash classes by which the overlap of two sets is bounded.
+CLASSES = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -221,7 +225,8 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts whose shingle sets are similar by 0.8 or more differ in few bits of a wide fingerprint, and share a block. Blocks of up to
     ``pairwise`` rows are compared pair by pair; those of a more crowded one with some leaders, chosen by hash. Pairs within ``bits``, or of few shingles, whose shingle sets are ``similar`` are links.
-    Of crowded blocks whose members are not all in one group by then, the members are compared exactly: see ``crowded_pairs``.
+    Of crowded blocks whose members are not all in one group by then, the members meet the most central ones (see ``oddness``), and those that
+    are still apart are compared exactly: see ``crowded_pairs``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,39 +290,73 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     found = close(near)
     roots = written(components(found), "roots")
+    # what a group is made from is most like its copies: first the members of crowded blocks meet the most central ones, which is linear
+    odd = None
+    for turn in range(CENTRAL):
+        mixed = written(hot.join(roots.hint("merge"), "node", "left").select("block", "node", F.coalesce("root", "node").alias("root")), "hot")
+        parted = mixed.groupBy("block", "root").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+        torn = written(mixed.join(parted.hint("merge"), "block"), "torn")
+        if torn.isEmpty():
+            return made.select("id", "node"), roots
+        if odd is None:
+            odd = written(oddness(of.join(torn.select("node").distinct().hint("merge"), "node", "left_semi")), "odd")
+        lead = torn.where("root <> main") if turn else torn
+        lead = lead.join(odd.hint("merge"), "node").groupBy("block").agg(F.min_by(F.struct("node", "root"), F.struct("odd", "node")).alias("lead"))
+        met = torn.join(lead.hint("merge"), "block").where("root <> lead.root").select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
+        more = close(written(met.distinct(), "met"))
+        if more.isEmpty():
+            break
+        roots = written(components(more.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
     mixed = written(hot.join(roots.hint("merge"), "node", "left").select("block", "node", F.coalesce("root", "node").alias("root")), "hot")
     torn = mixed.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("block")
     crowd = mixed.join(torn, "block", "left_semi").select("node", "root").distinct()
     left = close(crowded_pairs(of.join(crowd.hint("merge"), "node"), similar))
-    return made.select("id", "node"), roots if left.isEmpty() else components(found.unionAll(left))
+    return made.select("id", "node"), roots if left.isEmpty() else components(left.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
-def crowded_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (u, v) of ``sets`` (node, root, set: 64-bit hashes) of different roots, among them all that are ``similar``.
-
-    Sets similar by s share one of the rarest (1 - s) of either's hashes, in one order of all hashes (the prefix filter, which is exact), and
-    their sizes differ by no more than s. Of those that share such a hash, all but the ones of its most frequent root are paired with all:
-    a pair of different roots has one of them.
-    """
+def _hashes(sets: DataFrame, more: list[str]) -> DataFrame:
+    """(h, n, and further columns of ``sets``): each hash of each set, and the set's size."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b, text="set", most=1 << 20):
                 each = [np.frombuffer(x, np.int64) for x in c.column("set").to_pylist()]
                 n = np.array([len(x) for x in each], np.int64)
-                node, root = (pa.array(np.repeat(np.asarray(c.column(x)), n)) for x in ("node", "root"))
-                yield pa.RecordBatch.from_arrays([node, root, pa.array(np.repeat(n, n)), pa.array(np.concatenate(each))], names=["node", "root", "n", "h"])
+                cols = [pa.array(np.repeat(np.asarray(c.column(x)), n)) for x in more]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.repeat(n, n)), pa.array(np.concatenate(each))], names=[*more, "n", "h"])
 
-    rows = written(sets.select("node", "root", "set").mapInArrow(flat, "node long, root long, n long, h long"), "hashes")
+    return sets.select(*more, "set").mapInArrow(flat, ", ".join(f"{x} long" for x in [*more, "n", "h"]))
+
+
+def oddness(sets: DataFrame) -> DataFrame:
+    """(node, odd): how much of each set few others of ``sets`` (node, set) have; small for what many are copies of."""
+    rows = written(_hashes(sets, ["node"]), "hashes")
+    often = rows.groupBy("h").agg(F.count("*").alias("often"))
+    return rows.join(often.hint("merge"), "h").groupBy("node").agg((F.sum(1 / F.col("often")) / F.max("n")).alias("odd"))
+
+
+def crowded_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (u, v) of ``sets`` (node, root, set: 64-bit hashes) of different roots, among them all that are ``similar``.
+
+    Sets similar by s share one of the rarest (1 - s) of either's hashes, in one order of all hashes (the prefix filter, which is exact). Of those
+    that share such a hash, all but the ones of its most frequent root meet all: a pair of different roots has one of them. A pair is made
+    only if it can be similar: in each hash class two sets share no more hashes than either has there that others have too, and the sum of
+    these least numbers must suffice for their sizes. That bound is exact as well, and of a dense group below the threshold it leaves few pairs.
+    """
+    rows = written(_hashes(sets, ["node", "root"]), "hashes")
     # a hash of one set alone makes no pair, but has its place in the order
     often = rows.groupBy("h").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "h"))
     first = rows.join(often.hint("merge"), "h").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1)
-    first = written(first.where("often > 1").select("h", "node", "root", "n"), "prefixes")
+    first = first.where("often > 1").select("h", "node", "root", "n")
+    class_ = F.pmod(F.xxhash64("h"), F.lit(CLASSES))
+    common = rows.join(often.where("often > 1").hint("merge"), "h").groupBy("node").agg(F.array(*(F.count_if(class_ == k).cast("int") for k in range(CLASSES))).alias("common"))
+    first = written(first.join(common.hint("merge"), "node").select("h", "node", "root", "n", "common"), "prefixes")
     by_root = first.groupBy("h", "root").agg(F.count("*").alias("k"))
     main = by_root.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
-    rest = first.join(main.hint("merge"), "h").where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    pair = rest.join(first.hint("merge"), "h").where((F.col("ra") != F.col("root")) & (F.least("na", "n") >= similar * F.greatest("na", "n") - 1e-9))
+    rest = first.join(main.hint("merge"), "h").where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("common").alias("ca"))
+    most = F.aggregate(F.zip_with("ca", "common", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    pair = rest.join(first.hint("merge"), "h").where((F.col("ra") != F.col("root")) & (most * (1 + similar) >= similar * (F.col("na") + F.col("n")) - 1e-9))
     return written(pair.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).distinct(), "crowded")
 
 
