@@ -140,8 +140,6 @@ FEW_SHINGLES = 64
 LEADERS = 2
 #: Times that members of crowded blocks of several groups meet the most central member, before what is left is compared exactly.
 CENTRAL = 2
-#: Hash classes by which the overlap of two sets is bounded.
-CLASSES = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -338,25 +336,27 @@ def oddness(sets: DataFrame) -> DataFrame:
 def crowded_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Pairs (u, v) of ``sets`` (node, root, set: 64-bit hashes) of different roots, among them all that are ``similar``.
 
-    Sets similar by s share one of the rarest (1 - s) of either's hashes, in one order of all hashes (the prefix filter, which is exact). Of those
-    that share such a hash, all but the ones of its most frequent root meet all: a pair of different roots has one of them. A pair is made
-    only if it can be similar: in each hash class two sets share no more hashes than either has there that others have too, and the sum of
-    these least numbers must suffice for their sizes. That bound is exact as well, and of a dense group below the threshold it leaves few pairs.
+    Sets similar by s share one of the rarest (1 - s) of either's hashes, in one order of all hashes (the prefix filter, which is exact). Where
+    a set of n hashes meets one of m first at its place p, they share at most n - p + 1, and need s / (1 + s) of n + m: so m is at most ``reach``
+    there, on both sides. The smaller set thus has a reach of its own size or more, and a hash that no set reaches so far is left out, as are
+    the sets out of reach of those that do. Members of a dense group below the threshold have too many hashes of their own before the shared
+    ones, so they are not paired at all. Of those that share a hash, all but the ones of its most frequent root meet all: a pair of different
+    roots has one of them.
     """
     rows = written(_hashes(sets, ["node", "root"]), "hashes")
     # a hash of one set alone makes no pair, but has its place in the order
     often = rows.groupBy("h").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "h"))
-    first = rows.join(often.hint("merge"), "h").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1)
-    first = first.where("often > 1").select("h", "node", "root", "n")
-    class_ = F.pmod(F.xxhash64("h"), F.lit(CLASSES))
-    common = rows.join(often.where("often > 1").hint("merge"), "h").groupBy("node").agg(F.array(*(F.count_if(class_ == k).cast("int") for k in range(CLASSES))).alias("common"))
-    first = written(first.join(common.hint("merge"), "node").select("h", "node", "root", "n", "common"), "prefixes")
+    # a little more than exact, against rounding: the sets are compared afterwards
+    reach = (F.col("n") - F.col("place") + 1) * ((1 + similar) / similar) - F.col("n") + 1e-6
+    first = rows.join(often.hint("merge"), "h").withColumn("place", place).withColumn("reach", reach).where(F.col("reach") >= similar * F.col("n"))
+    first = written(first.where("often > 1").select("h", "node", "root", "n", "reach"), "prefixes")
+    met = first.where("reach >= n").groupBy("h").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    first = written(first.join(met.hint("merge"), "h").where("reach >= least and n <= most").drop("least", "most"), "reached")
     by_root = first.groupBy("h", "root").agg(F.count("*").alias("k"))
     main = by_root.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
-    rest = first.join(main.hint("merge"), "h").where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("common").alias("ca"))
-    most = F.aggregate(F.zip_with("ca", "common", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    pair = rest.join(first.hint("merge"), "h").where((F.col("ra") != F.col("root")) & (most * (1 + similar) >= similar * (F.col("na") + F.col("n")) - 1e-9))
+    rest = first.join(main.hint("merge"), "h").where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("reach").alias("reach_a"))
+    pair = rest.join(first.hint("merge"), "h").where((F.col("ra") != F.col("root")) & (F.col("reach") >= F.col("na")) & (F.col("reach_a") >= F.col("n")))
     return written(pair.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).distinct(), "crowded")
 
 

@@ -187,6 +187,25 @@ def test_large_group_of_close_copies_against_brute_force(spark):
     assert kept == {i for i in root if root[i] == i}
 
 
+def test_crowded_pairs_hold_all_similar_ones_and_few_others(spark):
+    """Sets of all sizes around the threshold, and a dense group below it that must not be paired member by member."""
+    rng = random.Random(3)
+    sets = []
+    for _ in range(40):
+        base = rng.sample(range(10**6), rng.choice([1, 2, 4, 5, 9, 10, 45, 50]))
+        for _ in range(6):
+            kept = rng.sample(base, max(1, len(base) - rng.randint(0, max(1, len(base) // 5))))
+            sets.append(frozenset(kept) | {rng.randrange(10**6) for _ in range(rng.randint(0, len(base) // 6))})
+    core = rng.sample(range(10**6), 80)
+    dense = range(len(sets), len(sets) + 300)
+    sets += [frozenset(rng.sample(core, 70)) | {rng.randrange(10**9) for _ in range(13)} for _ in dense]
+    rows = [(i, i % 7 if i < dense[0] else i, np.array(sorted(x), np.int64).tobytes()) for i, x in enumerate(sets)]
+    got = {(r["u"], r["v"]) for r in sh.crowded_pairs(spark.createDataFrame(rows, "node long, root long, set binary")).collect()}
+    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if rows[a][1] != rows[b][1] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(alike) > 100 and got >= alike
+    assert sum(u in dense and v in dense for u, v in got - alike) <= 10
+
+
 def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
     """Texts that share the first hash are no copies, and none of them goes."""
     monkeypatch.setattr(sh, "node_of", lambda c: sh.F.lit(3).cast("long"))
