@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._arrow import chunks, mix, prefix_hash, range_hash, text_buffer, word_bounds, word_hashes, written
 from .components import components
@@ -223,7 +222,7 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts whose shingle sets are similar by 0.8 or more differ in few bits of a wide fingerprint, and share a block. Blocks of up to
     ``pairwise`` rows are compared pair by pair; those of a more crowded one with some leaders, chosen by hash. Pairs within ``bits``, or of few shingles, whose shingle sets are ``similar`` are links.
-    Of crowded blocks whose members are not all in one group by then, the members meet the most central ones (see ``oddness``), and those that
+    Of crowded blocks whose members are not all in one group by then, the members meet the most central ones (see ``ranked``), and those that
     are still apart are compared exactly: see ``crowded_pairs``.
     """
 
@@ -297,9 +296,9 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if torn.isEmpty():
             return made.select("id", "node"), roots
         if odd is None:
-            odd = written(oddness(of.join(torn.select("node").distinct().hint("merge"), "node", "left_semi")), "odd")
+            odd = written(ranked(of.join(torn.select("node").distinct().hint("merge"), "node", "left_semi"), similar), "odd")
         lead = torn.where("root <> main") if turn else torn
-        lead = lead.join(odd.hint("merge"), "node").groupBy("block").agg(F.min_by(F.struct("node", "root"), F.struct("odd", "node")).alias("lead"))
+        lead = lead.join(odd.select("node", "odd").hint("merge"), "node").groupBy("block").agg(F.min_by(F.struct("node", "root"), F.struct("odd", "node")).alias("lead"))
         met = torn.join(lead.hint("merge"), "block").where("root <> lead.root").select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
         more = close(written(met.distinct(), "met"))
         if more.isEmpty():
@@ -308,7 +307,7 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mixed = written(hot.join(roots.hint("merge"), "node", "left").select("block", "node", F.coalesce("root", "node").alias("root")), "hot")
     torn = mixed.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("block")
     crowd = mixed.join(torn, "block", "left_semi").select("node", "root").distinct()
-    left = close(crowded_pairs(of.join(crowd.hint("merge"), "node"), similar))
+    left = close(crowded_pairs(odd.join(crowd.hint("merge"), "node"), similar))
     return made.select("id", "node"), roots if left.isEmpty() else components(left.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
@@ -326,15 +325,23 @@ def _hashes(sets: DataFrame, more: list[str]) -> DataFrame:
     return sets.select(*more, "set").mapInArrow(flat, ", ".join(f"{x} long" for x in [*more, "n", "h"]))
 
 
-def oddness(sets: DataFrame) -> DataFrame:
-    """(node, odd): how much of each set few others of ``sets`` (node, set) have; small for what many are copies of."""
+def ranked(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(node, n, own, odd, first) of those ``sets`` (node, set: 64-bit hashes) that share a hash with another.
+
+    own: how many of the n hashes no other set has; odd: how much of the set few others have, small for what many are copies of; first: the
+    least frequent shared hashes, in the order of all hashes, as far as a ``similar`` set's must begin. A set's own hashes come before these and
+    need no join with their counts.
+    """
     rows = written(_hashes(sets, ["node"]), "hashes")
-    often = rows.groupBy("h").agg(F.count("*").alias("often"))
-    return rows.join(often.hint("merge"), "h").groupBy("node").agg((F.sum(1 / F.col("often")) / F.max("n")).alias("odd"))
+    often = rows.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
+    shared = rows.join(often.hint("merge"), "h").groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("k"), F.sum(1 / F.col("often")).alias("part"), F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
+    begin = F.greatest(F.lit(0), F.col("k") - F.ceil(similar * F.col("n") - 1e-6) + 1).cast("int")
+    own = F.col("n") - F.col("k")
+    return shared.select("node", "n", own.alias("own"), ((own + F.col("part")) / F.col("n")).alias("odd"), F.slice("all", F.lit(1), begin)["h"].alias("first"))
 
 
 def crowded_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (u, v) of ``sets`` (node, root, set: 64-bit hashes) of different roots, among them all that are ``similar``.
+    """Pairs (u, v) of ``sets`` (as ``ranked``, with root) of different roots, among them all that are ``similar``.
 
     Sets similar by s share one of the rarest (1 - s) of either's hashes, in one order of all hashes (the prefix filter, which is exact). Where
     a set of n hashes meets one of m first at its place p, they share at most n - p + 1, and need s / (1 + s) of n + m: so m is at most ``reach``
@@ -343,14 +350,10 @@ def crowded_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     ones, so they are not paired at all. Of those that share a hash, all but the ones of its most frequent root meet all: a pair of different
     roots has one of them.
     """
-    rows = written(_hashes(sets, ["node", "root"]), "hashes")
-    # a hash of one set alone makes no pair, but has its place in the order
-    often = rows.groupBy("h").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "h"))
+    rows = sets.select("node", "root", "n", "own", F.posexplode("first").alias("at", "h"))
     # a little more than exact, against rounding: the sets are compared afterwards
-    reach = (F.col("n") - F.col("place") + 1) * ((1 + similar) / similar) - F.col("n") + 1e-6
-    first = rows.join(often.hint("merge"), "h").withColumn("place", place).withColumn("reach", reach).where(F.col("reach") >= similar * F.col("n"))
-    first = written(first.where("often > 1").select("h", "node", "root", "n", "reach"), "prefixes")
+    reach = (F.col("n") - F.col("own") - F.col("at")) * ((1 + similar) / similar) - F.col("n") + 1e-6
+    first = written(rows.select("h", "node", "root", "n", reach.alias("reach")), "prefixes")
     met = first.where("reach >= n").groupBy("h").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
     first = written(first.join(met.hint("merge"), "h").where("reach >= least and n <= most").drop("least", "most"), "reached")
     by_root = first.groupBy("h", "root").agg(F.count("*").alias("k"))
