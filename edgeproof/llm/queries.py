@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fm_decontamination import OP4_SQL, op4_fm_decontamination
 from .lm_bloom import op7_lm_bloom
 from .media_jpeg import op10_media_jpeg
+from .merkle_manifest import OP11_SQL, op11_merkle_manifest
 from .quality_qda import op6_quality_qda
 from .simhash_neardup import op9_simhash_neardup
 from .source_mixing import op3_source_mixing
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_merkle": op8_warc_merkle,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_media_jpeg": op10_media_jpeg,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op2_substring_countmin": OP2_SQL, "op4_fm_decontamination": OP4_SQL, "op8_warc_merkle": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_countmin": OP2_SQL, "op4_fm_decontamination": OP4_SQL, "op8_warc_merkle": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
