@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fm_decontamination import OP4_SQL, op4_fm_decontamination
+from .language_ranks import op12_language_ranks
 from .lm_bloom import op7_lm_bloom
 from .media_jpeg import op10_media_jpeg
 from .merkle_manifest import OP11_SQL, op11_merkle_manifest
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_media_jpeg": op10_media_jpeg,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_ranks": op12_language_ranks,
 }
 ORACLE_SQL: dict[str, str] = {"op2_substring_countmin": OP2_SQL, "op4_fm_decontamination": OP4_SQL, "op8_warc_merkle": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
