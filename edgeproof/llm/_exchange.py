@@ -89,13 +89,27 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by[new], inv
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str, name: str, most: int = 1 << 20) -> DataFrame:
-    """chunk (a number of its own), ids, at (offsets of the texts), text (UTF-8, compressed) and size (its bytes), of about ``most`` bytes of text a row or one longer document; written to the shared folder, so chunks stay what they are."""
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def chunk_table(docs: DataFrame, id_col: str, text_col: str, name: str, most: int = 1 << 20, gather: bool = False) -> DataFrame:
+    """chunk (a number of its own), ids, at (offsets of the texts), text (UTF-8, compressed) and size (its bytes), of about ``most`` bytes of text a row or one longer document; written to the shared folder, so chunks stay what they are. ``gather``: texts are so short that a batch has fewer bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for whole in batches:
+        for whole in gathered(batches, most) if gather else batches:
             for b in chunks(whole, most=most):
                 buf, at = text_buffer(b.column("text"))
                 ids = b.column("id")

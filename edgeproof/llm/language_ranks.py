@@ -196,7 +196,7 @@ def predicted(buf: np.ndarray, at: np.ndarray, p: Profiles) -> tuple[np.ndarray,
     if len(p.names) > 1:
         away[np.arange(n), np.maximum(best, 0)] = np.iinfo(np.int64).max
         most = away.min(axis=1)
-    score[has] = 1 - near[has] / np.maximum(most[has], 1)
+    score[has] = (most[has] - near[has]) / np.maximum(most[has], 1)
     return best, score
 
 
@@ -204,8 +204,8 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     """``docs`` with lang_pred and score.
 
     lang_pred is the language of the nearest profile, the first by code point of those equally near; `und` with score 0 where the text is
-    null or has no letter, or no language was learned. score is 1 less the nearest distance over the next one (over the greatest one, if a
-    single language was learned): 0 at a tie, near 1 if no other language is close. Other columns are kept, but for two of these names.
+    null or has no letter, or no language was learned. score is by what share of the next distance the nearest one is less (of the greatest one,
+    if a single language was learned): 0 at a tie, near 1 if no other language is close. Other columns are kept, but for two of these names.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     sc = docs.sparkSession.sparkContext.broadcast(profiles)

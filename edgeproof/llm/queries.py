@@ -11,6 +11,7 @@ from .language_ranks import op12_language_ranks
 from .lm_bloom import op7_lm_bloom
 from .media_jpeg import op10_media_jpeg
 from .merkle_manifest import OP11_SQL, op11_merkle_manifest
+from .phrase_collocations import OP13_SQL, op13_phrase_collocations
 from .quality_qda import op6_quality_qda
 from .simhash_neardup import op9_simhash_neardup
 from .source_mixing import op3_source_mixing
@@ -32,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_jpeg": op10_media_jpeg,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_language_ranks": op12_language_ranks,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op2_substring_countmin": OP2_SQL, "op4_fm_decontamination": OP4_SQL, "op8_warc_merkle": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_countmin": OP2_SQL, "op4_fm_decontamination": OP4_SQL, "op8_warc_merkle": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op13_phrase_collocations": OP13_SQL}

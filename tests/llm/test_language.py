@@ -45,7 +45,7 @@ def plain_identify(rows, ranks):
             out.append((r["doc_id"], "und", 0.0))
         else:
             beyond = away[1][0] if len(away) > 1 else len(own) * ranks
-            out.append((r["doc_id"], away[0][1], 1 - away[0][0] / max(beyond, 1)))
+            out.append((r["doc_id"], away[0][1], (beyond - away[0][0]) / max(beyond, 1)))
     return out
 
 
