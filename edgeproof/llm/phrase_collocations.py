@@ -2,9 +2,10 @@
 
 Identical pieces of text are one row with their number, so a line that stands in a third of all documents is counted once, with its
 weight. Chunks of different pieces put their n-grams by hash range, pairs only of frequent words and longer ones only of frequent
-pairs (no phrase is more frequent than a part of it, so none is lost), and are told which reach the least count; each different one is sent once a
-chunk. Frequent n-grams then go as text to buckets by their hash, and duckdb counts a bucket exactly, out of core. What a score needs of
-a candidate's parts is looked up by requests shuffled to the parts' own buckets.
+pairs (no phrase is more frequent than a part of it, so none is lost); each different one is sent once a chunk, with its weight. duckdb
+counts the n-grams of a bucket of hashes, out of core; every chunk hears which of its own are frequent, and the first that has one hears its
+count too and gives the phrase's text. What a score needs of a candidate's parts is looked up by requests shuffled to the parts' own
+buckets. N-grams are told apart by 64-bit hashes of language and words.
 """
 
 from __future__ import annotations
@@ -86,16 +87,21 @@ class Chunk:
         total = np.add.reduceat(self.weight[pick], edge) if len(edge) else np.zeros(0, np.int64)
         return h[edge], total, edge, pick
 
-    def learn(self, k: int, b: pa.RecordBatch, row: int, name: str, buckets: int) -> np.ndarray:
-        """Which of the different k-grams are frequent, by the answers in column ``name``; from now on ``good``."""
+    def learn(self, k: int, b: pa.RecordBatch, row: int, name: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the answers in column ``name``: which k-grams are frequent is ``good`` from now on. First words and counts of those whose text this chunk gives."""
         u, _, edge, pick = self.distinct(k)
-        got, often = ex.bodies(b, name, row), np.zeros(len(u), bool)
+        got, often, own, counts = ex.bodies(b, name, row), np.zeros(len(u), bool), [], []
         for r, s, e in ex.parts(u, buckets):
-            often[s:e] = np.unpackbits(np.frombuffer(got[(k, r)], np.uint8), count=e - s)
+            bits, places, f = ex.expand(got[(k, r)])
+            often[s:e] = np.unpackbits(bits, count=e - s)
+            own.append(places.astype(np.int64) + s)
+            counts.append(f)
         good = np.zeros(len(self.start) + LONGEST, bool)
         good[pick] = np.repeat(often, np.diff(np.append(edge, len(pick))))
         self.good[k] = good
-        return often
+        if not own:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return pick[edge][np.concatenate(own)], np.concatenate(counts)
 
 
 def asked(chunk: Chunk, lengths: tuple[int, ...], buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -107,15 +113,24 @@ def asked(chunk: Chunk, lengths: tuple[int, ...], buckets: int) -> Iterator[tupl
 
 
 def frequent(got: list[tuple[int, bytes]], least: int) -> list[bytes]:
-    """Of each message's hashes, which reach the least count over all messages."""
+    """Of each message's hashes, which reach the least count over all messages, and those of them that no message before has, with their counts."""
     each = [ex.expand(body) for _, body in got]
     keys = [np.cumsum(p[0], dtype=np.uint64) for p in each]
-    rows = pa.table({"h": np.concatenate(keys), "w": np.concatenate([p[1].astype(np.int64) for p in each])})
+    number = np.repeat(np.arange(len(keys), dtype=np.int32), [len(h) for h in keys])
+    rows = pa.table({"h": np.concatenate(keys), "w": np.concatenate([p[1].astype(np.int64) for p in each]), "m": number})
     with bucket_engine() as con:
         con.register("parts", rows)
-        often = con.sql(f"SELECT h FROM parts GROUP BY h HAVING sum(w) >= {least} ORDER BY h").fetchnumpy()["h"]
-    often = np.append(np.asarray(often, np.uint64), np.uint64(0))
-    return [np.packbits((often[np.searchsorted(often[:-1], h)] == h) & (np.searchsorted(often[:-1], h) < len(often) - 1)).tobytes() for h in keys]
+        found = con.sql(f"SELECT h, CAST(sum(w) AS BIGINT) AS f, min(m) AS m FROM parts GROUP BY h HAVING sum(w) >= {least} ORDER BY m, h").fetchnumpy()
+    h, f, m = (np.asarray(found[c]) for c in "hfm")
+    every, cut, out = np.sort(h), np.searchsorted(m, np.arange(len(keys) + 1)), []
+    for k, own in enumerate(keys):
+        at = np.searchsorted(every, own)
+        often = np.zeros(len(own), bool)
+        inside = at < len(every)
+        often[inside] = every[at[inside]] == own[inside]
+        first = slice(cut[k], cut[k + 1])
+        out.append(ex.squeeze(np.packbits(often), np.searchsorted(own, h[first]).astype(np.uint32), f[first]))
+    return out
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, buckets: int | None = None) -> DataFrame:
@@ -149,33 +164,18 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
                 yield _rows(names, np.arange(len(names)), 0, [b""] * len(names), total)
                 for i, lengths in enumerate(rounds):
                     for k in lengths:
-                        u, weight, edge, pick = chunk.distinct(k)
-                        often = chunk.learn(k, b, row, f"often{i}", buckets)
-                        first = pick[edge][often]
+                        first, f = chunk.learn(k, b, row, f"often{i}", buckets)
                         bounds = [(chunk.start[first + j].tolist(), chunk.end[first + j].tolist()) for j in range(k)]
                         texts = [b" ".join(p) for p in zip(*([raw[s:e] for s, e in zip(*x, strict=True)] for x in bounds), strict=True)]
-                        yield _rows(names, chunk.lang[chunk.piece[first]], k, texts, weight[often])
+                        yield _rows(names, chunk.lang[chunk.piece[first]], k, texts, f)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = next(batches, None)
-        if head is None:
-            return
-
-        def all_of() -> Iterator[pa.RecordBatch]:
-            yield head
-            yield from batches
-
-        with bucket_engine() as con:
-            con.register("grams", pa.RecordBatchReader.from_batches(head.schema, all_of()))
-            yield from con.sql(f"SELECT lang, words, phrase, CAST(sum(w) AS BIGINT) AS f FROM grams GROUP BY ALL HAVING words = 0 OR sum(w) >= {least}").to_arrow_table().to_batches()
-
-    sent = table.mapInArrow(emit, "lang string, words int, phrase string, w long")
-    return written(sent.repartition(buckets, "lang", "phrase").mapInArrow(count, "lang string, words int, phrase string, f long"), "phrases")
+    sent = table.mapInArrow(emit, "lang string, words int, phrase string, f long")
+    return written(sent.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")), "phrases")
 
 
 def _rows(names: pa.Array, lang: np.ndarray, words: int, phrases: list[bytes], w: np.ndarray) -> pa.RecordBatch:
     cols = [names.take(pa.array(lang)), pa.array(np.full(len(lang), words, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(w, pa.int64())]
-    return pa.RecordBatch.from_arrays(cols, names=["lang", "words", "phrase", "w"])
+    return pa.RecordBatch.from_arrays(cols, names=["lang", "words", "phrase", "f"])
 
 
 def _part(start: Column, words: Column) -> Column:

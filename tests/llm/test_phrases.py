@@ -45,7 +45,7 @@ def test_agrees_with_plain_integers(spark, least, longest, top):
     rows = rows_of(120, least)
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
     got = sorted(map(tuple, pc.collocations(docs, least=least, longest=longest, top=top).collect()))
-    assert len(got) > 10 and got == plain(rows, least, longest, top)
+    assert len(got) >= 3 and got == plain(rows, least, longest, top)
 
 
 def test_small_chunks_and_many_buckets(spark, monkeypatch):
