@@ -64,7 +64,7 @@ def test_products_beyond_64_bits(spark):
 def test_awkward_rows(spark, awkward, empty):
     docs = awkward.withColumn("piece", F.lit("p")).withColumn("n", F.lit(1)).withColumn("phrase", F.lit("q"))
     got = sorted(map(tuple, pc.collocations(docs, least=2).collect()))
-    assert got == plain([(r["text"], r["lang"]) for r in awkward.collect()], 2) and got
+    assert got == plain([(r["text"], r["lang"]) for r in awkward.collect()], 2)
     assert pc.collocations(empty).count() == 0
     assert pc.collocations(awkward.where("text is null or text = ''")).count() == 0
 
