@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import chunks, mix, prefix_hash, range_hash, text_buffer, word_bounds, word_hashes, written
+from ._exchange import press, release
 from .components import components
 
 SEED = 42
@@ -135,6 +136,8 @@ CLOSE_WIDTH, PARTS, PART_SIZE, WIDE = 5, 24, 8, 8
 SIMILAR, CLOSE_BITS = 0.8, 112
 #: Texts of fewer shingles differ in more bits; their pairs go to the exact check whatever the fingerprints.
 FEW_SHINGLES = 64
+#: Cells and parts of the sketch of how many sets have a hash.
+CELLS, CELL_PARTS = 1 << 20, 64
 #: Leaders that the members of a crowded block are compared with at first.
 LEADERS = 2
 #: Times that members of crowded blocks of several groups meet the most central member, before what is left is compared exactly.
@@ -311,48 +314,70 @@ def close_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return made.select("id", "node"), roots if left.isEmpty() else components(left.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
-def _hashes(sets: DataFrame, more: list[str]) -> DataFrame:
-    """(h, n, and further columns of ``sets``): each hash of each set, and the set's size."""
+def frequencies(sets: DataFrame, cells: int = CELLS, parts: int = CELL_PARTS) -> np.ndarray:
+    """How many of the ``sets``' hashes lie in each cell: never less than how many sets have a hash of the cell. Of fixed size; tasks' counts are added up part by part."""
+    span, shift = cells // parts, np.uint64(64 - (cells.bit_length() - 1))
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(cells, np.int64)
         for b in batches:
-            for c in chunks(b, text="set", most=1 << 20):
-                each = [np.frombuffer(x, np.int64) for x in c.column("set").to_pylist()]
-                n = np.array([len(x) for x in each], np.int64)
-                cols = [pa.array(np.repeat(np.asarray(c.column(x)), n)) for x in more]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.repeat(n, n)), pa.array(np.concatenate(each))], names=[*more, "n", "h"])
+            raw, _ = text_buffer(b.column("set"))
+            own += np.bincount((mix(np.frombuffer(raw.tobytes(), np.uint64)) >> shift).astype(np.int64), minlength=cells)
+        some = np.flatnonzero(own.reshape(parts, span).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([press(own[k * span : (k + 1) * span].tobytes()) for k in some], pa.binary())], names=["part", "n"])
 
-    return sets.select(*more, "set").mapInArrow(flat, ", ".join(f"{x} long" for x in [*more, "n", "h"]))
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(span, np.int64)
+        for x in table["n"].to_pylist():
+            total += np.frombuffer(release(x), np.int64)
+        return pa.table({"part": table["part"][:1], "n": pa.array([total.tobytes()], pa.binary())})
 
+    kind, out = "part long, n binary", np.zeros(cells, np.int64)
+    for r in sets.select("set").mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).collect():
+        out[r["part"] * span : (r["part"] + 1) * span] = np.frombuffer(r["n"], np.int64)
+    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
-def ranked(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(node, n, own, odd, first) of those ``sets`` (node, set: 64-bit hashes) that share a hash with another.
 
-    own: how many of the n hashes no other set has; odd: how much of the set few others have, small for what many are copies of; first: the
-    least frequent shared hashes, in the order of all hashes, as far as a ``similar`` set's must begin. A set's own hashes come before these and
-    need no join with their counts.
+def ranked(sets: DataFrame, similar: float = SIMILAR, cells: int = CELLS) -> DataFrame:
+    """(node, n, odd, first, at) of ``sets`` (node, set: different 64-bit hashes) of which another set may have a hash.
+
+    All hashes have one order: by the estimate of how many sets have them (``frequencies``, broadcast at its fixed size), then by value. first
+    and at: the hashes that a ``similar`` set's must begin with, and their places in the set, but for those that no other set can have. odd:
+    how much of the set few others have, small for what many are copies of. A coarse estimate costs candidates, never a pair.
     """
-    rows = written(_hashes(sets, ["node"]), "hashes")
-    often = rows.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
-    shared = rows.join(often.hint("merge"), "h").groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("k"), F.sum(1 / F.col("often")).alias("part"), F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
-    begin = F.greatest(F.lit(0), F.col("k") - F.ceil(similar * F.col("n") - 1e-6) + 1).cast("int")
-    own = F.col("n") - F.col("k")
-    return shared.select("node", "n", own.alias("own"), ((own + F.col("part")) / F.col("n")).alias("odd"), F.slice("all", F.lit(1), begin)["h"].alias("first"))
+    shift = np.uint64(64 - (cells.bit_length() - 1))
+    shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets, cells))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for b in batches:
+            rows = []
+            for node, x in zip(b.column("node").to_pylist(), b.column("set").to_pylist(), strict=True):
+                h = np.frombuffer(x, np.uint64)
+                e = often[(mix(h) >> shift).astype(np.int64)]
+                by = np.lexsort((h, e))[: max(0, len(h) - int(np.ceil(similar * len(h) - 1e-6)) + 1)]
+                at = np.flatnonzero(e[by] > 1)
+                rows.append((node, len(h), float((1 / e).sum() / max(1, len(h))), h[by][at].view(np.int64), at))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["node", "n", "odd", "first", "at"])
+
+    return sets.select("node", "set").mapInArrow(run, "node long, n long, odd double, first array<long>, at array<long>")
 
 
 def crowded_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Pairs (u, v) of ``sets`` (as ``ranked``, with root) of different roots, among them all that are ``similar``.
 
-    Sets similar by s share one of the rarest (1 - s) of either's hashes, in one order of all hashes (the prefix filter, which is exact). Where
-    a set of n hashes meets one of m first at its place p, they share at most n - p + 1, and need s / (1 + s) of n + m: so m is at most ``reach``
+    Sets similar by s share one of the first (1 - s) of either's hashes, in one order of all hashes (the prefix filter, which is exact). Where
+    a set of n hashes meets one of m first at its place p (from 0), they share at most n - p, and need s / (1 + s) of n + m: so m is at most ``reach``
     there, on both sides. The smaller set thus has a reach of its own size or more, and a hash that no set reaches so far is left out, as are
     the sets out of reach of those that do. Members of a dense group below the threshold have too many hashes of their own before the shared
     ones, so they are not paired at all. Of those that share a hash, all but the ones of its most frequent root meet all: a pair of different
     roots has one of them.
     """
-    rows = sets.select("node", "root", "n", "own", F.posexplode("first").alias("at", "h"))
+    rows = sets.select("node", "root", "n", F.explode(F.arrays_zip("first", "at")).alias("x")).select("node", "root", "n", F.col("x.first").alias("h"), F.col("x.at").alias("at"))
     # a little more than exact, against rounding: the sets are compared afterwards
-    reach = (F.col("n") - F.col("own") - F.col("at")) * ((1 + similar) / similar) - F.col("n") + 1e-6
+    reach = (F.col("n") - F.col("at")) * ((1 + similar) / similar) - F.col("n") + 1e-6
     first = written(rows.select("h", "node", "root", "n", reach.alias("reach")), "prefixes")
     met = first.where("reach >= n").groupBy("h").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
     first = written(first.join(met.hint("merge"), "h").where("reach >= least and n <= most").drop("least", "most"), "reached")
