@@ -5,8 +5,10 @@ order, one witness covering many matchings), touches a few dozen nodes, and runs
 """
 
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,26 +170,63 @@ def reconnect(c: Context, d: Metric, mates: tuple[int, ...], places: list[int],
     return None, len(forms)
 
 
+#: Cost of what cannot be.
+NEVER = 1 << 60
+#: Deletion sets whose costs are worked out at once.
+BLOCK = 2048
+
+
+@cache
+def _forms(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ports that each template of k joins: (templates, k) each."""
+    pairs = [[(a, b) for a, b in enumerate(f) if a < b] for f in catalogs.templates(k)]
+    both = np.array(pairs, np.int64)
+    return both[:, :, 0], both[:, :, 1]
+
+
+@cache
+def _sets(places: int, k: int) -> np.ndarray:
+    """Anchored k-subsets of so many places in lexicographic order; the first place is in all."""
+    return np.array([(0, *more) for more in combinations(range(1, places), k - 1)], np.int64).reshape(-1, k)
+
+
+def distances(d: Metric, nodes: list[int]) -> np.ndarray:
+    return np.array([[d(a, b) if a != b else 0 for b in nodes] for a in nodes], np.int64)
+
+
 def find_witness(paths: Paths, d: Metric, mates: tuple[int, ...], required: Edge | None, o: Options) -> Search:
-    """Deletion sets by size, then lexicographic over the path edges from the required one on, which every set holds; sizes stay below their number."""
+    """Deletion sets by size, then lexicographic over the path edges from the required one on, which every set holds; sizes stay below their number.
+
+    Costs of all templates of a block of deletion sets are one array; only those that are shorter are rebuilt and judged, in order.
+    """
     if not 3 <= o.max_k <= 5:
         return Search("invalid", "max_k must be from 3 to 5")
     c = context(paths, mates, required)
     if isinstance(c, str):
         return Search("invalid", c)
     out = Search("no-improvement", "no strictly shorter reconnection")
+    far, size = distances(d, c.tour), len(c.tour)
+    places = np.array(c.places, np.int64)
     for k in range(3, min(o.max_k, len(c.places) - 1) + 1):
-        forms = catalogs.templates(k)
-        for more in combinations(range(1, len(c.places)), k - 1):
-            if o.max_deletion_sets and out.deletion_sets >= o.max_deletion_sets:
-                out.status, out.reason = "unresolved", "deletion sets used up"
-                return out
-            out.deletion_sets += 1
-            found, tried = reconnect(c, d, mates, sorted(c.places[i] for i in (0, *more)), forms)
-            out.matchings += tried
-            if found is not None:
-                out.status, out.reason, out.witness = "improved", "strictly shorter reconnection", found
-                return out
+        forms, (one, two), sets = catalogs.templates(k), _forms(k), _sets(len(c.places), k)
+        most = min(len(sets), o.max_deletion_sets - out.deletion_sets) if o.max_deletion_sets else len(sets)
+        for s in range(0, most, BLOCK):
+            at = np.sort(places[sets[s : min(s + BLOCK, most)]], axis=1)
+            ports = np.stack([at, (at + 1) % size], axis=2).reshape(len(at), 2 * k)
+            added = far[ports[:, one], ports[:, two]].sum(axis=2)
+            shorter = added < far[at, (at + 1) % size].sum(axis=1)[:, None]
+            for i, t in np.argwhere(shorter).tolist():
+                found, _ = reconnect(c, d, mates, at[i].tolist(), forms[t : t + 1])
+                if found is not None:
+                    out.matchings += i * len(forms) + t + 1
+                    out.deletion_sets += i + 1
+                    out.status, out.reason, out.witness = "improved", "strictly shorter reconnection", found
+                    return out
+            out.deletion_sets += len(at)
+            out.matchings += len(at) * len(forms)
+        if most < len(sets):
+            out.status, out.reason = "unresolved", "deletion sets used up"
+            return out
     return out
 
 
@@ -206,37 +245,40 @@ def exact_tour(paths: Paths, d: Metric, mates: tuple[int, ...], required: Edge |
     if len(ways) > most:
         return Search("unresolved", "more blocks than allowed")
     ban, n = None if required is None else edge(*required), len(ways)
-    best: dict[tuple[int, int, int], tuple[int, tuple[int, int, int] | None]] = {(1, 0, 0): (0, None)}
-    layer, states = [(1, 0, 0)], 0
-    for _ in range(n - 1):
-        following: dict[tuple[int, int, int], None] = {}
-        for key in sorted(layer):
-            mask, b, way = key
-            cost, leave = best[key][0], ways[b][way][1]
-            states += 1
-            for nb in range(n):
-                if mask >> nb & 1:
-                    continue
-                for nw, (enter, _) in enumerate(ways[nb]):
-                    if ban is not None and edge(leave, enter) == ban:
-                        continue
-                    new, to = cost + d(leave, enter), (mask | 1 << nb, nb, nw)
-                    if to not in best or new < best[to][0]:
-                        best[to] = (new, key)
-                        following[to] = None
-        layer = list(following)
-    states += len(layer)
+    # a way is a column: block and direction; costs from the exit of each to the entry of each
+    column = [(b, way) for b in range(n) for way in range(len(ways[b]))]
+    block = np.array([b for b, _ in column])
+    step = np.array([[NEVER if block[i] == block[j] or edge(ways[a][x][1], ways[b][y][0]) == ban else d(ways[a][x][1], ways[b][y][0]) for j, (b, y) in enumerate(column)] for i, (a, x) in enumerate(column)], np.int64)
+    # masks leave out the first block, which is always there, forward
+    best = np.full((1 << (n - 1), len(column)), NEVER, np.int64)
+    came = np.zeros(best.shape, np.int8)
+    best[0, 0] = 0
+    masks, ones = np.arange(1 << (n - 1)), np.bitwise_count(np.arange(1 << (n - 1), dtype=np.uint32))
+    for layer in range(n - 1):
+        own = masks[ones == layer]
+        for j in range(1, len(column)):
+            if block[j] == 0:
+                continue
+            to = own[own >> (block[j] - 1) & 1 == 0]
+            cost = best[to] + step[:, j]
+            first = cost.argmin(axis=1)
+            least = cost[np.arange(len(to)), first]
+            to = to | 1 << (block[j] - 1)
+            best[to, j], came[to, j] = np.minimum(least, NEVER), first
+    states = int((best < NEVER).sum())
     enter = ways[0][0][0]
-    ends = [(best[k][0] + d(ways[k[1]][k[2]][1], enter), k[1], k[2], k) for k in layer if ban is None or edge(ways[k[1]][k[2]][1], enter) != ban]
-    if not ends:
+    last = best[-1] + np.array([NEVER if ban is not None and edge(ways[b][x][1], enter) == ban else d(ways[b][x][1], enter) for b, x in column])
+    j = int(last.argmin())
+    if last[j] >= NEVER:
         return Search("no-improvement", "no tour without the required edge", states=states)
-    cost, *_, key = min(ends)
-    if cost >= d.total(sorted(c.path_edges)):
+    if last[j] >= d.total(sorted(c.path_edges)):
         return Search("no-improvement", "no strictly shorter tour", states=states)
-    order = []
-    while key is not None:
-        order.append(key)
-        key = best[key][1]
+    order, mask = [], len(masks) - 1
+    while True:
+        order.append((0, *column[j]))
+        if block[j] == 0:
+            break
+        j, mask = int(came[mask, j]), mask ^ 1 << (block[j] - 1)
     order.reverse()
     steps = [edge(ways[a[1]][a[2]][1], ways[b[1]][b[2]][0]) for a, b in zip(order, order[1:] + order[:1], strict=True)]
     edges = c.outside_edges | {*steps}
