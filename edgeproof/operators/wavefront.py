@@ -75,24 +75,37 @@ def _none(kind: str) -> F.Column:
     return F.lit(None).cast(kind)
 
 
-def search(graph: Graph, targets: DataFrame, o: Options = Options()) -> Wave:
-    """The whole search space of the targets within the options; nothing stops at a first success, so results do not hang on order."""
-    wave = Wave(graph, targets, o)
+def root_moves(graph: Graph, targets: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """States of all root candidates within the limits, their c, d moves, and the joint replies with the children's paths (cut)."""
     cds, replies = ht.candidates_and_replies(graph, targets, o.root)
     for most in (o.root.reply_combinations, o.replies_per_move):
         if most:
             cds = cds.where(F.col("product") <= most)
     root = cds.select("g", "target", F.array(F.col("rank").cast("int")).alias("sid"), "c", "d").join(targets.select("g", "target", "u", "v"), ["g", "target"])
-    wave.states.append(root.select(*KEY, F.lit(-1).alias("depth"), F.array(F.array(F.least("u", "v"), F.greatest("u", "v"))).alias("paths"), _none(kopt.LEAF).alias("leaf")))
-    wave.moves.append(root.select(*KEY, F.lit(0).alias("ord"), F.lit("cd").alias("type"), F.col("c").alias("first"), F.col("d").alias("second")))
-    r = ht.root_replies(graph, cds, targets, replies).withColumn("sid", F.array(F.col("rank").cast("int"))).join(wave.states[0].select(*KEY, "paths"), KEY)
+    states = root.select(*KEY, F.lit(-1).alias("depth"), F.array(F.array(F.least("u", "v"), F.greatest("u", "v"))).alias("paths"), _none(kopt.LEAF).alias("leaf"))
+    moves = root.select(*KEY, F.lit(0).alias("ord"), F.lit("cd").alias("type"), F.col("c").alias("first"), F.col("d").alias("second"))
+    r = ht.root_replies(graph, cds, targets, replies).withColumn("sid", F.array(F.col("rank").cast("int"))).join(states.select(*KEY, "paths"), KEY)
     r = _children(r, F.array(F.array("c_first", "c", "c_second"), F.array("d_first", "d", "d_second")), ["reply"])
     pair = lambda n: F.struct(F.col(n).alias("center"), F.col(f"{n}_first").alias("first"), F.col(f"{n}_second").alias("second"))
     r = cut(r.select(*KEY, F.lit(0).alias("ord"), "reply", pair("c").alias("pair1"), pair("d").alias("pair2"), _none(_EDGE).alias("edge"), "child", "child_paths"))
-    wave.replies.append(r.drop("child_paths"))
+    return states, moves, r
+
+
+def point_order(graph: Graph, targets: DataFrame, o: Options) -> DataFrame | None:
+    """(g, target, node, rank): the nodes that point moves choose from; None if there are no moves."""
     # a state of depth d holds up to 8 + 3d nodes, which are passed over
     most = o.root.neighborhood and o.root.neighborhood + 8 + 3 * o.depth
-    near = cut(ht.midpoint_rank(graph, targets, o.root.candidate_degree, most).select("g", "target", "node", "rank")) if o.depth else None
+    return cut(ht.midpoint_rank(graph, targets, o.root.candidate_degree, most).select("g", "target", "node", "rank")) if o.depth else None
+
+
+def search(graph: Graph, targets: DataFrame, o: Options = Options()) -> Wave:
+    """The whole search space of the targets within the options; nothing stops at a first success, so results do not hang on order. ``lazy`` has the search that stops."""
+    wave = Wave(graph, targets, o)
+    states, moves, r = root_moves(graph, targets, o)
+    wave.states.append(states)
+    wave.moves.append(moves)
+    wave.replies.append(r.drop("child_paths"))
+    near = point_order(graph, targets, o)
     for depth in range(o.depth + 1):
         level = r.where("child is not null").select("g", "target", F.col("child").alias("sid"), F.lit(depth).alias("depth"), F.col("child_paths").alias("paths"))
         level = cut(with_leaves(graph, level, targets, o.leaf).select(*KEY, "depth", "paths", "leaf"))
@@ -100,13 +113,14 @@ def search(graph: Graph, targets: DataFrame, o: Options = Options()) -> Wave:
         open_ = level.where(~F.col("leaf.proven"))
         if depth == o.depth or open_.isEmpty():
             break
-        r = _expand(wave, open_.select(*KEY, "paths"), near)
+        m, r = expansion(graph, targets, o, open_.select(*KEY, "paths"), near)
+        wave.moves.append(m)
+        wave.replies.append(r.drop("child_paths"))
     return wave
 
 
-def _expand(wave: Wave, states: DataFrame, near: DataFrame) -> DataFrame:
-    """Point moves, then end moves, of open states; appended to the wave. Gives the replies with their children's paths."""
-    o, graph = wave.options, wave.graph
+def expansion(graph: Graph, targets: DataFrame, o: Options, states: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Point moves, then end moves, of open states (KEY, paths), and their replies with the children's paths; both cut."""
     by = Window.partitionBy(*KEY)
     allowed = (lambda n: n <= o.replies_per_move) if o.replies_per_move else (lambda n: n >= 0)
     none = states.limit(0)
@@ -116,7 +130,7 @@ def _expand(wave: Wave, states: DataFrame, near: DataFrame) -> DataFrame:
         c = states.join(near, ["g", "target"]).where(~F.array_contains(F.flatten("paths"), F.col("node")))
         if o.root.neighborhood:
             c = c.withColumn("k", F.row_number().over(by.orderBy("rank"))).where(F.col("k") <= o.root.neighborhood).drop("k")
-        ham = cut(ht.hamilton_replies(graph, c.select("g", "target", F.col("node").alias("center")), wave.targets))
+        ham = cut(ht.hamilton_replies(graph, c.select("g", "target", F.col("node").alias("center")), targets))
         n = ham.groupBy("g", "target", F.col("center").alias("node")).agg(F.count("*").alias("n"))
         c = c.join(n, ["g", "target", "node"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
         c = c.withColumn("ord", F.row_number().over(by.orderBy("n", "node")) - 1)
@@ -147,11 +161,8 @@ def _expand(wave: Wave, states: DataFrame, near: DataFrame) -> DataFrame:
         moves = moves.unionByName(c.select(*KEY, "ord", F.lit("end").alias("type"), F.col("endpoint").alias("first"), F.col("internal").alias("second")))
         replies = ends if replies is None else replies.unionByName(ends)
     if replies is None:
-        replies = wave.replies[0].limit(0).withColumn("child_paths", _none("array<array<int>>"))
-    moves, replies = cut(moves), cut(replies)
-    wave.moves.append(moves)
-    wave.replies.append(replies.drop("child_paths"))
-    return replies
+        replies = none.select(*KEY, F.lit(0).alias("ord"), F.lit(0).cast("bigint").alias("reply"), _none(_PAIR).alias("pair1"), _none(_PAIR).alias("pair2"), _none(_EDGE).alias("edge"), F.col("sid").alias("child"), F.col("paths").alias("child_paths"))
+    return cut(moves), cut(replies)
 
 
 def propagate(wave: Wave) -> DataFrame:
