@@ -1,7 +1,7 @@
 """Hamilton-Tutte search that stops: depth first in what it expands, over all targets at once.
 
 Each round takes, of every target still open, its next root candidate; of every open state the first move not yet tried; and of a move its
-first few replies before the rest. A failed reply ends its move, a successful move ends its state, a proven candidate ends its target: what
+first few replies before the rest; of the states that a move leaves open, the first before its siblings. A failed reply ends its move, a successful move ends its state, a proven candidate ends its target: what
 is settled leaves by anti-joins, and what hangs on it is never made. Rows are those of ``wavefront``, so truth, outcomes and proofs come
 from there, and are the same as of the whole search.
 
@@ -41,6 +41,11 @@ def within(needs: DataFrame, used: DataFrame, states: int, replies: int) -> tupl
     return total.where(fits), total.where(~fits).select(*_TARGET)
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """``rows`` cut, in no more parts than a shuffle makes: unions add up."""
+    return cut(rows.coalesce(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 @dataclass
 class _Run:
     graph: Graph
@@ -65,11 +70,11 @@ class _Run:
             return rows
         needs = cut(rows.groupBy(*_TARGET).agg(F.count("child").alias("states"), F.count("*").alias("replies")))
         total, over = within(needs, self.used, self.o.states, self.o.replies)
-        self.used = cut(total.unionByName(self.used.join(total, _TARGET, "left_anti")))
+        self.used = held(total.unionByName(self.used.join(total, _TARGET, "left_anti")))
         over = cut(over)
         if over.isEmpty():
             return rows
-        self.exhausted = cut(self.exhausted.unionByName(over).distinct())
+        self.exhausted = held(self.exhausted.unionByName(over).distinct())
         return cut(rows.join(over, _TARGET, "left_anti"))
 
     def alive(self, rows: DataFrame) -> DataFrame:
@@ -80,9 +85,24 @@ class _Run:
         done = cut(wavefront.with_leaves(self.graph, states, self.targets, self.o.leaf).select(*KEY, F.lit(depth).alias("depth"), "paths", "leaf"))
         self.keep("states", depth + 1, done)
         good = done.where("leaf.proven").select(*KEY)
-        pending = done.where("not leaf.proven").select(*KEY, "paths")
-        if depth >= self.o.depth or pending.isEmpty():
+        if depth >= self.o.depth:
+            return good
+        # the siblings of a state are the other replies to its move: where one fails, the others need no proof
+        move = F.expr("slice(sid, 1, size(sid) - 1)")
+        turn = F.row_number().over(Window.partitionBy(*_TARGET, "move").orderBy("sid"))
+        pending = cut(done.where("not leaf.proven").select(*KEY, "paths").withColumn("move", move).withColumn("turn", turn))
+        first = pending.where("turn = 1")
+        if first.isEmpty():
             return good
+        one = self.by_moves(first.select(*KEY, "paths"), depth)
+        lost = first.join(one, KEY, "left_anti").select(*_TARGET, "move")
+        rest = held(pending.where("turn > 1").join(lost, [*_TARGET, "move"], "left_anti").select(*KEY, "paths"))
+        good = good.unionByName(one)
+        return held(good if rest.isEmpty() else good.unionByName(self.by_moves(rest, depth)))
+
+    def by_moves(self, pending: DataFrame, depth: int) -> DataFrame:
+        """KEY of the states (KEY, paths) one of whose moves succeeds; a state's moves are tried in order."""
+        good = pending.limit(0).select(*KEY)
         moves, replies = wavefront.expansion(self.graph, self.targets, self.o, pending, self.near)
         moves = cut(moves.withColumn("turn", F.row_number().over(Window.partitionBy(*KEY).orderBy("ord"))))
         pending = pending.select(*KEY)
@@ -95,8 +115,8 @@ class _Run:
             self.keep("moves", depth + 1, now)
             self.keep("replies", depth + 1, rows.drop("child_paths"))
             won = cut(now.select(*KEY).join(self.failed(rows, depth + 1), KEY, "left_anti"))
-            good, pending = good.unionByName(won), cut(pending.join(won, KEY, "left_anti"))
-        return cut(good)
+            good, pending = held(good.unionByName(won)), held(pending.join(won, KEY, "left_anti"))
+        return good
 
     def failed(self, rows: DataFrame, depth: int) -> DataFrame:
         """KEY of the states some of whose replies ``rows`` lead to a state that is not proven."""
@@ -130,12 +150,12 @@ def search(graph: Graph, targets: DataFrame, o: Options = Options(), first: int
             open_ = cut(run.alive(open_.join(run.failed(part, 0), KEY, "left_anti")))
             if open_.isEmpty():
                 break
-        left = cut(left.join(open_, _TARGET, "left_anti"))
+        left = held(left.join(open_, _TARGET, "left_anti"))
     wave = Wave(graph, targets, o)
     empty = {"states": roots, "moves": moves, "replies": replies.drop("child_paths")}
     for kind, rows in empty.items():
         frames = getattr(run, kind)
-        setattr(wave, kind, [cut(reduce(DataFrame.unionByName, f)) for f in frames if f] or [rows.limit(0)])
+        setattr(wave, kind, [held(reduce(DataFrame.unionByName, f)) for f in frames if f] or [rows.limit(0)])
     return wave, run.exhausted
 
 
