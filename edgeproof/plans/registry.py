@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from edgeproof.functions import distance as D
 from edgeproof.functions import fnv
 from edgeproof.functions import scalars as S
-from edgeproof.operators import catalogs, commit, epochs, ht, jv, kopt, lp, paths, tour, wavefront
+from edgeproof.operators import catalogs, commit, epochs, ht, ht_verify, jv, kopt, lazy, lp, paths, tour, wavefront
 from edgeproof.operators.graph import Graph, nearest, number_edges, violations
 
 from . import synth
@@ -336,13 +336,19 @@ def _root_replies(g: Graph, o: ht.RootOptions = ht.RootOptions()) -> DataFrame:
     return ht.root_replies(g, cds.where(F.col("product") <= o.reply_combinations) if o.reply_combinations else cds, t, replies).drop("g")
 
 
+#: Targets of the scan, the longest first, and its options: those of a command without flags, but for moves below the root.
+SCAN_TARGETS, SCAN = 50, wavefront.Options(leaf=kopt.Options(5, 100_000), depth=0)
+
+
 @_query()
 def ht_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of the search over the two longest targets of the derived graph."""
+    """Outcomes of the search over the longest targets of the derived graph, and whether the verifier, which is written apart, accepts each proof (null without one)."""
     g = synth.embeddings_graph(spark, sf_dir)
-    t = cut(ht.select_targets(g, "weight", 0, 2).select("g", "target", "u", "v"))
-    wave = wavefront.search(g, t, wavefront.Options(leaf=kopt.Options(3, 200), depth=0))
-    return wavefront.outcomes(wave, cut(wavefront.propagate(wave))).drop("g")
+    t = cut(ht.select_targets(g, "weight", 0, SCAN_TARGETS).select("g", "target", "u", "v"))
+    result, proof = lazy.prove(g, t, SCAN)
+    own = t.join(proof.nodes.where("node = 0").select("g", "target"), ["g", "target"], "left_semi")
+    verdict = ht_verify.verify(g, own, proof, SCAN.root.mode).select("g", "target", (F.size("faults") == 0).alias("verified"))
+    return result.join(verdict, ["g", "target"], "left").select("target", "status", "exhausted", "candidate", "candidates", "states", "replies", "verified")
 
 
 @_query("""WITH t AS (SELECT c_custkey AS k, unnest(range(c_custkey % 3 + 1)) AS m FROM customer),
