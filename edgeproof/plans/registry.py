@@ -484,13 +484,36 @@ def kopt_first_improving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kopt.first_improving(kopt.template_costs(t, pts, catalogs.templates_table(spark)), paid).drop("g")
 
 
-@_query()
+#: Three paths from a key: nodes modulo 12, so that they meet, close and cross; some keys lose all but one node of a path, or have a node that is none.
+_SYSTEMS = """s AS (SELECT CAST(c_custkey AS INTEGER) AS k, CAST(c_custkey AS BIGINT) AS c FROM customer),
+p AS (SELECT k, 0 AS i, [c % 12, (c // 12) % 12, (5 * c + 1) % 12] AS p FROM s UNION ALL
+  SELECT k, 1, CASE WHEN c % 23 = 0 THEN [c % 12] ELSE [(7 * c + 3) % 12, CASE WHEN c % 29 = 0 THEN 12 ELSE (c // 5) % 12 END] END FROM s UNION ALL SELECT k, 2, [(c // 7) % 12, (11 * c + 5) % 12] FROM s)"""
+
+
+@_query(f"""WITH RECURSIVE {_SYSTEMS},
+e AS (SELECT k, i, j, p[j] AS a, p[j + 1] AS b FROM (SELECT *, unnest(range(1, len(p))) AS j FROM p)),
+arc AS (SELECT k, i, j, a, b FROM e UNION ALL SELECT k, i, j, b, a FROM e),
+f AS (SELECT k, [i, 0, 0, 0] AS place, 'short path' AS reason FROM p WHERE len(p) < 2 UNION ALL SELECT k, [i, 1, 0, 0], 'node out of range' FROM p WHERE list_max(p) > 11
+  UNION ALL SELECT k, [i, 2, 0, 0], 'repeated node' FROM p WHERE len(list_distinct(p)) < len(p)
+  UNION ALL SELECT k, [i, 3, j, 0], 'repeated edge' FROM (SELECT *, row_number() OVER (PARTITION BY k, least(a, b), greatest(a, b) ORDER BY i, j) AS n FROM e) WHERE n > 1
+  UNION ALL SELECT k, [i, 3, j, 1], 'degree above two' FROM (SELECT *, count(*) OVER (PARTITION BY k, a ORDER BY i, j ROWS UNBOUNDED PRECEDING) AS n FROM arc) WHERE n > 2),
+bad AS (SELECT k, arg_min(reason, place) AS reason FROM f GROUP BY k),
+good AS MATERIALIZED (SELECT arc.* FROM arc ANTI JOIN bad ON bad.k = arc.k),
+deg AS (SELECT k, a AS n, count(*) AS d FROM good GROUP BY ALL),
+walk AS (SELECT k, n AS before, n AS now, [n] AS chain FROM deg WHERE d = 1 UNION ALL SELECT w.k, w.now, g.b, list_append(w.chain, g.b) FROM walk w JOIN good g ON g.k = w.k AND g.a = w.now AND g.b <> w.before),
+ended AS (SELECT w.k, w.chain FROM walk w JOIN deg ON deg.k = w.k AND deg.n = w.now AND deg.d = 1 WHERE len(w.chain) > 1 AND w.chain[1] < w.now),
+whole AS (SELECT k, list(chain ORDER BY chain) AS chains, sum(len(chain)) AS held FROM ended GROUP BY k),
+size AS (SELECT k, count(*) AS n, CAST(sum(d) // 2 AS BIGINT) AS edges FROM deg GROUP BY k),
+r AS (SELECT s.k, coalesce(bad.reason, CASE WHEN coalesce(held, 0) < n THEN 'cycle' ELSE '' END) AS reason, chains, edges FROM s LEFT JOIN bad USING (k) LEFT JOIN whole USING (k) LEFT JOIN size USING (k))
+SELECT k, reason = '' AS valid, reason, CASE WHEN reason = '' THEN edges ELSE 0 END AS edge_count, CASE WHEN reason = '' THEN replace(CAST(chains AS VARCHAR), ' ', '') ELSE '[]' END AS paths FROM r""")
 def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two short paths from each customer's key, merged where they meet."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("int").alias("k"))
-    x = lambda m: (F.col("k") * m % 7).cast("int")
-    both = c.withColumn("paths", F.array(F.array(x(1), x(2), x(3)), F.array(x(4), x(5))))
-    return both.select("k", paths.normalized(F.col("paths"), F.lit(7)).alias("n")).select("k", "n.valid", "n.reason", "n.edge_count", F.to_json("n.paths").alias("paths"))
+    """Normal form of three short paths from each customer's key, or the first fault."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("int").alias("key"), F.col("c_custkey").cast("bigint").alias("c"))
+    node = lambda text: F.expr(f"cast(({text}) % 12 as int)")
+    one = F.array(node("c"), node("c div 12"), node("5 * c + 1"))
+    two = F.when(F.expr("c % 23 = 0"), F.array(node("c"))).otherwise(F.array(node("7 * c + 3"), F.when(F.expr("c % 29 = 0"), F.lit(12)).otherwise(node("c div 5"))))
+    systems = c.select("key", F.lit(12).alias("nodes"), F.array(one, two, F.array(node("c div 7"), node("11 * c + 5"))).alias("paths"))
+    return paths.normal_forms(systems).select(F.col("key").alias("k"), "valid", "reason", "edge_count", F.to_json("paths").alias("paths"))
 
 
 @_query("SELECT CAST(c_custkey AS INTEGER) AS key, c_custkey % 5 NOT IN (1) AND c_custkey % 5 NOT IN (2) AND NOT (c_custkey % 5 = 0 AND (c_custkey + 2) % 5 = 2) AS feasible FROM customer")

@@ -15,7 +15,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["jv_candidates", "jv_commit_round", "ht_root_replies", "path_compat", "kopt_costs", "lp_exact_bound"])
+@pytest.mark.parametrize("name", ["jv_candidates", "jv_commit_round", "ht_root_replies", "path_compat", "path_normalize", "kopt_costs", "lp_exact_bound"])
 def test_queries_match_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     got = duck.execute(registry.ORACLE_SQL[name])
