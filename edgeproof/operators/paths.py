@@ -16,8 +16,6 @@ from edgeproof.plans.cut import cut
 
 Paths = list[list[int]]
 
-SYSTEM = "struct<valid:boolean,reason:string,paths:array<array<int>>,edge_count:bigint>"
-
 
 def normalize(paths: Paths, nodes: int) -> tuple[bool, str, Paths, int]:
     """(valid, reason, paths, edges): the union of the paths as maximal chains, each from its smaller end, in order.
@@ -72,15 +70,6 @@ def _lists(p) -> Paths:
     return [] if p is None else [[int(x) for x in q] for q in p]
 
 
-def _normal(paths: pd.Series, nodes: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([normalize(_lists(p), int(n)) for p, n in zip(paths, nodes, strict=True)], columns=["valid", "reason", "paths", "edge_count"])
-
-
-def normalized(paths: Column, nodes: Column) -> Column:
-    """Struct of valid, reason, paths, edge_count."""
-    return F.pandas_udf(_normal, SYSTEM)(paths, nodes)
-
-
 def normal_forms(systems: DataFrame) -> DataFrame:
     """(key, valid, reason, paths, edge_count) of each system (key, nodes, paths), keys different: as ``normalize``, from rows.
 
