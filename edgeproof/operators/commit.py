@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from edgeproof.plans.cut import cut
+from edgeproof.plans.order import numbered
 
 from .graph import Graph
 
@@ -16,12 +17,13 @@ def commit(graph: Graph, proposed: DataFrame, method: str = "jv") -> DataFrame:
 
     A walk in the order (u, v, method, witness, edge_id), once an edge, accepts a candidate if both ends have more than two edges left. In
     parallel: a candidate falls once as many accepted ones stand before it at an end as that end can spare; it stands once fewer than that, of
-    all before it that have not fallen, share either end. The first undecided one is always decided, so rounds end; few are needed.
+    all before it that have not fallen, share either end. The first undecided one is always decided, so rounds end; few are needed. The order is
+    carried as a struct, so nothing is numbered but what is accepted.
     """
     first = Window.partitionBy("g", "edge_id").orderBy("u", "v", "witness")
     own = proposed.select("g", "edge_id", "u", "v", "witness", F.lit(method).alias("method")).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
     spare = graph.degree().select("g", F.col("id").alias("n"), (F.col("degree") - 2).alias("spare"))
-    rows = own.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("u", "v", "method", "witness", "edge_id")).cast("bigint"))
+    rows = own.withColumn("rank", F.struct("u", "v", "method", "witness", "edge_id"))
     ends = rows.select("g", "edge_id", "rank", F.explode(F.array("u", "v")).alias("n")).join(spare, ["g", "n"])
     state = cut(ends.select("g", "n", "edge_id", "rank", "spare", F.lit(None).cast("boolean").alias("taken")))
     before = Window.partitionBy("g", "n").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -34,7 +36,7 @@ def commit(graph: Graph, proposed: DataFrame, method: str = "jv") -> DataFrame:
         state = cut(told.select("g", "n", "edge_id", "rank", "spare", taken.alias("taken")))
     good = state.where("taken").select("g", "edge_id").distinct()
     out = rows.join(good, ["g", "edge_id"], "left_semi")
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("rank")).cast("bigint") - 1).drop("rank")
+    return numbered(out, ["rank"], "place").drop("rank")
 
 
 def without(graph: Graph, committed: DataFrame) -> Graph:

@@ -132,7 +132,7 @@ class ScanOptions:
 
 def scan(graph: Graph, o: ScanOptions = ScanOptions(), offset: int = 0) -> tuple[Result, dict]:
     """One epoch over a slice of the targets: search all at once, verify, commit once; and the scan's metrics."""
-    eligible = _count(ht.select_targets(graph, o.order))
+    eligible = _count(graph.gated())
     targets = cut(ht.select_targets(graph, o.order, offset, o.limit).select("g", "target", "u", "v"))
     attempted = _count(targets)
     outcome, proof = wavefront.prove(graph, targets, o.search)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from edgeproof.functions import distance as D
+from edgeproof.plans.cut import cut
+from edgeproof.plans.order import numbered
 
 POINTS = "g string, id int, x double, y double, ix bigint, iy bigint"
 EDGES = "g string, edge_id int, u int, v int, weight bigint, active boolean"
@@ -67,8 +69,7 @@ class Graph:
 
 def number_edges(edges: DataFrame) -> DataFrame:
     """edges (g, u, v, weight) with edge_id and active."""
-    ident = F.row_number().over(Window.partitionBy("g").orderBy("u", "v")) - 1
-    return edges.select("g", ident.cast("int").alias("edge_id"), F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), F.col("weight").cast("bigint").alias("weight"), F.lit(True).alias("active"))
+    return numbered(edges, ["u", "v"], "edge_id").select("g", F.col("edge_id").cast("int").alias("edge_id"), F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), F.col("weight").cast("bigint").alias("weight"), F.lit(True).alias("active"))
 
 
 def _rings(asks: DataFrame, points: DataFrame, k: int, measure: Callable[[], Column], reached: Callable[[Column, Column], Column], apart: bool) -> DataFrame:
@@ -78,8 +79,6 @@ def _rings(asks: DataFrame, points: DataFrame, k: int, measure: Callable[[], Col
     point is nearer than those cells reach (``reached`` of measure and reach); r doubles for the others, until the ring covers the whole
     graph. So no graph's points are all paired, but where a graph is that small. ``apart``: an ask is not its own answer.
     """
-    from edgeproof.plans.cut import cut
-
     box = points.groupBy("g").agg(F.min("bx").alias("x0"), F.min("by").alias("y0"), F.greatest(F.max("bx") - F.min("bx"), F.max("by") - F.min("by"), F.lit(1)).alias("span"), F.count("*").alias("n"))
     side = F.greatest(F.lit(1), F.ceil(F.col("span") / F.greatest(F.lit(1.0), F.sqrt(F.col("n") / 3.0)))).cast("bigint")
     box = cut(box.select("g", "x0", "y0", "span", side.alias("side")))
@@ -143,7 +142,7 @@ def violations(graph: Graph) -> DataFrame:
         p.groupBy("g", "id").agg(F.count("*").alias("k")).groupBy("g").agg(F.max("k").alias("k"), F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("k > 1 or a <> 0 or z <> n - 1").select("g", F.lit("ids").alias("what"), "n"),
         e.where("u >= v or weight < 0").groupBy("g").agg(F.count("*").alias("n")).select("g", F.lit("canonical").alias("what"), "n"),
         e.groupBy("g", "u", "v").agg(F.count("*").alias("k")).where("k > 1").groupBy("g").agg(F.count("*").alias("n")).select("g", F.lit("unique").alias("what"), "n"),
-        e.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("u", "v")) - 1).where("place <> edge_id").groupBy("g").agg(F.count("*").alias("n")).select("g", F.lit("edge_id").alias("what"), "n"),
+        numbered(e.select("g", "edge_id", "u", "v"), ["u", "v"], "place").where("place <> edge_id").groupBy("g").agg(F.count("*").alias("n")).select("g", F.lit("edge_id").alias("what"), "n"),
     ]
     ends = graph.at(graph.at(e.select("g", "u", "v", "weight"), "u", "a"), "v", "b")
     out.append(ends.where(F.col("weight") != graph.distance("a", "b")).groupBy("g").agg(F.count("*").alias("n")).select("g", F.lit("weight").alias("what"), "n"))

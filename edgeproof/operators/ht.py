@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from edgeproof.functions.scalars import midpoint_score, survives_two_opt
 from edgeproof.plans.cut import cut
+from edgeproof.plans.order import numbered
 
 from .graph import Graph, nearest_to
 
@@ -141,6 +142,9 @@ def root_replies(graph: Graph, cds: DataFrame, targets: DataFrame, replies: Data
 def select_targets(graph: Graph, order: str = "canonical", offset: int = 0, limit: int = 0) -> DataFrame:
     """(g, target, u, v, weight, place): edges that pass the degree gate, by (u, v) or by weight from the longest, and a slice of that order."""
     keys = {"canonical": ["u", "v", "edge_id"], "weight": [F.col("weight").desc(), "u", "v", "edge_id"]}[order]
-    rows = graph.gated().withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(*keys)).cast("bigint") - 1).where(F.col("place") >= offset)
-    rows = rows.where(F.col("place") < offset + limit) if limit else rows
-    return rows.select("g", F.col("edge_id").alias("target"), "u", "v", "weight", "place")
+    rows = graph.gated()
+    if limit:  # each partition passes on no more than the first rows of a graph
+        rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy(*keys))).where(F.col("at") <= offset + limit).withColumn("place", F.col("at").cast("bigint") - 1)
+    else:
+        rows = numbered(rows, keys, "place")
+    return rows.where(F.col("place") >= offset).select("g", F.col("edge_id").alias("target"), "u", "v", "weight", "place")
