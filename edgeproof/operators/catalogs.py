@@ -1,11 +1,13 @@
 """Catalogs of endpoint matchings: outside, inside, compatibility, reconnection templates.
 
-Path i of m has the ends 2i and 2i + 1; a matching is an array of mates. Catalogs are small tables with a proven size (m <= 7), made by rule and
-broadcast; order is part of their meaning.
+Path i of m has the ends 2i and 2i + 1; a matching is an array of mates, and follows from its number, as order is part of a catalog's meaning: the
+tables below are made by expressions over ids (m <= 7), the tuples serve hashes and the inside of leaves.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import permutations, product
 
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeproof.functions import fnv
+from edgeproof.functions.scalars import inside_count, outside_count
+from edgeproof.plans.order import numbered
 
 MOST_PATHS = 7
 #: Most paths with a whole compatibility table.
@@ -99,15 +103,72 @@ def templates_hash(k: int) -> str:
 # ---- the same as tables ----
 
 
-def matchings(spark: SparkSession, which: str, most: int = TABLE_PATHS) -> DataFrame:
-    """(m, matching_id, mates) of all catalogs up to ``most`` paths."""
-    made = {"outside": outside, "inside": inside}[which]
-    return spark.createDataFrame([(m, i, list(x)) for m in range(1, most + 1) for i, x in enumerate(made(m))], "m int, matching_id bigint, mates array<int>")
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _mated(ends: Column) -> Column:
+    """The array of mates of ends that stand in pairs one after the other."""
+    mate = lambda x, e: F.element_at(x, ((F.array_position(x, e) - 1).bitwiseXOR(F.lit(1).cast("bigint")) + 1).cast("int"))
+    return _bound(ends, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda e: mate(x, e)))
+
+
+def _upto(n: Column) -> Column:
+    """0 .. n - 1; an empty array for n = 0."""
+    return F.slice(F.sequence(F.lit(0), n), 1, n)
+
+
+def outside_at(m: Column, number: Column) -> Column:
+    """The outside matching of a number, without its catalog: the number's low m - 1 bits are the directions, the rest in factorial base picks the
+    paths one by one from those left. Null where there is no such number."""
+    turns = m - 1
+    start = F.struct(F.transform(_upto(turns), lambda k: k + 1).alias("free"), F.array().cast("array<int>").alias("order"), F.floor(number / F.pow(F.lit(2.0), turns)).cast("bigint").alias("rest"))
+
+    def pick(s: Column, k: Column) -> Column:
+        w = F.factorial(turns - 1 - k)
+        i = F.floor(s["rest"] / w).cast("int")
+        return F.struct(F.concat(F.slice(s["free"], 1, i), F.slice(s["free"], i + 2, F.size(s["free"]))).alias("free"), F.array_append(s["order"], F.element_at(s["free"], i + 1)).alias("order"), (s["rest"] % w).alias("rest"))
+
+    order = F.aggregate(_upto(turns), start, pick)["order"]
+    turned = lambda k: F.floor(number / F.pow(F.lit(2.0), k)).cast("int") % 2
+    ends = F.flatten(F.transform(order, lambda p, k: F.array(2 * p + turned(k), 2 * p + 1 - turned(k))))
+    return F.when((m >= 1) & (m <= MOST_PATHS) & (number >= 0) & (number < outside_count(m)), _mated(F.concat(F.array(F.lit(1)), ends, F.array(F.lit(0)))))
+
+
+def inside_at(m: Column, number: Column) -> Column:
+    """The inside matching of a number, without its catalog: the lowest free end takes the place among the others that the number's next digit
+    tells, in a base that falls by two. Null where there is no such number."""
+    odd = F.array(*(F.lit(math.prod(range(1, 2 * j, 2))).cast("bigint") for j in range(MOST_PATHS)))
+    start = F.struct(_upto(2 * m).alias("free"), F.array().cast("array<int>").alias("ends"), number.cast("bigint").alias("rest"))
+
+    def pick(s: Column, k: Column) -> Column:
+        w = F.element_at(odd, m - k)
+        i = F.floor(s["rest"] / w).cast("int")
+        left = F.concat(F.slice(s["free"], 2, i), F.slice(s["free"], i + 3, F.size(s["free"])))
+        return F.struct(left.alias("free"), F.concat(s["ends"], F.array(F.element_at(s["free"], 1), F.element_at(s["free"], i + 2))).alias("ends"), (s["rest"] % w).alias("rest"))
+
+    ends = F.aggregate(_upto(m), start, pick)["ends"]
+    return F.when((m >= 1) & (m <= MOST_PATHS) & (number >= 0) & (number < inside_count(m)), _mated(ends))
+
+
+def matchings(spark: SparkSession, which: str, most: int = TABLE_PATHS, least: int = 1) -> DataFrame:
+    """(m, matching_id, mates) of all catalogs from ``least`` to ``most`` paths; every matching is made from its number, where it is needed."""
+    at = {"outside": outside_at, "inside": inside_at}[which]
+    sizes = {m: math.factorial(m - 1) << (m - 1) if which == "outside" else math.prod(range(1, 2 * m, 2)) for m in range(least, most + 1)}
+    first = {m: sum(sizes[k] for k in range(least, m)) for m in sizes}
+    m = F.coalesce(*(F.when(F.col("id") >= first[k], F.lit(k)) for k in reversed(sizes)))
+    numbers = spark.range(sum(sizes.values())).select(m.alias("m"), (F.col("id") - F.coalesce(*(F.when(F.col("id") >= first[k], F.lit(first[k])) for k in reversed(sizes)))).alias("matching_id"))
+    return numbers.select("m", "matching_id", at(F.col("m"), F.col("matching_id")).alias("mates"))
 
 
 def templates_table(spark: SparkSession) -> DataFrame:
-    """(k, template_id, mates)."""
-    return spark.createDataFrame([(k, i, list(t)) for k in (3, 4, 5) for i, t in enumerate(templates(k))], "k int, template_id bigint, mates array<int>")
+    """(k, template_id, mates): the inside matchings that bring no deleted edge back and close one tour with the parts; ids in their order."""
+    k = F.col("m")
+    parts = F.transform(_upto(2 * k), lambda e: F.when(e % 2 == 1, (e + 1) % (2 * k)).otherwise((e + 2 * k - 1) % (2 * k)))
+    new = F.forall(_upto(k), lambda i: F.element_at("mates", 2 * i + 1) != 2 * i + 1)
+    good = matchings(spark, "inside", 5, 3).where(new & alternates(parts, F.col("mates")))
+    return numbered(good, ["matching_id"], "template_id", "m").select(k.alias("k"), "template_id", "mates")
 
 
 def is_perfect(mates: Column, m: Column) -> Column:
@@ -135,10 +196,9 @@ def compatibility(spark: SparkSession, most: int = 4) -> DataFrame:
 
 
 def evaluate(spark: SparkSession, queries: DataFrame) -> DataFrame:
-    """``queries`` (m, outside_id, inside_id) with compatible: up to five paths from the table, beyond by the walk; null for ids that do not exist."""
-    most = TABLE_PATHS if queries.where(F.col("m") > TABLE_PATHS).isEmpty() else MOST_PATHS
-    o = matchings(spark, "outside", most).withColumnsRenamed({"matching_id": "outside_id", "mates": "o"})
-    i = matchings(spark, "inside", most).withColumnsRenamed({"matching_id": "inside_id", "mates": "i"})
-    got = queries.join(F.broadcast(o), ["m", "outside_id"], "left").join(F.broadcast(i), ["m", "inside_id"], "left")
-    return got.withColumn("compatible", F.when(F.col("o").isNotNull() & F.col("i").isNotNull(), alternates(F.col("o"), F.col("i")))).drop("o", "i")
+    """``queries`` (m, outside_id, inside_id) with compatible, by the walk over both matchings, which each row makes from its numbers: no table, no
+    join; null for ids that do not exist."""
+    m = F.col("m").cast("int")
+    walk = F.transform(F.array(F.struct(outside_at(m, F.col("outside_id")).alias("o"), inside_at(m, F.col("inside_id")).alias("i"))), lambda s: F.when(s["o"].isNotNull() & s["i"].isNotNull(), alternates(s["o"], s["i"])))
+    return queries.withColumn("compatible", walk[0])
 
