@@ -7,7 +7,7 @@ its diagonal. The score is the posterior of class 1, from Mahalanobis log-densit
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 from ._arrow import chunks, mix, text_buffer, word_bounds, word_hashes, written
 
-#: Weights of the pooled covariance and of its diagonal in a class's.
-POOLED, DIAGONAL = 0.05, 0.1
+#: Weights of the pooled covariance and of its diagonal in a class's, to choose from; under one, so that classes keep covariances of their own.
+SHRINKAGES = tuple((pooled, diagonal) for pooled in (0.0, 0.05, 0.2, 0.5, 0.8) for diagonal in (0.1, 0.3, 0.6))
+#: Folds of the labelled rows, bins of log odds, and the ridge of the logistic fit.
+FOLDS, BINS, RIDGE = 5, 4000, 1e-3
+
+#: Of one class: count, sum of x, sum of x x'.
+Moments = tuple[float, np.ndarray, np.ndarray]
 
 _GROUPS = {
     "upper": range(65, 91),
@@ -116,19 +121,25 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
 @dataclass
 class Model:
-    """prior: log odds of class 1; mean, inverse Cholesky factor and half log determinant of each class."""
+    """prior: log odds of class 1; mean, inverse Cholesky factor and half log determinant of each class; scale and shift of the log odds, as
+    densities of dependent statistics are surer than they ought to be."""
 
     prior: float
     mean: list[np.ndarray]
     inverse: list[np.ndarray]
     halflog: list[float]
+    scale: float = 1.0
+    shift: float = 0.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def odds(self, x: np.ndarray) -> np.ndarray:
         density = [-0.5 * (((x - self.mean[c]) @ self.inverse[c].T) ** 2).sum(1) - self.halflog[c] for c in (0, 1)]
-        return 1 / (1 + np.exp(-np.clip(self.prior + density[1] - density[0], -30, 30)))
+        return self.prior + density[1] - density[0]
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.odds(x) + self.shift, -700, 700)))
 
-def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float = POOLED, diagonal: float = DIAGONAL) -> Model:
+
+def fit(moments: dict[int, Moments], pooled: float, diagonal: float) -> Model:
     """moments: of each class the count, the sum of x and the sum of x x'. A class without rows takes the other's shape; without any rows every score is a half."""
     d = len(FEATURES)
     n = [moments[c][0] if c in moments else 0.0 for c in (0, 1)]
@@ -149,27 +160,91 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float
     return out
 
 
-def moments(x: DataFrame, labels: DataFrame, id_col: str, label_col: str, training: F.Column) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Sums over all labelled rows whose id fulfils ``training``; partitions send sums, not rows. A null label or id is no labelled row; of several labels of an id the largest counts."""
+def labelled(x: DataFrame, labels: DataFrame, id_col: str, label_col: str, training: F.Column) -> DataFrame:
+    """(x, y, fold) of all labelled rows whose id fulfils ``training``. A null label or id is no labelled row; of several labels of an id the largest counts."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     own = own.where(training(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+    fold = (F.crc32(F.concat(F.lit("f"), F.col("id").cast("string"))) % FOLDS).cast("int").alias("fold")
+    return x.join(own, "id").select("x", "y", fold)
+
+
+def moments(rows: DataFrame) -> dict[int, dict[int, Moments]]:
+    """Of each fold and class of ``labelled`` rows the count, the sum of x and the sum of x x'; partitions send sums, not rows."""
     d = len(FEATURES)
+    size = 1 + d + d * d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 + d + d * d))
+        total = np.zeros((2 * FOLDS, size))
         for b in batches:
             v = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            y = b.column("y").to_numpy(zero_copy_only=False)
-            for c in (0, 1):
-                w = v[y == c]
+            k = b.column("fold").to_numpy(zero_copy_only=False) * 2 + b.column("y").to_numpy(zero_copy_only=False)
+            for c in range(2 * FOLDS):
+                w = v[k == c]
                 total[c] += np.concatenate([[len(w)], w.sum(0), (w.T @ w).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], total.shape[1])), pa.array(np.tile(np.arange(total.shape[1]), 2)), pa.array(total.ravel())], names=["y", "i", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+
+    total = np.zeros(2 * FOLDS * size)
+    for r in rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        total[r["i"]] = r["v"]
+    total = total.reshape(FOLDS, 2, size)
+    return {k: {c: (t[0], t[1 : 1 + d], t[1 + d :].reshape(d, d)) for c, t in enumerate(total[k]) if t[0] > 0} for k in range(FOLDS)}
+
+
+def _sum(parts: list[dict[int, Moments]]) -> dict[int, Moments]:
+    return {c: tuple(sum(p[c][i] for p in parts if c in p) for i in range(3)) for c in (0, 1) if any(c in p for p in parts)}
+
+
+def logistic(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Scale and shift of the log odds z of labels y, each n times, by damped Newton steps on the log loss with a slight ridge; and that loss a row."""
+    if not len(z) or not 0 < (n * y).sum() < n.sum():
+        return 1.0, 0.0, float("inf")
+    unit = max(float(np.sqrt((n * z**2).sum() / n.sum())), 1e-9)
+    a, w = np.stack([z / unit, np.ones(len(z))], 1), np.array([1.0, 0.0])
+    loss = lambda w: float((n * (np.logaddexp(0, a @ w) - y * (a @ w))).sum() + RIDGE / 2 * w @ w)
+    for _ in range(100):
+        p = 0.5 + 0.5 * np.tanh(a @ w / 2)
+        step = np.linalg.solve((a.T * (n * p * (1 - p))) @ a + RIDGE * np.eye(2), a.T @ (n * (p - y)) + RIDGE * w)
+        t = 1.0
+        while t > 1e-6 and loss(w - t * step) > loss(w):
+            t /= 2
+        w = w - t * step
+        if np.abs(t * step).max() < 1e-9:
+            break
+    return max(float(w[0]) / unit, 1e-9), float(w[1]), loss(w) / float(n.sum())
+
+
+def trained(rows: DataFrame) -> Model:
+    """The model of ``labelled`` rows: its shrinkage is the one of SHRINKAGES under which rows of each fold, scored from the other folds, have the
+    least log loss, and the scale and shift of its log odds are those that give that loss. Odds meet the driver as counts in BINS bins a class."""
+    by_fold = moments(rows)
+    models = [[fit(_sum([m for j, m in by_fold.items() if j != k]), *s) for k in range(FOLDS)] for s in SHRINKAGES]
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    shape = (len(SHRINKAGES), 2, BINS)
 
-    got = x.join(own, "id").select("x", "y").mapInArrow(run, "y long, i long, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
-    total = np.zeros((2, 1 + d + d * d))
-    for r in got:
-        total[r["y"], r["i"]] = r["v"]
-    return {c: (total[c, 0], total[c, 1 : 1 + d], total[c, 1 + d :].reshape(d, d)) for c in (0, 1) if total[c, 0] > 0}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(shape), np.zeros(shape)
+        for b in batches:
+            v = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            y, fold = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "fold"))
+            for s in range(len(SHRINKAGES)):
+                for k in np.unique(fold):
+                    z = shared.value[s][k].odds(v[fold == k])
+                    at = (y[fold == k], np.clip((np.arcsinh(z) + 20) * (BINS / 40), 0, BINS - 1).astype(int))
+                    np.add.at(count[s], at, 1)
+                    np.add.at(total[s], at, z)
+        i = np.flatnonzero(count.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(count.ravel()[i]), pa.array(total.ravel()[i])], names=["i", "n", "z"])
+
+    count, total = np.zeros(shape), np.zeros(shape)
+    for r in rows.mapInArrow(run, "i long, n double, z double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("z").alias("z")).collect():
+        count.ravel()[r["i"]], total.ravel()[r["i"]] = r["n"], r["z"]
+    told = []
+    for s in range(len(SHRINKAGES)):
+        y, at = np.nonzero(count[s])
+        n = count[s][y, at]
+        told.append(logistic(total[s][y, at] / n, y.astype(float), n))
+    best = min(range(len(told)), key=lambda s: told[s][2])
+    return replace(fit(_sum(list(by_fold.values())), *SHRINKAGES[best]), scale=told[best][0], shift=told[best][1])
 
 
 def score(x: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -179,7 +254,7 @@ def score(x: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in keep), pa.array(np.round(shared.value.score(v), 9))], names=["id", *keep, "score"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in keep), pa.array(shared.value.score(v))], names=["id", *keep, "score"])
 
     kind = lambda c: x.schema[c].dataType.simpleString()
     return x.select("id", "x", *keep).mapInArrow(run, f"id {kind('id')}" + "".join(f", {c} {kind(c)}" for c in keep) + ", score double")
@@ -194,17 +269,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """id_col, held_out, score (posterior of label 1) of each row of ``docs``.
 
     One row for each input row, repeated ones too; null and empty texts are scored as texts of no bytes. Statistics are computed
-    once, written to the shared folder, joined to the labels for the class moments, and scored.
+    once, written to the shared folder, joined to the labels for the class moments and again for the odds by fold, and scored. Scores are not rounded: they keep the order of the
+    log-density differences.
     """
     x = written(features(docs, id_col, text_col), "quality")
-    model = fit(moments(x, labels, id_col, label_col, lambda c: ~held_out(c)))
+    model = trained(labelled(x, labels, id_col, label_col, lambda c: ~held_out(c)))
     return score(x, model).select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, as they are; learned from the labelled rows outside the held-out fold. Text stays in its partition."""
     x = written(features(docs, id_col, text_col), "quality")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(moments(x, labels, id_col, label_col, lambda c: ~held_out(c))))
+    shared = docs.sparkSession.sparkContext.broadcast(trained(labelled(x, labels, id_col, label_col, lambda c: ~held_out(c))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

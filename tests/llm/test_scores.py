@@ -1,9 +1,11 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from edgeproof.llm import lm_bloom as lm
@@ -169,3 +171,49 @@ def test_pairs_seen_once_count(spark):
     mixed = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)] + [(200 + i, " ".join(w[::-1])) for i, w in enumerate(words)], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm.score(mixed, model, exact).collect()}
     assert sum(got[i] > got[200 + i] + 10 for i in range(200)) >= 195
+
+
+def plain_statistics(text):
+    """The statistics of one text in plain Python."""
+    b = text.encode()
+    n, share = max(len(b), 1), lambda v: math.asin(math.sqrt(min(max(v, 0), 1)))
+    out = [math.log1p(len(b))] + [share(sum(c in set(g) for c in b) / n) for g in qda._GROUPS.values()]
+    out.append(-sum(k / n * math.log2(k / n) for k in Counter(b).values()))
+    w = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    m = max(len(w), 1)
+    mean = sum(map(len, w)) / m
+    out += [math.log1p(mean), math.log1p(math.sqrt(max(sum(len(x) ** 2 for x in w) / m - mean**2, 0)))]
+    out += [math.log1p(len(set(w))) - math.log1p(len(w)), share(max(Counter(w).values(), default=0) / m)]
+    for part in (list(zip(w, w[1:])), [x for x in b.split(b"\n") if x]):
+        out.append(share(1 - len(set(part)) / len(part)) if part else 0.0)
+    good = set(range(48, 58)) | set(range(65, 91)) | set(range(97, 123)) | set(range(128, 256)) | set(b".,;:!?")
+    return out + [share(sum(65 <= x[0] < 91 for x in w) / m), share(sum(x[-1] not in good for x in w) / m)]
+
+
+def test_statistics_against_plain_python():
+    from edgeproof.llm._arrow import text_buffer
+
+    rng = random.Random(8)
+    texts = ["", " ", "\n\n", "one", "a b a b a b", "line\nline\nother\n\nline", "Große WÖRTER, 12|34 = $5!?", "x" * 5000]
+    texts += ["".join(rng.choice(["The ", "the ", "zoo. ", "\n", "A1, ", "é ", "|_ ", "\t", "#$", "end! "]) for _ in range(rng.randint(0, 200))) for _ in range(60)]
+    got = qda.statistics(*text_buffer(pa.array([*texts, None])))
+    want = np.array([plain_statistics(t) for t in [*texts, ""]])
+    assert want.shape[1] == len(qda.FEATURES)
+    for k, name in enumerate(qda.FEATURES):
+        assert np.allclose(got[:, k], want[:, k], atol=1e-6), name
+
+
+def test_scores_keep_the_order_of_the_odds(spark):
+    docs, labels = frames(spark, labelled(5))
+    got = [r["score"] for r in qda.classify(docs, labels).collect()]
+    assert len(set(got)) > 0.9 * len(got) and all(0 <= s <= 1 for s in got)
+
+
+def test_logistic_fit_finds_scale_and_shift():
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=200_000) * 50
+    y = (rng.random(len(z)) < 1 / (1 + np.exp(-(0.1 * z - 1)))).astype(float)
+    scale, shift, loss = qda.logistic(z, y, np.ones(len(z)))
+    assert abs(scale - 0.1) < 0.003 and abs(shift + 1) < 0.05
+    p = 1 / (1 + np.exp(-(scale * z + shift)))
+    assert np.isclose(loss, -np.mean(y * np.log(p) + (1 - y) * np.log1p(-p)), rtol=1e-4)
