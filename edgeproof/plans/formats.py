@@ -197,17 +197,30 @@ def path_compat_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- search, leaves ----
 
 
-@_query("SELECT vec_id // 6 AS k, true AS proof_same, true AS verified FROM embeddings GROUP BY vec_id // 6 HAVING count(*) = 6")
+#: A leaf of two paths of three points is proven if, for both ways to join the paths outside, some tour through the outside joins and without the target
+#: edge costs less inside than the paths: all 120 orders of six points, by brute force.
+_LEAVES = f"""p AS ({R._POINTS["emb"]}), perm AS (SELECT [0] AS t UNION ALL SELECT t || [x] FROM (SELECT t, unnest(range(1, 6)) AS x FROM perm WHERE len(t) < 6) WHERE NOT list_contains(t, x)),
+cyc AS (SELECT row_number() OVER (ORDER BY t) AS c, t FROM perm WHERE len(t) = 6), hop AS (SELECT c, t[i + 1] AS a, t[(i + 1) % 6 + 1] AS b FROM (SELECT *, unnest(range(6)) AS i FROM cyc)), step AS (SELECT c, least(a, b) AS a, greatest(a, b) AS b FROM hop),
+joint(o, a, b) AS (VALUES (0, 2, 3), (0, 0, 5), (1, 2, 5), (1, 0, 3)), way AS (SELECT c, o FROM step JOIN joint USING (a, b) GROUP BY c, o HAVING count(*) = 2),
+inner_edge AS (SELECT way.c, way.o, step.a, step.b FROM way JOIN step USING (c) WHERE NOT EXISTS (SELECT 1 FROM joint v WHERE v.o = way.o AND v.a = step.a AND v.b = step.b)),
+free AS (SELECT c, o FROM inner_edge GROUP BY c, o HAVING count(*) FILTER (WHERE a = 0 AND b = 1) = 0),
+gap AS (SELECT x.id // 6 AS k, x.id % 6 AS a, y.id % 6 AS b, {R._dist("x", "y")} AS d FROM p x JOIN p y ON x.id // 6 = y.id // 6 AND x.id < y.id WHERE x.id // 6 IN (SELECT id // 6 FROM p GROUP BY id // 6 HAVING count(*) = 6)),
+own AS (SELECT k, sum(d) AS d FROM gap WHERE (a = 0 AND b = 1) OR (a = 1 AND b = 2) OR (a = 3 AND b = 4) OR (a = 4 AND b = 5) GROUP BY k),
+cost AS (SELECT k, c, o, sum(d) AS d FROM free JOIN inner_edge USING (c, o) JOIN gap USING (a, b) GROUP BY k, c, o), best AS (SELECT k, o, min(d) AS d FROM cost GROUP BY k, o)"""
+
+
+@_query(f"WITH RECURSIVE {_LEAVES} SELECT k, true AS proof_same, bool_and(best.d < own.d) AS proven, bool_and(best.d < own.d) AS verified, CAST(2 AS INTEGER) AS path_count, CAST(2 AS BIGINT) AS outside_count FROM best JOIN own USING (k) GROUP BY k")
 def leaf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaf proofs of windows of six points: whether each comes back from its text as it was, and whether the independent verifier takes every proven one."""
-    def same(rows: pd.DataFrame) -> pd.Series:
+    """Leaf proofs of windows of six points, read back from their text: whether each is as it was, is proven (in SQL by all tours), and is taken by the independent verifier, which must take the proven ones and no others."""
+    def back(rows: pd.DataFrame) -> pd.DataFrame:
         leaf = [kopt.leaf_of(r) for r in rows.to_dict("records")]
-        return pd.Series([proofs.parse_leaf(proofs.leaf_text(f, "0" * 16))[0] == f for f in leaf])
+        parsed = [proofs.parse_leaf(proofs.leaf_text(f, "0" * 16))[0] for f in leaf]
+        return pd.DataFrame({"proof_same": [f == g for f, g in zip(leaf, parsed, strict=True)], "proven": [g.proven for g in parsed], "path_count": [g.path_count for g in parsed], "outside_count": [g.outside_count for g in parsed]})
 
     got = cut(R._six(spark, sf_dir).withColumn("leaf", kopt.leaves(F.col("paths"), F.col("places"), F.lit(0), F.lit(1), kopt.Options(3, 0, 10))))
-    told = F.pandas_udf(same, "boolean")(F.col("leaf"))
+    told = got.withColumn("told", F.pandas_udf(back, "proof_same boolean, proven boolean, path_count int, outside_count bigint")(F.col("leaf")))
     verdict = kopt.leaf_verdicts(F.col("paths"), F.col("places"), F.lit(0), F.lit(1), F.col("leaf"))
-    return got.select("k", told.alias("proof_same"), (~F.col("leaf.proven") | (verdict == "ok")).alias("verified"))
+    return told.select("k", "told.*", (verdict == "ok").alias("verified"))
 
 
 # ---- models ----

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from edgeproof.plans import registry
+from edgeproof.plans import formats, registry  # noqa: F401  formats adds its queries
 from edgeproof.streaming.feed import Feed
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +15,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["jv_candidates", "jv_commit_round", "ht_root_replies", "path_compat", "path_normalize", "kopt_costs", "lp_exact_bound"])
+@pytest.mark.parametrize("name", ["jv_candidates", "jv_commit_round", "ht_root_replies", "path_compat", "path_normalize", "path_compat_direct", "reconnect_templates", "ht_targets_canonical", "graph_violations", "kopt_costs", "leaf_text", "lp_exact_bound"])
 def test_queries_match_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     got = duck.execute(registry.ORACLE_SQL[name])
