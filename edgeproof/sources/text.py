@@ -1,7 +1,7 @@
 """Strict text formats as DataFrames: point and tour files, edge lists, instance tables; plain or gzip, by extension.
 
-Readers take any path that Spark reads, one file a graph. They number lines within the file, so a header keeps its meaning however
-the file is split: the file is read whole, as one row, and split into lines by Spark.
+Readers take any path that Spark reads, one file a graph. They number lines across the byte ranges that tasks read, so a header keeps its
+meaning however the file is split.
 """
 
 from __future__ import annotations
@@ -10,9 +10,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from edgeproof.functions.distance import KINDS, is_integer
 from edgeproof.operators.graph import Graph
+from edgeproof.plans.cut import cut
+from edgeproof.plans.order import numbered
 
 #: Most bytes of a tour file.
 TOUR_BYTES = 64 << 20
@@ -23,10 +26,18 @@ class FormatError(ValueError):
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line) of a text file: trimmed, empty ones left out, numbered from 0; a .gz file is unpacked by its name."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("n", "line")).select("n", F.trim(F.translate("line", "\t", " ")).alias("line"))
-    return rows.where("line <> ''")
+    """(n, line) of a text file: trimmed, empty ones left out, numbered from 0 with them; a .gz file is unpacked by its name.
+
+    A plain file is read in as many tasks as it has byte ranges (spark.sql.files.maxPartitionBytes); lines are numbered within their range, and
+    the counts of the ranges before, one row a range, are added. Files of a folder follow each other by name. Rows are cut first, so ranges do
+    not move between counting and numbering. A gzip file cannot be split and is one task.
+    """
+    where = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    held = cut(spark.read.text(path).select(*where, F.monotonically_increasing_id().alias("row"), F.trim(F.translate("value", "\t", " ")).alias("line")))
+    ranges = held.groupBy("file", "start").agg(F.min("row").alias("first"), F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("file", "start", (before - F.col("first")).alias("shift"))
+    return held.where("line <> ''").join(ranges, ["file", "start"]).select((F.col("row") + F.col("shift")).alias("n"), "line")
 
 
 def _must(ok: bool, what: str) -> None:
@@ -108,13 +119,14 @@ def read_tour(spark: SparkSession, path: str, g: str, dimension: int) -> DataFra
     rows = lines(spark, path)
     head, start = _header(rows, "TOUR_SECTION")
     _must("DIMENSION" not in head or head["DIMENSION"] == str(dimension), "DIMENSION")
-    token = rows.where(F.col("n") > start).select("n", F.posexplode(F.split("line", " +")).alias("k", "t")).orderBy("n", "k").collect()
-    values = [r["t"] for r in token]
-    _must("-1" in values, "the tour must end with -1")
-    end = values.index("-1")
-    _must(values[end + 1 :] in ([], ["EOF"]), "text after the tour")
-    _must(all(re.fullmatch("[0-9]{1,9}", t) for t in values[:end]) and sorted(map(int, values[:end])) == list(range(1, dimension + 1)), "the tour must be a permutation")
-    return spark.createDataFrame([(g, i, int(t) - 1) for i, t in enumerate(values[:end])], "g string, pos int, node int")
+    token = numbered(rows.where(F.col("n") > start).select(F.lit(g).alias("g"), "n", F.posexplode(F.split("line", " +")).alias("k", "t")), ["n", "k"], "pos")
+    told = token.agg(F.min(F.when(F.col("t") == "-1", F.col("pos"))).alias("end"), F.count("*").alias("n"), F.max_by("t", "pos").alias("last")).first()
+    _must(told["end"] is not None, "the tour must end with -1")
+    _must(told["n"] == told["end"] + 1 or (told["n"] == told["end"] + 2 and told["last"] == "EOF"), "text after the tour")
+    body = token.where(F.col("pos") < told["end"]).select("g", F.col("pos").cast("int").alias("pos"), F.when(F.col("t").rlike("^[0-9]{1,9}$"), F.col("t")).cast("int").alias("node"))
+    got = body.agg(F.count("*").alias("n"), F.count_distinct("node").alias("ids"), F.min("node").alias("low"), F.max("node").alias("high")).first()
+    _must(got["n"] == got["ids"] == dimension and (dimension == 0 or (got["low"], got["high"]) == (1, dimension)), "the tour must be a permutation")
+    return body.withColumn("node", F.col("node") - 1)
 
 
 def _one_file(head: list[str], body: DataFrame, tail: list[str], path: str, codec: str | None = None) -> None:
