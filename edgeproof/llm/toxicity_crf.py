@@ -1,10 +1,12 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans.
 
-Labels mark whole documents, so tokens are labelled first: in two thirds of the training documents a feature of a token (the
-word, its first four or five bytes, its last five) counts as toxic if it occurs almost only in distinct toxic texts; a token of a
-toxic document with such a feature is labelled 1, all others 0. The field (two states, transitions, feature weights) is
-fitted to these tokens. Forward-backward marginals over every token of a text give the offending offsets and three
-statistics of the document; a logistic calibration of them, fitted on the other third, gives the score.
+Labels mark whole documents, so the tags of the tokens are hidden: a document is toxic if a token of it is, but for label noise (the
+shares ``miss`` of toxic labels without a toxic token, and ``slip`` of documents with one that are labelled 0). The field has two states,
+transitions, and weights of hashed features of every token and its neighbours (the word, its first four to seven bytes, its last five, the
+words before and after); no feature is chosen by the labels. In two thirds of the training documents each round tags tokens softly, by
+their posterior given the document's label, and moves weights, transitions and noise towards these tags: the marginal likelihood of the
+labels grows. Forward-backward marginals over every token of a text give the offending offsets and three statistics of the document;
+a logistic calibration of them, fitted on the other third, gives the score.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import BYTE, chunks, prefix_hash, range_hash, text_buffer, word_bounds
+from ._arrow import BYTE, chunks, mix, prefix_hash, range_hash, text_buffer, word_bounds
 
 #: At most so many labelled rows of each class are learned from, those first by a hash of their id; and texts of at most so many bytes.
 SAMPLE_ROWS = 2500
@@ -28,12 +30,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BREAK = np.ones(256, bool)
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+_BASE = 0x9E3779B97F4A7C15
+#: Weights of the field: features share them by the first bits of their hashes.
+BITS = 20
+#: A feature in fewer different training texts has no weight.
+SUPPORT = 3
 
 
 @dataclass
 class Tokens:
-    """Tokens of some texts: where they are, to which text they belong, and hashes of their features (kind by token)."""
+    """Tokens of some texts: where they are, to which text they belong, and the slots of their features (kind by token), 0 for none."""
 
     start: np.ndarray
     end: np.ndarray
@@ -41,24 +47,37 @@ class Tokens:
     features: list[np.ndarray]
 
 
+def slot(h: np.ndarray, kind: int) -> np.ndarray:
+    """Where the weight of a feature is; slot 0 stays empty."""
+    at = (mix(h ^ np.uint64((kind + 1) * _BASE % (1 << 64))) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.maximum(at, 1)
+
+
 def tokens(buf: np.ndarray, at: np.ndarray) -> Tokens:
+    """Kinds of features: the word, first 4, 5, 6 and 7 bytes of longer words, last 5, the word before, the word after."""
     low = _LOWER[buf]
     start, end, first = word_bounds(low, at, _BREAK)
-    unit, size, out = BYTE[low], end - start, []
-    base = _BASES[0]
-    pre = prefix_hash(unit, base)
-    for kind, (s, e, long) in enumerate(((start, end, 1), (start, np.minimum(start + 4, end), 5), (start, np.minimum(start + 5, end), 6), (np.maximum(end - 5, start), end, 6))):
-        h = range_hash(pre, s, e, base) ^ np.uint64(_BASES[kind])
-        out.append(np.where(size >= long, h, np.uint64(0)))
-    return Tokens(start, end, first, out)
+    size, pre = end - start, prefix_hash(BYTE[low], _BASE)
+    word = range_hash(pre, start, end, _BASE)
+    out = [slot(word, 0)]
+    for n in (4, 5, 6, 7):
+        out.append(np.where(size > n, slot(range_hash(pre, start, np.minimum(start + n, end), _BASE), n), 0))
+    out.append(np.where(size > 5, slot(range_hash(pre, np.maximum(end - 5, start), end, _BASE), 8), 0))
+    before, after = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+    before[1:], after[:-1] = slot(word[:-1], 9), slot(word[1:], 10)
+    some = np.diff(first) > 0
+    before[first[:-1][some]] = 0
+    after[first[1:][some] - 1] = 0
+    return Tokens(start, end, first, [*out, before, after])
 
 
 @dataclass
 class Lanes:
-    """Order of tokens by place within their text, then text, longest text first; texts with tokens only."""
+    """Order of tokens by place within their text, then text, longest text first; texts with tokens only (``rows``)."""
 
     order: np.ndarray
     base: np.ndarray
+    rows: np.ndarray
 
     @staticmethod
     def of(first: np.ndarray) -> Lanes:
@@ -66,60 +85,53 @@ class Lanes:
         rows = np.argsort(-size, kind="stable")
         rows = rows[: int((size > 0).sum())]
         if not len(rows):
-            return Lanes(np.zeros(0, np.int64), np.zeros(1, np.int64))
+            return Lanes(np.zeros(0, np.int64), np.zeros(1, np.int64), rows)
         longest = int(size[rows[0]])
         live = np.searchsorted(-size[rows], -np.arange(longest), "left")  # texts with more than t tokens
         base = np.concatenate([[0], np.cumsum(live)])
         t = np.repeat(np.arange(longest), live)
         lane = np.arange(base[-1]) - base[t]
-        return Lanes(first[:-1][rows][lane] + t, base)
+        return Lanes(first[:-1][rows][lane] + t, base, rows)
 
 
 @dataclass
 class Field:
-    """The fitted field. hashes: sorted; weight: of each feature for state 1; trans: log transition scores; cal: the calibration."""
+    """The fitted field. weight: of each slot for state 1; trans: log transition scores; miss, slip: noise of the labels; cal: the calibration."""
 
-    hashes: np.ndarray
     weight: np.ndarray
     bias: float
     trans: np.ndarray
+    miss: float
+    slip: float
     cal: np.ndarray
 
-    def ids(self, t: Tokens) -> list[np.ndarray]:
-        """Index of each token's features, or len(hashes)."""
-        out = []
-        for h in t.features:
-            at = np.searchsorted(self.hashes, h)
-            at[at == len(self.hashes)] = 0
-            out.append(np.where(self.hashes[at] == h, at, len(self.hashes)) if len(self.hashes) else np.zeros(len(h), np.int64))
-        return out
-
-    def emission(self, ids: list[np.ndarray]) -> np.ndarray:
-        w = np.append(self.weight, 0.0)
-        return self.bias + sum(w[i] for i in ids)
+    def emission(self, t: Tokens) -> np.ndarray:
+        return self.bias + sum(self.weight[i] for i in t.features)
 
 
-def marginals(emit: np.ndarray, lanes: Lanes, trans: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, float, np.ndarray]:
-    """P(state 1) of each token; with pairs the log partition sum and the expected transitions, too."""
+def marginals(emit: np.ndarray, lanes: Lanes, trans: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(state 1) of each token, -log P(no token has state 1) of each text of ``lanes``; with pairs each text's expected transitions (by from, to), too."""
     e, base = np.exp(np.clip(emit[lanes.order], -30, 30)), lanes.base
     m = np.exp(trans)
     (m00, m01), (m10, m11) = m.tolist()
     steps, a1, b1 = len(base) - 1, np.empty(len(e)), np.empty(len(e))
-    logz, both = 0.0, np.zeros((2, 2))
+    none = np.zeros(len(lanes.rows))
+    both = np.zeros((4, len(lanes.rows) if pairs else 0))
     prev = None
     for t in range(steps):
         x = e[base[t] : base[t + 1]]
+        n = len(x)
         if prev is None:
-            f1, f0 = x, np.ones(len(x))
+            f1, f0, calm = x, np.ones(n), 1.0
         else:
-            p = prev[: len(x)]
+            p = prev[:n]
             f1 = x * (m01 + (m11 - m01) * p)
             f0 = m00 + (m10 - m00) * p
+            calm = m00
         z = f0 + f1
         prev = f1 / z
         a1[base[t] : base[t + 1]] = prev
-        if pairs:
-            logz += float(np.log(z).sum())
+        none[:n] += np.log(z / calm)
     nxt = None
     for t in range(steps - 1, -1, -1):
         n = base[t + 1] - base[t]
@@ -131,58 +143,96 @@ def marginals(emit: np.ndarray, lanes: Lanes, trans: np.ndarray, pairs: bool = F
             b[:k] = g1 / (g0 + g1)
             if pairs:
                 a = a1[base[t] : base[t] + k]
-                q = [(1 - a) * m00 * (1 - nxt), (1 - a) * m01 * x, a * m10 * (1 - nxt), a * m11 * x]
-                s = q[0] + q[1] + q[2] + q[3]
-                both += np.array([(v / s).sum() for v in q]).reshape(2, 2)
+                q = np.stack([(1 - a) * m00 * (1 - nxt), (1 - a) * m01 * x, a * m10 * (1 - nxt), a * m11 * x])
+                both[:, :k] += q / q.sum(axis=0)
         b1[base[t] : base[t + 1]] = nxt = b
     top = a1 * b1
     out = np.empty(len(emit))
     out[lanes.order] = top / (top + (1 - a1) * (1 - b1))
-    return out, logz, both
-
-
-def fit_field(t: Tokens, tags: np.ndarray, hashes: np.ndarray, rounds: int = 40, l2: float = 1e-3) -> Field:
-    """Penalised maximum likelihood by Adam steps."""
-    f = Field(hashes, np.full(len(hashes), 1.0), -4.0, np.zeros((2, 2)), np.zeros(4))
-    ids, lanes = f.ids(t), Lanes.of(t.first)
-    y = tags.astype(np.float64)
-    inside = np.ones(len(y), bool)
-    inside[t.first[:-1][np.diff(t.first) > 0]] = False
-    want = np.bincount(2 * tags[np.flatnonzero(inside) - 1] + tags[inside], minlength=4).reshape(2, 2)
-    n = len(hashes)
-    theta = np.concatenate([f.weight, [f.bias], f.trans.ravel()])
+    return out, np.maximum(none, 1e-12), both
+
+
+def responsibility(none: np.ndarray, toxic: np.ndarray, miss: float, slip: float) -> np.ndarray:
+    """P(some token is toxic) of texts with these labels, from ``none`` = -log P(no token is)."""
+    free, some = np.exp(-none), -np.expm1(-none)
+    hit = some * np.where(toxic, 1 - slip, slip)
+    return hit / (hit + free * np.where(toxic, miss, 1 - miss))
+
+
+def pull(none: np.ndarray, toxic: np.ndarray, miss: float, slip: float) -> tuple[np.ndarray, np.ndarray]:
+    """By how much a text's expectations given its label exceed the field's own, as a share of these; and P(some token is toxic) given the label.
+
+    Given that some token is toxic they are those of the field over P(some), less the calm path's part in the transitions.
+    """
+    r = responsibility(none, toxic, miss, slip)
+    return r / -np.expm1(-none) - 1, r
+
+
+def fit_field(t: Tokens, toxic: np.ndarray, rounds: int = 60, l2: float = 0.1, rate: float = 0.15) -> Field:
+    """Penalised marginal likelihood of the labels of the texts by Adam steps; tags and label noise are posteriors, new each round."""
+    f = Field(np.zeros(1 << BITS), -6.0, np.zeros((2, 2)), 0.02, 0.02, np.zeros(4))
+    lanes = Lanes.of(t.first)
+    doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
+    # slots in enough texts
+    live = np.zeros(1 << BITS, bool)
+    for i in t.features:
+        pairs = np.unique(i * np.int64(len(toxic)) + doc) // len(toxic)
+        live |= np.bincount(pairs, minlength=len(live)) >= SUPPORT
+    live[0] = False
+    names = np.flatnonzero(live)
+    n = len(names)
+    place = np.full(1 << BITS, n, np.int32)
+    place[names] = np.arange(n, dtype=np.int32)
+    ids = [place[i] for i in t.features]
+    bad = toxic[lanes.rows].astype(bool)
+    theta = np.zeros(n + 5)
+    theta[n] = f.bias
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
-    scale = 1.0 / max(1.0, float(tags.sum()))
+    keep = np.full(n + 5, l2)
+    keep[n] = 0.0
+    calm = np.maximum(np.diff(t.first)[lanes.rows] - 1, 0)
     for step in range(1, rounds + 1):
-        f.weight, f.bias, f.trans = theta[:n], float(theta[n]), theta[n + 1 :].reshape(2, 2)
-        p, _, both = marginals(f.emission(ids), lanes, f.trans, pairs=True)
-        d = y - p
-        g = np.zeros(n + 1)
-        for i in ids:
-            g += np.bincount(i, d, n + 1)
-        grad = np.concatenate([g[:n], [d.sum()], (want - both).ravel()]) * scale - l2 * theta * scale
+        w = np.append(theta[:n], 0.0)
+        f.bias, f.trans = float(theta[n]), theta[n + 1 :].reshape(2, 2)
+        p, none, both = marginals(f.bias + sum(w[i] for i in ids), lanes, f.trans, pairs=True)
+        gain, r = pull(none, bad, f.miss, f.slip)
+        up = np.zeros(len(toxic))
+        up[lanes.rows] = gain
+        d = p * up[doc]
+        g = sum(np.bincount(i, d, n + 1) for i in ids)[:n]
+        turn = both @ gain
+        turn[0] -= float((gain * calm).sum())
+        grad = np.concatenate([g, [d.sum()], turn]) - keep * theta
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
-        theta = theta + 0.3 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-9)
-    f.weight, f.bias, f.trans = theta[:n], float(theta[n]), theta[n + 1 :].reshape(2, 2)
+        theta = theta + rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-9)
+        if step > rounds // 6:  # the first rounds know too little for noise
+            f.miss = float(((1 - r) * bad).sum() + 1) / float((1 - r).sum() + 2)
+            f.slip = float((r * ~bad).sum() + 1) / float(r.sum() + 2)
+    f.weight[names], f.bias, f.trans = theta[:n], float(theta[n]), theta[n + 1 :].reshape(2, 2)
     return f
 
 
-def statistics(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each text: the largest marginal as log odds, log(1 + expected toxic tokens), and their share."""
+def statistics(p: np.ndarray, none: np.ndarray, lanes: Lanes, first: np.ndarray) -> np.ndarray:
+    """Of each text: the log odds of a toxic token, log(1 + expected toxic tokens), and the root of their share; a text without tokens has (-12, 0, 0)."""
     size = np.diff(first)
     some = size > 0
     out = np.zeros((len(size), 3))
     out[:, 0] = -12
     if some.any():
-        at = first[:-1][some]
-        top = np.clip(np.maximum.reduceat(p, at), 6.2e-6, 1 - 6.2e-6)
-        total = np.add.reduceat(p, at)
-        out[some, 0] = np.log(top / (1 - top))
+        out[lanes.rows, 0] = np.clip(none + np.log(-np.expm1(-none)), -12, 12)
+        total = np.add.reduceat(p, first[:-1][some])
         out[some, 1] = np.log1p(total)
         out[some, 2] = np.sqrt(total / size[some])
     return out
 
 
+def judged(f: Field, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of each token, and the statistics of each text."""
+    lanes = Lanes.of(t.first)
+    p, none, _ = marginals(f.emission(t), lanes, f.trans)
+    return p, statistics(p, none, lanes, t.first)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
     """Penalised logistic regression by Newton steps; the constant first."""
     z = np.column_stack([np.ones(len(x)), x])
@@ -195,9 +245,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray) -> Field:
-    """texts with labels; fold 0 chooses features and fits the field, fold 1 calibrates. Without toxic rows every score is the share of toxic rows."""
+    """texts with labels; fold 0 fits the field, fold 1 calibrates. Without toxic rows every score is the share of toxic rows."""
     prior = (float(toxic.sum()) + 0.5) / (len(toxic) + 1.0)
-    flat = Field(np.zeros(0, np.uint64), np.zeros(0), -4.0, np.zeros((2, 2)), np.array([np.log(prior / (1 - prior)), 0, 0, 0]))
+    flat = Field(np.zeros(1 << BITS), -6.0, np.zeros((2, 2)), 0.0, 0.0, np.array([np.log(prior / (1 - prior)), 0, 0, 0]))
 
     def toks(rows: np.ndarray) -> Tokens:
         """Features of these texts, a few hundred texts at a time; offsets are left out."""
@@ -205,7 +255,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray) -> Field:
         for k in range(0, len(rows), 256):
             part = [texts[i] for i in rows[k : k + 256]]
             t = tokens(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64))
-            out.append(t.features)
+            out.append([i.astype(np.int32) for i in t.features])
             first.append(t.first[1:] + first[-1][-1])
         none = np.zeros(0, np.int64)
         return Tokens(none, none, np.concatenate(first), [np.concatenate(x) for x in zip(*out, strict=True)])
@@ -216,35 +266,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray) -> Field:
     # each distinct text counts once
     _, once = np.unique(np.array([hash_text(texts[i]) for i in own], np.uint64), return_index=True)
     own = own[np.sort(once)]
-    t = toks(own)
-    doc = np.repeat(np.arange(len(own)), np.diff(t.first))
-    bad = toxic[own].astype(bool)
-    chosen = []
-    n1, n0 = bad.sum(), (~bad).sum()
-    for h in t.features:
-        live = np.flatnonzero(h != 0)
-        live = live[np.lexsort((doc[live], h[live]))]
-        hs, owner = h[live], doc[live]
-        new = np.append(True, hs[1:] != hs[:-1])
-        once = new | np.append(True, owner[1:] != owner[:-1])  # a text counts once for a feature
-        names, inv = hs[new], np.cumsum(new)[once] - 1
-        c1 = np.bincount(inv, bad[owner[once]], len(names))
-        c0 = np.bincount(inv, minlength=len(names)) - c1
-        odds = np.log((c1 + 0.05) / n1) - np.log((c0 + 0.5) / n0)
-        # as many toxic texts by chance, over all features tried: less than once in a hundred samples, were a text of its kind half as often again toxic
-        share = min(0.9, 1.5 * n1 / (n1 + n0))
-        chosen.append(names[(odds > 3.0) & (c1 * -np.log(share) > np.log(len(names)) + 4.6)])
-    hashes = np.unique(np.concatenate(chosen))
-    if not len(hashes):
-        return flat
-    probe = Field(hashes, np.zeros(len(hashes)), 0.0, np.zeros((2, 2)), np.zeros(4))
-    known = np.zeros(len(doc), bool)
-    for i in probe.ids(t):
-        known |= i < len(hashes)
-    f = fit_field(t, (known & bad[doc]).astype(np.int64), hashes)
-    t = toks(other)
-    p, _, _ = marginals(f.emission(f.ids(t)), Lanes.of(t.first), f.trans)
-    f.cal = fit_logistic(statistics(p, t.first), toxic[other].astype(np.float64))
+    f = fit_field(toks(own), toxic[own].astype(np.int64))
+    f.cal = fit_logistic(judged(f, toks(other))[1], toxic[other].astype(np.float64))
     return f
 
 
@@ -255,7 +278,7 @@ def hash_text(data: bytes) -> int:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, training: F.Column, rows: int = SAMPLE_ROWS) -> Field:
-    """Fit on at most ``rows`` labelled rows of each class whose id fulfils ``training``; a null label or id is no labelled row. Which rows: those first by a hash of the id."""
+    """Fit on at most ``rows`` labelled rows of each class whose id fulfils ``training``; a null label or id is no labelled row. Which rows: those first by a hash of the id; of a repeated id the least text that is short enough, toxic if any of its labels says so."""
     from functools import reduce
 
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
@@ -264,7 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     picked = reduce(DataFrame.unionAll, [own.where(F.col("y") == v).orderBy(key, "id").limit(rows) for v in (0, 1)])
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    got = text.join(F.broadcast(picked), "id").select("id", "y", F.encode("text", "UTF-8").alias("text"), (F.pmod(F.xxhash64("id", F.lit(6)), F.lit(3)) == 2).cast("int").alias("fold"))
+    got = text.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    got = got.select("id", "y", F.encode("text", "UTF-8").alias("text"), (F.pmod(F.xxhash64("id", F.lit(6)), F.lit(3)) == 2).cast("int").alias("fold"))
     got = sorted(((r["id"], bytes(r["text"]), r["y"], r["fold"]) for r in got.collect()), key=lambda r: (r[0], r[1]))
     field = fit([r[1] for r in got], np.array([r[2] for r in got], np.int64), np.array([r[3] for r in got], np.int64))
     kept = [sum(r[2] == v for r in got) for v in (0, 1)]
@@ -287,8 +311,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
             for b in chunks(whole, most=CHUNK):
                 buf, at = text_buffer(b.column("text"))
                 t = tokens(buf, at)
-                p, _, _ = marginals(f.emission(f.ids(t)), Lanes.of(t.first), f.trans)
-                x = statistics(p, t.first)
+                p, x = judged(f, t)
                 value = 1 / (1 + np.exp(-np.clip(f.cal[0] + x @ f.cal[1:], -30, 30)))
                 cols, names = [b.column("id"), pa.array(np.round(value, 9))], ["id", "score"]
                 if spans:

@@ -50,20 +50,112 @@ def test_field_finds_toxic_texts_and_spans(spark):
 def test_marginals_against_brute_force():
     rng = np.random.default_rng(3)
     emit, trans, first = rng.normal(size=9), rng.normal(size=(2, 2)), np.array([0, 4, 4, 9])
-    got, logz, both = crf.marginals(emit, crf.Lanes.of(first), trans, pairs=True)
-    want, total, pair = np.zeros(9), 0.0, np.zeros((2, 2))
+    lanes = crf.Lanes.of(first)
+    got, none, both = crf.marginals(emit, lanes, trans, pairs=True)
+    want, calm, pair = np.zeros(9), {}, np.zeros((2, 2))
     for s, e in ((0, 4), (4, 9)):
         ways = []
         for bits in range(1 << (e - s)):
             y = [bits >> k & 1 for k in range(e - s)]
             ways.append((y, math.exp(sum(emit[s + k] * y[k] for k in range(e - s)) + sum(trans[a, b] for a, b in zip(y, y[1:])))))
         z = sum(w for _, w in ways)
-        total += math.log(z)
+        calm[int(np.flatnonzero(first[:-1] == s)[-1])] = math.log(z) - math.log(ways[0][1])
         for y, w in ways:
             want[s:e] += np.array(y) * w / z
             for a, b in zip(y, y[1:]):
                 pair[a, b] += w / z
-    assert np.allclose(got, want) and np.isclose(logz, total) and np.allclose(both, pair)
+    assert np.allclose(got, want) and np.allclose(none, [calm[r] for r in lanes.rows]) and np.allclose(both.sum(axis=1).reshape(2, 2), pair)
+
+
+def label_odds(emit, trans, miss, slip, toxic):
+    """Log probability of a label, by all taggings of one text."""
+    ways = {}
+    for bits in range(1 << len(emit)):
+        y = [bits >> k & 1 for k in range(len(emit))]
+        ways[bits] = math.exp(sum(e * v for e, v in zip(emit, y)) + sum(trans[a, b] for a, b in zip(y, y[1:])))
+    free = ways[0] / sum(ways.values())
+    return math.log(free * (miss if toxic else 1 - miss) + (1 - free) * (1 - slip if toxic else slip))
+
+
+def test_soft_tags_raise_the_likelihood_of_the_label():
+    """The pull of tags is the slope of the label's log probability, for emissions and transitions, by differences over all taggings."""
+    rng = np.random.default_rng(4)
+    emit, trans, first = rng.normal(size=6) - 1, rng.normal(size=(2, 2)), np.array([0, 6])
+    lanes = crf.Lanes.of(first)
+    p, none, both = crf.marginals(emit, lanes, trans, pairs=True)
+    for toxic in (0, 1):
+        gain, _ = crf.pull(none, np.array([toxic]), 0.1, 0.05)
+        slope = (both @ gain).reshape(2, 2)
+        slope[0, 0] -= gain[0] * 5
+        at = lambda e, t: label_odds(e, t, 0.1, 0.05, toxic)
+        for k in range(6):
+            step = np.eye(6)[k] * 1e-5
+            assert np.isclose((at(emit + step, trans) - at(emit - step, trans)) / 2e-5, p[k] * gain[0], atol=1e-6)
+        for k in range(4):
+            step = np.eye(4)[k].reshape(2, 2) * 1e-5
+            assert np.isclose((at(emit, trans + step) - at(emit, trans - step)) / 2e-5, slope.flat[k], atol=1e-6)
+
+
+def test_token_features_against_plain_python():
+    texts = ["Grob grobian, GROBIANISMUS!", "", "x", "  grob--über dernière grobian ", "überaus grobianism"]
+    data = [t.encode() for t in texts]
+    t = crf.tokens(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
+    want = []
+    for d in data:
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in d)
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", low)
+        for k, w in enumerate(words):
+            pre = [w[:n] if len(w) > n else None for n in (4, 5, 6, 7)]
+            want.append([w, *pre, w[-5:] if len(w) > 5 else None, words[k - 1] if k else None, words[k + 1] if k + 1 < len(words) else None])
+    assert len(want) == t.first[-1] and all(len(f) == len(want) for f in t.features)
+    slots = {}
+    for kind, f in enumerate(t.features):
+        for row, at in zip(want, f.tolist()):
+            assert (at == 0) == (row[kind] is None)
+            if at:
+                assert slots.setdefault((kind, row[kind]), at) == at
+    assert len(set(slots.values())) == len(slots)
+
+
+def test_score_against_all_taggings(spark):
+    """Statistics, score and spans of short texts, with the field's weights looked up word by word."""
+    rng = np.random.default_rng(5)
+    f = crf.Field(rng.normal(size=1 << crf.BITS), -1.5, rng.normal(size=(2, 2)), 0.01, 0.01, np.array([-1.0, 0.7, 0.5, 0.3]))
+    texts = ["vile scum of earth", "", None, "calm", "one two three four five six seven", "one two three four five six seven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in crf.score(docs, f, spans=True).collect()}
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        t = crf.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        emit = [f.bias + sum(f.weight[k[j]] for k in t.features) for j in range(len(t.start))]
+        ways = []
+        for bits in range(1 << len(emit)):
+            y = [bits >> k & 1 for k in range(len(emit))]
+            ways.append((y, math.exp(sum(e * v for e, v in zip(emit, y)) + sum(f.trans[a, b] for a, b in zip(y, y[1:])))))
+        z = sum(w for _, w in ways)
+        p = [sum(w for y, w in ways if y[k]) / z for k in range(len(emit))]
+        odds = math.log((z - ways[0][1]) / ways[0][1]) if emit else -12
+        share = math.sqrt(sum(p) / len(p)) if p else 0
+        value = f.cal @ [1, max(-12, min(12, odds)), math.log1p(sum(p)), share]
+        assert math.isclose(got[i]["score"], 1 / (1 + math.exp(-value)), abs_tol=1e-8)
+        inside = [any(s["start"] <= a and b <= s["end"] for s in got[i]["spans"]) for a, b in zip(t.start, t.end)]
+        assert inside == [v >= 0.5 for v in p]
+
+
+def test_span_of_a_word_that_no_training_text_has(spark):
+    """Insults here are one stem with many ends, so its first bytes carry weight."""
+    rng, ends = random.Random(8), ["a", "um", "or", "inka", "eto", "yr", "ossa", "uld"]
+    rows = [(i, re.sub("vilexa|vilexum|dreckon", lambda m: "vilex" + rng.choice(ends), text), good, toxic) for i, text, good, toxic in labelled(6)]
+    docs, labels = frames(spark, rows)
+    from pyspark.sql import functions as F
+
+    f = crf.train(docs, labels, "doc_id", "text", "toxic", lambda c: F.lit(True))
+    texts = ["w1 w2 w3 vilexatron w5 w6 w7 w8", "w1 w2 w3 verbatron w5 w6 w7 w8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bad, good = crf.score(docs, f, spans=True, threshold=0.003).orderBy("doc_id").collect()
+    # two of its five features are known, so its marginal is small, but alone in the text
+    assert [texts[0][s["start"] : s["end"]] for s in bad["spans"]] == ["vilexatron"] and good["spans"] == []
+    assert bad["score"] > 2 * good["score"]
 
 
 def test_discriminant_on_held_out_rows(spark):
