@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def _root(spark: SparkSession, beside: str) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + beside
+    """The shared folder; beside the warehouse where it is unset, which only a local master may do: on a cluster that can be one machine's disk."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + beside
 
 
 def cut(df: DataFrame) -> DataFrame:
