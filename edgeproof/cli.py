@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import time
 from dataclasses import asdict
 
 from pyspark.sql import SparkSession
@@ -93,20 +92,8 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     if a.command == "lp-solve":
         e = lp_files.parse_epoch(_read(spark, a.epoch))
         m = lp_files.frames(spark, e)
-        start = time.perf_counter()
-        x, y, status = lp.solve_small(m)
-        dual = spark.createDataFrame(list(y.items()), "row int, y double")
-        primal = spark.createDataFrame(list(x.items()), "col int, x double")
-        red = lp.reduced_costs(m, dual)
-        res = lp.accepted(lp.residuals(m, primal, dual, red.withColumnRenamed("reduced", "rc")), status).first()
-        bound = lp.exact_bound(m, dual).first()
-        took = time.perf_counter() - start
-        cost = sum(c * x[i] for i, c in enumerate(e["objective"])) + e["objective_offset"]
-        held = lp.dual_objective(m, dual).first()["objective"]
-        facts = {"solver": "pdhg", "solver_version": "1", "status": status, "termination_status": status, "objective": cost, "dual_objective": held, "solve_time_seconds": took, "max_primal_violation": res["max_primal_violation"], "max_reduced_cost_residual": res["max_reduced_cost_residual"], "numerically_accepted": bool(res["accepted"])}
-        facts |= {"exact_model_bound_certified": bound["certified"], "exact_model_bound_numerator": bound["numerator"] or "0", "exact_model_bound_denominator": bound["denominator"], "exact_model_bound_reason": "explicit variables only"}
-        rc = {r["col"]: r["reduced"] for r in red.collect()}
-        _write(a.output_root, a.solution, lp_files.solution_text(e["hash"], facts, [x[i] for i in sorted(x)], [y[i] for i in sorted(y)], [rc[i] for i in sorted(rc)]))
+        facts, x, y, rc = lp.solved(e, m)
+        _write(a.output_root, a.solution, lp_files.solution_text(e["hash"], facts, x, y, rc))
         return 0
     if a.command == "path-table":
         m = a.paths

@@ -5,6 +5,7 @@ lp_coef(row, col, val), lp_row(row, sense, rhs), lp_col(col, obj, lb, ub), lp_du
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -130,3 +131,21 @@ def solve_small(m: Model, rounds: int = 20000) -> tuple[dict[int, float], dict[i
                     return dict(zip(ci, px.tolist(), strict=True)), dict(zip(ri, py.tolist(), strict=True)), "OPTIMAL"
             x, y, sx, sy, n = mx, my, mx.copy(), my.copy(), 1
     return dict(zip(ci, x.tolist(), strict=True)), dict(zip(ri, y.tolist(), strict=True)), status
+
+
+def solved(e: dict, m: Model) -> tuple[dict, list[float], list[float], list[float]]:
+    """The epoch ``e`` with frames ``m``, solved and judged: the facts of a solution file, primal, dual and reduced costs by place. For models that ``solve_small`` takes."""
+    start = time.perf_counter()
+    x, y, status = solve_small(m)
+    spark = m.col.sparkSession
+    dual, primal = spark.createDataFrame(list(y.items()), "row int, y double"), spark.createDataFrame(list(x.items()), "col int, x double")
+    red = reduced_costs(m, dual)
+    res = accepted(residuals(m, primal, dual, red.withColumnRenamed("reduced", "rc")), status).first()
+    bound = exact_bound(m, dual).first()
+    took = time.perf_counter() - start
+    cost = sum(c * x[i] for i, c in enumerate(e["objective"])) + e["objective_offset"]
+    held = dual_objective(m, dual).first()["objective"]
+    facts = {"solver": "pdhg", "solver_version": "1", "status": status, "termination_status": status, "objective": cost, "dual_objective": held, "solve_time_seconds": took, "max_primal_violation": res["max_primal_violation"], "max_reduced_cost_residual": res["max_reduced_cost_residual"], "numerically_accepted": bool(res["accepted"])}
+    facts |= {"exact_model_bound_certified": bound["certified"], "exact_model_bound_numerator": bound["numerator"] or "0", "exact_model_bound_denominator": bound["denominator"], "exact_model_bound_reason": "explicit variables only"}
+    rc = {r["col"]: r["reduced"] for r in red.collect()}
+    return facts, [x[i] for i in sorted(x)], [y[i] for i in sorted(y)], [rc[i] for i in sorted(rc)]

@@ -137,6 +137,16 @@ def lp_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost.join(F.broadcast(held)).select(F.lit(status).alias("status"), "objective", "dual_objective")
 
 
+@_query(f"WITH {_EPOCH}, b AS (SELECT row, min(obj) AS m FROM c GROUP BY row) SELECT 'primal' AS field, CAST(col AS INTEGER) AS at, CAST(obj = m AS DOUBLE) AS value FROM c JOIN b USING (row) UNION ALL SELECT 'objective', NULL, CAST(sum(m) AS DOUBLE) FROM b")
+def source_lp_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The epoch solved, its solution written as text by Spark and read again: the objective and each nation's value, to four places."""
+    path, e = fresh_path(spark, "solution"), _epoch(spark, sf_dir)
+    text_ = lp_files.solution_text(lp_files.epoch_hash(e), *lp.solved(e, lp_files.frames(spark, e)))
+    spark.createDataFrame([(text_,)], "value string").coalesce(1).write.text(path)
+    value = F.round(F.col("value").cast("double"), 4) + F.lit(0.0)
+    return lp_files.read_solution(spark, path).where(F.col("field").isin("primal", "objective")).select("field", "at", value.alias("value"))
+
+
 # ---- scalar functions and predicates ----
 
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 import struct
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from edgeproof.functions import fnv
 from edgeproof.operators.lp import Model
 
-from .text import FormatError
+from .text import FormatError, lines
 
 # First lines and fields of the formats, in order.
 EPOCH_NAME = "CUDAEE_LP_EPOCH_V1"
 SOLUTION_NAME = "CUDAEE_LP_SOLUTION_V1"
+SOLUTION_ARRAYS = ("primal", "dual", "reduced_costs")
 ARRAYS = {"objective": float, "row_offsets": int, "column_indices": int, "values": float, "senses": str, "rhs": float, "lower_bounds": float, "upper_bounds": float, "variable_types": str, "edge_u": int, "edge_v": int}
 
 
@@ -105,5 +107,28 @@ def example() -> dict:
 def solution_text(model_hash: str, facts: dict, primal: list[float], dual: list[float], reduced: list[float]) -> str:
     """A solution: facts by field name, in order, then the three arrays."""
     out = [SOLUTION_NAME, f"model_hash {model_hash}", *(f"{k} {_number(int(v) if isinstance(v, bool) else v)}" for k, v in facts.items())]
-    out += [f"{k} {len(a)}" + "".join(f" {_number(v)}" for v in a) for k, a in (("primal", primal), ("dual", dual), ("reduced_costs", reduced))]
+    out += [f"{k} {len(a)}" + "".join(f" {_number(v)}" for v in a) for k, a in zip(SOLUTION_ARRAYS, (primal, dual, reduced), strict=True)]
     return "\n".join([*out, "END", ""])
+
+
+def read_solution(spark: SparkSession, path: str) -> DataFrame:
+    """(field, at, value) of a solution file: a fact's value with ``at`` null, each entry of the three arrays with its place.
+
+    A FormatError names a first or last line that is not the format's, a field that stands twice or has no value, and an array that is
+    missing or whose count is not that of its entries.
+    """
+    rows = lines(spark, path)
+    ends = rows.agg(F.min(F.struct("n", "line")).alias("first"), F.max(F.struct("n", "line")).alias("last")).first()
+    if ends["first"] is None or ends["first"]["line"] != SOLUTION_NAME or ends["last"]["line"] != "END":
+        raise FormatError(f"a solution starts with {SOLUTION_NAME} and stops with END")
+    word = F.split("line", " +")
+    body = rows.where((F.col("n") > ends["first"]["n"]) & (F.col("n") < ends["last"]["n"])).select(word[0].alias("field"), word.alias("words"), F.expr("substring(line, length(split_part(line, ' ', 1)) + 2)").alias("rest"))
+    array = F.col("field").isin(*SOLUTION_ARRAYS)
+    wrong = F.when(array, ~F.coalesce(F.expr("try_cast(words[1] AS INT)") == F.size("words") - 2, F.lit(False))).otherwise(F.col("rest") == "")
+    seen = body.groupBy("field").agg(F.count("*").alias("k"), F.max(wrong).alias("wrong"))
+    found = seen.agg(F.count_if(F.col("field").isin(*SOLUTION_ARRAYS)).alias("arrays"), F.min(F.when(F.col("wrong") | (F.col("k") > 1), F.col("field"))).alias("bad")).first()
+    if found["bad"] is not None or found["arrays"] != len(SOLUTION_ARRAYS):
+        raise FormatError(f"solution field {found['bad']} is wrong" if found["bad"] is not None else "a solution has three arrays")
+    facts = body.where(~array).select("field", F.lit(None).cast("int").alias("at"), F.col("rest").alias("value"))
+    entries = body.where(array).select("field", F.posexplode(F.expr("slice(words, 3, size(words) - 2)")).alias("at", "value"))
+    return facts.unionByName(entries)

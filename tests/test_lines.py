@@ -42,3 +42,19 @@ def test_tours_are_judged_without_the_driver(spark, tmp_path):
     for bad in ("3 1 5 2 4\n", "3 1 5 2 4 -1 6\n", "3 1 5 2 -1\n", "3 1 5 2 2 -1\n", "3 1 5 2 6 -1\n", "3 1 5 2 x -1\n", "0 1 2 3 4 -1\n", "3 1 5 2 4 -1 EOF EOF\n"):
         with pytest.raises(text.FormatError):
             read(bad)
+
+
+def test_solution_files_that_are_wrong(spark, tmp_path):
+    from edgeproof.sources import lp
+    from edgeproof.sources import text as text_
+
+    good = lp.solution_text("abc", {"status": "OPTIMAL", "reason": "two words"}, [0.5, 1.0], [2.0], [])
+    (tmp_path / "good").write_text(good)
+    got = {(r["field"], r["at"]): r["value"] for r in lp.read_solution(spark, str(tmp_path / "good")).collect()}
+    assert got[("reason", None)] == "two words" and got[("model_hash", None)] == "abc"
+    assert [float(got[("primal", k)]) for k in (0, 1)] == [0.5, 1.0] and float(got[("dual", 0)]) == 2.0 and len(got) == 6
+    faults = [good.replace("END", ""), good.replace("primal 2", "primal 3"), good.replace("dual 1", "dual x"), good.replace("status OPTIMAL", "status"), good.replace("status", "reason"), "", good.replace("reduced_costs 0\n", "")]
+    for k, text in enumerate(faults):
+        (tmp_path / f"bad{k}").write_text(text)
+        with pytest.raises(text_.FormatError):
+            lp.read_solution(spark, str(tmp_path / f"bad{k}"))

@@ -10,12 +10,12 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("embeddings", "supplier", "customer"):
+    for t in ("embeddings", "supplier", "customer", "nation"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
 
-@pytest.mark.parametrize("name", ["jv_candidates", "jv_commit_round", "ht_root_replies", "path_compat", "path_normalize", "path_compat_direct", "reconnect_templates", "ht_targets_canonical", "graph_violations", "kopt_costs", "leaf_text", "lp_exact_bound"])
+@pytest.mark.parametrize("name", ["jv_candidates", "jv_commit_round", "ht_root_replies", "path_compat", "path_normalize", "path_compat_direct", "reconnect_templates", "ht_targets_canonical", "graph_violations", "kopt_costs", "leaf_text", "lp_exact_bound", "lp_solution", "source_lp_solution"])
 def test_queries_match_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     got = duck.execute(registry.ORACLE_SQL[name])
