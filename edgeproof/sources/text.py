@@ -74,8 +74,9 @@ def read_points(spark: SparkSession, path: str, g: str) -> tuple[DataFrame, str,
     good = (F.size("f") == 3) & F.col("f")[0].rlike("^[0-9]{1,9}$") & F.col("f")[1].rlike(number) & F.col("f")[2].rlike(number)
     told = part.agg(F.count("*").alias("n"), F.sum((~good).cast("int")).alias("bad"), F.count_distinct(F.col("f")[0]).alias("ids"), F.min(F.when(good, F.col("f")[0].cast("int"))).alias("low"), F.max(F.when(good, F.col("f")[0].cast("int"))).alias("high")).first()
     _must(told["n"] == n and not told["bad"] and told["ids"] == n and (n == 0 or (told["low"], told["high"]) == (1, n)), "points must be 1 to DIMENSION, each once, with two numbers")
-    x, y = F.col("f")[1].cast("double"), F.col("f")[2].cast("double")
-    p = part.select(F.lit(g).alias("g"), (F.col("f")[0].cast("int") - 1).alias("id"), x.alias("x"), y.alias("y"))
+    # the plan may cast before it leaves out header lines, and all lines are judged above
+    x, y = F.col("f")[1].try_cast("double"), F.col("f")[2].try_cast("double")
+    p = part.select(F.lit(g).alias("g"), (F.col("f")[0].try_cast("int") - 1).alias("id"), x.alias("x"), y.alias("y"))
     whole = lambda c: F.when(is_integer(F.col(c)), F.col(c).cast("bigint")).alias(f"i{c}")
     return p.select("g", "id", "x", "y", whole("x"), whole("y")), kind, n
 
@@ -91,7 +92,7 @@ def read_edges(spark: SparkSession, path: str, g: str, dimension: int) -> DataFr
     _must(n == dimension, "dimension")
     part = rows.where(F.col("n") > first["n"]).select("line", F.split("line", " +").alias("f"))
     good = F.col("line").rlike("^[0-9]{1,9} +[0-9]{1,9} +[0-9]{1,18}$")
-    e = part.where(good).select(F.col("f")[0].cast("int").alias("a"), F.col("f")[1].cast("int").alias("b"), F.col("f")[2].cast("bigint").alias("weight"))
+    e = part.where(good).select(F.col("f")[0].try_cast("int").alias("a"), F.col("f")[1].try_cast("int").alias("b"), F.col("f")[2].try_cast("bigint").alias("weight"))
     e = e.select(F.lit(g).alias("g"), F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "weight")
     told = e.agg(F.count("*").alias("n"), F.count_distinct("u", "v").alias("k"), F.max("v").alias("high"), F.sum((F.col("u") == F.col("v")).cast("int")).alias("loops")).first()
     _must(told["n"] == m == part.count(), "edge lines must be as many as declared, each of three numbers")
