@@ -173,10 +173,11 @@ CASE WHEN abs(c_acctbal - round(c_acctbal)) <= 1e-9 THEN CAST(round(c_acctbal) A
 def more_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hexadecimal digits, checked arithmetic, strict tokens, single lines, integers that doubles stand for, and counts of matchings."""
     k, name = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    # the total is (k + 9223) * 10^15 + 372036 * 10^9: its product passes BIGINT only where the sum does, so null means the same
     token = F.when(k % 4 == 0, name).when(k % 4 == 1, F.concat(F.lit("-"), name)).when(k % 4 == 2, F.concat(F.lit("+"), name)).otherwise(F.concat(name, F.lit("x")))
     digits = F.when(k % 2 == 0, S.hex16(k)).otherwise(F.upper(F.concat(F.lit("A"), S.hex16(k))))
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        k.alias("k"), S.hex16(k * 2654435761).alias("hex"), S.checked_product(k.cast("bigint"), F.lit(12345678901234567)).alias("product"), S.checked_sum(k.cast("bigint") * 1000000000000000, F.lit(9223372036000000000)).alias("total"),
+        k.alias("k"), S.hex16(k * 2654435761).alias("hex"), S.checked_product(k.cast("bigint"), F.lit(12345678901234567)).alias("product"), S.checked_sum(S.checked_product(k.cast("bigint") + 9223, F.lit(1000000000000000)), F.lit(372036000000000)).alias("total"),
         S.strict_integer(token).alias("number"), S.strict_hash(digits).alias("hash"), S.single_line(F.concat(F.lit(" \t"), "c_name", F.lit("\nx\r"), name, F.lit("\n"))).alias("line"),
         S.conservative_integer(F.col("c_acctbal")).alias("whole"), S.outside_count((k % 7 + 1).cast("int")).alias("outside"), S.inside_count((k % 7 + 1).cast("int")).alias("inside"),
     )

@@ -24,6 +24,16 @@ def test_queries_match_sql(spark, duck, name):
     assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, got.fetchall()))
 
 
+def test_more_scalars_beyond_bigint(spark, tmp_path):
+    """Keys whose products and sums pass BIGINT, either way, are null as in SQL, not an error."""
+    keys = [-20000, -18446, -18445, -9224, -1, 0, 1, 747, 748, 9222, 9223, 9224, 15000, 900000]
+    made = spark.createDataFrame([(k, f"Customer#{k}", k / 4) for k in keys], "c_custkey bigint, c_name string, c_acctbal double")
+    made.write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.QUERIES["more_scalars"](spark, str(tmp_path)).select("k", "product", "total").collect()
+    fits = lambda n: n if -(1 << 63) <= n < 1 << 63 else None
+    assert sorted(map(tuple, got)) == [(k, fits(k * 12345678901234567), fits(k * 10**15 + 9223372036000000000)) for k in keys]
+
+
 def test_entry_module_imports():
     import __spark_entry__ as e
 
