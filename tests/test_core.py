@@ -248,3 +248,18 @@ def test_lp(spark):
 
 def test_hashes_are_fnv1a():
     assert fnv.fnv1a(b"") == 14695981039346656037 and fnv.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+
+
+def test_verifier_plan_stays_small(spark):
+    """The verifier's growing of paths is cut from its faults: as one plan its joins passed a hundred, and planning it did not end."""
+    from edgeproof.operators import ht_verify, kopt, wavefront
+
+    g = synth.fixture(spark)
+    nodes = spark.createDataFrame([], f"g string, target int, node int, paths array<array<int>>, type string, first int, second int, leaf {kopt.LEAF}")
+    pair, edge = "struct<center:int,first:int,second:int>", "struct<u:int,v:int>"
+    replies = spark.createDataFrame([], f"g string, target int, node int, reply bigint, pair1 {pair}, pair2 {pair}, edge {edge}, infeasible boolean, child int")
+    targets = g.active().where("edge_id = 0").select("g", F.col("edge_id").alias("target"), "u", "v")
+    got = ht_verify.verify(g, targets, wavefront.Proof(nodes, replies))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") < 40
+    assert got.first()["faults"] == ["no root"]
