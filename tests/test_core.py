@@ -263,3 +263,17 @@ def test_verifier_plan_stays_small(spark):
     plan = got._jdf.queryExecution().analyzed().toString()
     assert plan.count("Join ") < 40
     assert got.first()["faults"] == ["no root"]
+
+
+def test_near_nodes_and_replies_are_not_sorted_again(spark):
+    """What the rings ranked is not ranked again, and replies are numbered by their place in an array, not by a window over all of them."""
+    from edgeproof.operators import ht
+
+    g = synth.fixture(spark)
+    t = g.active().select("g", F.col("edge_id").alias("target"), "u", "v")
+    near = ht.midpoint_rank(g, t, most=3)
+    want = ht.midpoint_rank(g, t).where("rank <= 3")
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, want.collect()))
+    replies = ht.hamilton_replies(g, near.select("g", "target", F.col("node").alias("center")), t)
+    for df in (near, replies):
+        assert "Window" not in df._jdf.queryExecution().analyzed().toString()
