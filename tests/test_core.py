@@ -276,4 +276,17 @@ def test_near_nodes_and_replies_are_not_sorted_again(spark):
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, want.collect()))
     replies = ht.hamilton_replies(g, near.select("g", "target", F.col("node").alias("center")), t)
     for df in (near, replies):
-        assert "Window" not in df._jdf.queryExecution().analyzed().toString()
+        assert "row_number" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_parsing_a_proof_grows_with_its_records():
+    """Places of records were counted anew for each, which took over a minute for so many."""
+    import time
+
+    from edgeproof.sources import proofs
+
+    n, zero = 30_000, "0" * 16
+    text = "\n".join(["CUDAEE_PROOF_V1", "backend spark", f"initial_hash {zero}", *(f"record {k % 2} {zero} {k} {k} {k + 1} JV 3" for k in range(n)), f"final_hash {zero}", "END", ""])
+    start = time.perf_counter()
+    got = proofs.parse_proof(text)["records"]
+    assert [r["place"] for r in got] == [k // 2 for k in range(n)] and time.perf_counter() - start < 20
