@@ -1,6 +1,6 @@
 import math
 import random
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +9,10 @@ from edgeproof.functions import distance as D
 from edgeproof.functions import fnv
 from edgeproof.functions import scalars as S
 from edgeproof.operators import catalogs, commit, epochs, jv, kopt, lp, tour
-from edgeproof.operators.graph import POINTS, Graph, complete_graph, nearest, violations
+from edgeproof.operators.graph import POINTS, Graph, complete_graph, nearest, nearest_graph, violations
 from edgeproof.operators.paths import feasible_appends, grow, normalize
 from edgeproof.plans import synth
+from edgeproof.plans.cut import cut
 
 
 def complete(spark, sets):
@@ -112,6 +113,50 @@ def test_fixture_quick_elimination(spark):
             epochs.replay(g, bad, r.initial_hash, r.final_hash)
 
 
+def test_hash_of_blocks_is_the_sequential_hash():
+    rng = random.Random(9)
+    for n in (0, 1, 63, 64, 129, 4097):
+        data = rng.randbytes(n)
+        cuts = [0, n // 3, n // 3, n // 2, n]
+        for h in (fnv.BASIS, 0, 255, (1 << 64) - 1):
+            assert fnv.after(h, [fnv.effect(data[a:b]) for a, b in pairwise(cuts)]) == fnv.fnv1a(data, h)
+
+
+def test_snapshot_is_hashed_in_blocks(spark, monkeypatch):
+    """No group holds a graph's whole snapshot; an inactive edge counts; graphs without edges have no hash."""
+    rng = random.Random(5)
+    g = complete(spark, {name: [(rng.randint(-99, 99), rng.randint(0, 99)) for _ in range(n)] for name, n in (("a", 9), ("b", 7), ("c", 1))})
+    g = g.with_edges(g.edges.withColumn("active", F.col("edge_id") % 5 != 0))
+    points, edges = g.points.orderBy("id").collect(), g.edges.orderBy("edge_id").collect()
+    want = {x: fnv.graph_hash("EUC_2D", True, [(p["ix"], p["iy"]) for p in points if p["g"] == x], [(e["u"], e["v"], e["weight"], e["active"]) for e in edges if e["g"] == x]) for x in "ab"}
+    assert epochs.content_hash(g) == want
+    monkeypatch.setattr(epochs, "BLOCK_BITS", 2)
+    assert epochs.content_hash(g) == want
+    sizes = [r["n"] for r in epochs._blocks(g.edges, 1, "edge_id", {"u": "<i4", "v": "<i4", "weight": "<i8", "active": "u1"}).collect()]
+    assert max(sizes) == 4 and sum(sizes) == 36 + 21
+
+
+def test_later_rounds_search_only_near_what_went(spark, monkeypatch):
+    """After edges go, candidates are those of a whole search, though only edges near them are searched."""
+    rng = random.Random(4)
+    rows = [(name, i, *map(float, xy), *xy) for name, n in (("a", 400), ("b", 60)) for i in range(n) for xy in [(rng.randint(0, 5000), rng.randint(0, 5000))]]
+    g = nearest_graph(spark.createDataFrame(rows, POINTS), 6)
+    g = g.with_edges(cut(g.edges))
+    told = lambda df: sorted(map(tuple, df.select("g", "edge_id", "u", "v", "witness").collect()))
+    searched, plain = [], jv.ranked_witnesses
+    monkeypatch.setattr(jv, "ranked_witnesses", lambda graph, tried=jv.TRIED, edges=None: searched.append((graph.gated() if edges is None else edges).count()) or plain(graph, tried, edges))
+    before = cut(jv.candidates(g))
+    assert before.count()
+    for gone in (commit.commit(g, before), g.edges.where("edge_id % 211 = 7"), g.edges.where("g = 'b' and u = 3")):
+        gone = cut(gone)
+        left = g.with_edges(cut(commit.without(g, gone).edges))
+        assert told(jv.candidates_after(left, before, gone)) == told(jv.candidates(left))
+    assert all(few <= every for few, every in zip(searched[1::2], searched[2::2], strict=True)) and searched[-2] * 3 < searched[-1]
+    rounds, after = [], jv.candidates_after
+    monkeypatch.setattr(jv, "candidates_after", lambda *a: rounds.append(a) or after(*a))
+    assert len(rounds) < len(epochs.jv_fixed_point(g).metrics) == len(rounds) + 1 > 1
+
+
 def optimal_edges(pts):
     """Edges of all optimal tours, by a subset dynamic programme from both sides."""
     n, d = len(pts), lambda a, b: D.plain(*pts[a], *pts[b])
