@@ -335,3 +335,45 @@ def test_parsing_a_proof_grows_with_its_records():
     start = time.perf_counter()
     got = proofs.parse_proof(text)["records"]
     assert [r["place"] for r in got] == [k // 2 for k in range(n)] and time.perf_counter() - start < 20
+
+
+def _sent_by_broadcast(monkeypatch, make):
+    """What ``make`` finds, and how many of the plans that its rings run broadcast exploded cells."""
+    from edgeproof.operators import graph
+
+    plans = []
+
+    def watched(df):
+        held = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines())
+        return held
+
+    monkeypatch.setattr(graph, "cut", watched)
+    got, bad = make().collect(), 0
+    for lines in plans:
+        depth = [len(x) - len(x.lstrip(" :+-*|")) for x in lines]
+        for i, x in enumerate(lines):
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            bad += "BroadcastExchange" in x and any("explode(" in y for y in lines[i:below])
+    assert any("explode(" in y for lines in plans for y in lines)
+    return got, bad
+
+
+def _lone_asks(spark):
+    """A dense heap of points, and few asks in the empty rest of the box, whose rings grow to thousands of cells each."""
+    at = [(i % 40, i // 40) for i in range(1600)] + [(4000, 4000)]
+    points = spark.createDataFrame([("x", i, x, y) for i, (x, y) in enumerate(at)], "g string, b int, bx bigint, by bigint")
+    asks = spark.createDataFrame([("x", i, 1000 + 300 * i, 3500 - 200 * i) for i in range(9)], "g string, a int, ax bigint, ay bigint")
+    return at, points, asks
+
+
+def test_ring_cells_are_not_broadcast(spark, monkeypatch):
+    """A ring's cells are estimated as one, so those of a few asks passed any broadcast threshold and filled the driver."""
+    from edgeproof.operators.graph import nearest_to
+
+    at, points, asks = _lone_asks(spark)
+    got, bad = _sent_by_broadcast(monkeypatch, lambda: nearest_to(asks, points, 5))
+    for a in asks.collect():
+        want = sorted(((x - a.ax) ** 2 + (y - a.ay) ** 2, b) for b, (x, y) in enumerate(at))[:5]
+        assert sorted((r.d, r.b) for r in got if r.a == a.a) == want
+    assert bad == 0
