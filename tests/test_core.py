@@ -377,3 +377,20 @@ def test_ring_cells_are_not_broadcast(spark, monkeypatch):
         want = sorted(((x - a.ax) ** 2 + (y - a.ay) ** 2, b) for b, (x, y) in enumerate(at))[:5]
         assert sorted((r.d, r.b) for r in got if r.a == a.a) == want
     assert bad == 0
+
+
+def test_cells_of_root_candidates_are_not_broadcast(spark, monkeypatch):
+    """The same for the near nodes of root candidates whose edges miss: targets across an empty box, most nodes left out by their degree."""
+    from edgeproof.operators import ht
+
+    at = [(i % 20, i // 20) for i in range(400)] + [(3000 + 90 * i, 2000 + 130 * (i % 5)) for i in range(6)]
+    points = spark.createDataFrame([("x", i, float(x), float(y), x, y) for i, (x, y) in enumerate(at)], POINTS)
+    g = nearest_graph(points, 2)
+    g = g.with_edges(cut(g.edges))
+    t = g.active().where("v >= 400").select("g", F.col("edge_id").alias("target"), "u", "v")
+    o = ht.RootOptions(5, 0, 50, mode=ht.MODES[1])
+    got, bad = _sent_by_broadcast(monkeypatch, lambda: ht.cd_candidates(g, t, o))
+    ranked = [tuple(r) for r in ht.midpoint_rank(g, t, 50).where("rank <= 5").select("target", "node").collect()]
+    asked = {(target, c, d) for target, c in ranked for k, d in ranked if k == target and c < d}
+    assert got and {(r.target, r.c, r.d) for r in got} <= asked
+    assert bad == 0
